@@ -27,6 +27,8 @@ SHINGLE, BANDS, ROWS = 5, 50, 5
 PERCENT = 75
 #: A block of members compared in one task holds about this many rows, or this many characters, at most.
 BLOCK_ROWS, BLOCK_CHARS = 1024, 8_000_000
+#: Size bound of the broadcast that thins out documents before texts are shuffled.
+HASH_BUCKETS = 1 << 20
 _LOW32, _S32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -168,7 +170,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     members = materialize(bands.join(buckets, "key").select("key", "lead", "rep"), "members")
     needed = members.select("rep").distinct()
-    texts = materialize(docs.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep", "text"]), "texts")
+    # most documents are in no bucket: a broadcast of at most HASH_BUCKETS numbers drops nearly all of them before the shuffle
+    hashed = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(HASH_BUCKETS))
+    some = needed.select(F.pmod(F.xxhash64("rep"), F.lit(HASH_BUCKETS)).alias("bucket")).distinct()
+    near = docs.where("doc_id is not null").join(F.broadcast(some), hashed == F.col("bucket"), "left_semi")
+    texts = materialize(near.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep", "text"]), "texts")
 
     stars = members.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("rep").agg(F.max(F.struct("c", (-F.col("lead")).alias("neg"))).alias("best"))
     first = materialize(stars.select(F.col("rep").alias("a"), (-F.col("best.neg")).alias("b")), "stars")
