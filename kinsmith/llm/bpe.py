@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsmith.llm.common import column_slices, require
+from kinsmith.llm.common import column_slices, require, small_batches
 
 _MASK = (1 << 64) - 1
 
@@ -155,7 +155,7 @@ def _by_codec(df: DataFrame, path: str | None, pattern: str | None, fields: str,
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), *(pa.array(c, kinds[x.split()[1]]) for c, x in zip(cols, fields.split(", "), strict=True))], ["doc_id", *names])
 
     require(df, "doc_id", column)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), column).mapInArrow(run, f"doc_id long, {fields}")
+    return small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), column).mapInArrow(run, f"doc_id long, {fields}")
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -39,6 +39,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound what Arrow holds at once for each task: texts can be long, and a batch is held on both sides of the pipe."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def require(df: DataFrame, *columns: str) -> None:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -59,7 +66,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all words when it holds more than `most`, so its memory is bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -87,7 +94,7 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
         return mix(out)
 
 
-def column_slices(batches: Iterator, step: int = 512) -> Iterator[dict[str, list]]:
+def column_slices(batches: Iterator, step: int = 256) -> Iterator[dict[str, list]]:
     """Arrow batches as small dicts of Python lists, so that few texts are held twice."""
     for batch in batches:
         for at in range(0, batch.num_rows, step):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsmith.llm.common import WordHashes, column_slices, mix, require, shingle_hashes, words_of
+from kinsmith.llm.common import WordHashes, column_slices, mix, require, shingle_hashes, small_batches, words_of
 
 SHINGLE, LEAST = 5, 0.75
 RADIUS, BLOCKS, NEAR = 42, 16, 2
@@ -138,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     require(docs, "doc_id", "text")
     require(benchmark, "item_id", "text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for part in _parts(benchmark):
 
@@ -157,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that contaminated() has no match for; no shuffle."""
     require(docs, "text")
-    at = docs.columns.index("text")
+    at = small_batches(docs).columns.index("text")
     for part in _parts(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], part: Benchmark = part) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsmith.llm.common import WordHashes, column_slices, materialize, mix, require, shingle_hashes, words_of
+from kinsmith.llm.common import WordHashes, column_slices, materialize, mix, require, shingle_hashes, small_batches, words_of
 from kinsmith.llm.graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 50, 5
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     true, linked with nothing. Rows that share a doc_id are one node. Empty tables give no rows; other columns are ignored.
     """
     require(docs, "doc_id", "text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, keys array<long>"), "signatures")
     has = signed.where("digest is not null and doc_id is not null")
     reps = materialize(has.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsmith.llm.common import column_slices, require
+from kinsmith.llm.common import column_slices, require, small_batches
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -180,13 +180,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     null or empty text has none. Null doc_id and repeated rows stay as they are; other columns are ignored.
     """
     require(docs, "doc_id", "text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The same rows and columns with secrets in `text` replaced, and n_chars, if there, made to fit."""
     require(docs, "text")
-    at = docs.columns.index("text")
+    at = small_batches(docs).columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
