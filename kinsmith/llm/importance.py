@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsmith.llm.common import column_slices, materialize, mix, require
+from kinsmith.llm.common import column_slices, materialize, mix, require, small_batches
 
 WORD_BITS, SHAPE_BITS = 17, 16
 BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
@@ -98,17 +98,17 @@ def _features(ratio: np.ndarray, codes: _Codes, texts: list[str | None]) -> list
     return [(_sums(r1, ends) + _sums(r2, ends)) / some, np.log1p(-_sums(bad, ends)), _sums(bad < 0, ends) / some, _sums(again, ends) / some, np.log1p(n)]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton's method on standardized columns; weights for the columns as they are, and a constant."""
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack([(x - center) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
-    penalty = np.full(len(w), ridge * len(y) / 100)
-    penalty[-1] = 0
-    for _ in range(30):
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-3
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * w)
-        w += step
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        w += step / max(1.0, np.abs(step).max() / 3)  # bounded, for samples that a plane separates
         if np.abs(step).max() < 1e-8:
             break
     w[:-1] /= scale
@@ -192,7 +192,7 @@ def _kth_largest(keys: DataFrame, k: int, steps: int = 4096) -> float:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Selection, DataFrame]:
     """The selection, and (doc_id, log_weight, key) of all documents as a table."""
     sample = materialize(_sample(labels), "labels")
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")  # bounded by MOST_LABELS
+    marked = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")  # bounded by MOST_LABELS
     counts = marked.select("text", "good").mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
