@@ -10,8 +10,12 @@ from kinsmith.llm.bpe import round_trip
 from kinsmith.llm.common import table
 from kinsmith.llm.decontam import contaminated
 from kinsmith.llm.importance import importance_sample
+from kinsmith.llm.kdtree import top_k
+from kinsmith.llm.lm import score_documents
 from kinsmith.llm.minhash import near_duplicates
 from kinsmith.llm.secrets import scan_secrets
+from kinsmith.llm.urls import filter_urls
+from kinsmith.llm.warc import archive_round_trip
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
