@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsmith.llm.common import WordHashes, column_slices, materialize, mix, require, shingle_hashes, small_batches, words_of
@@ -143,6 +143,10 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def _hashed(name: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(name)), F.lit(HASH_BUCKETS))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id, kept), a row for each row.
 
@@ -171,9 +175,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(bands.join(buckets, "key").select("key", "lead", "rep"), "members")
     needed = members.select("rep").distinct()
     # most documents are in no bucket: a broadcast of at most HASH_BUCKETS numbers drops nearly all of them before the shuffle
-    hashed = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(HASH_BUCKETS))
-    some = needed.select(F.pmod(F.xxhash64("rep"), F.lit(HASH_BUCKETS)).alias("bucket")).distinct()
-    near = docs.where("doc_id is not null").join(F.broadcast(some), hashed == F.col("bucket"), "left_semi")
+    some = needed.select(_hashed("rep").alias("bucket")).distinct()
+    near = docs.where("doc_id is not null").join(F.broadcast(some), _hashed("doc_id") == F.col("bucket"), "left_semi")
     texts = materialize(near.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep", "text"]), "texts")
 
     stars = members.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("rep").agg(F.max(F.struct("c", (-F.col("lead")).alias("neg"))).alias("best"))
@@ -197,3 +200,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without those that near_duplicates() doesn't keep.
+
+    Of rows that share a doc_id one stays. Rows with a null doc_id or without words all stay. Rows that no decision
+    touches are told by a bounded broadcast and don't move.
+    """
+    found = materialize(near_duplicates(docs), "kept")
+    touched = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.bool_and("kept").alias("_kept")).where("_n > 1 or not _kept")
+    touched = materialize(touched, "touched")
+    some = F.broadcast(touched.select(_hashed("_id").alias("_bucket")).distinct())
+    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    far = keyed.join(some, _hashed("_key") == F.col("_bucket"), "left_anti")
+    near = keyed.join(some, _hashed("_key") == F.col("_bucket"), "left_semi").join(touched, F.col("_key") == F.col("_id"), "left").where("_kept is null or _kept")
+    once, again = near.where("coalesce(_n, 1) = 1"), near.where("_n > 1").dropDuplicates(["_key"])
+    names = docs.columns
+    return far.select(*names).unionByName(once.select(*names)).unionByName(again.select(*names))

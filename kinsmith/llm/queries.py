@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinsmith.llm.bpe import round_trip
+from kinsmith.llm.chat import fit_hmm, format_transcripts, raw_transcripts
 from kinsmith.llm.common import table
 from kinsmith.llm.decontam import contaminated
 from kinsmith.llm.importance import importance_sample
@@ -50,6 +51,11 @@ def op8_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_transcripts(table(spark, sf_dir, "conversations"))
+    return format_transcripts(raw, fit_hmm(raw)).withColumnRenamed("seq", "turn")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
