@@ -1,0 +1 @@
+"""Column functions: text, arrays, string similarity, numbers."""
