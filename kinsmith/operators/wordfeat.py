@@ -41,8 +41,8 @@ def log_odds(counts: DataFrame, prior: float) -> DataFrame:
 
 def out_of_fold_log_odds(counts: DataFrame, prior: float) -> DataFrame:
     """(kind, tok, fold, lo): from all folds but the row's own."""
-    t = counts.groupBy("kind", "tok").agg(F.sum("n").alias("N"), F.sum("pos").alias("P"))
-    return counts.join(t, ["kind", "tok"]).select("kind", "tok", "fold", smoothed_log_odds(F.col("N") - F.col("n"), F.col("P") - F.col("pos"), F.lit(prior)).alias("lo"))
+    t = counts.groupBy("kind", "tok").agg(F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all"))
+    return counts.join(t, ["kind", "tok"]).select("kind", "tok", "fold", smoothed_log_odds(F.col("n_all") - F.col("n"), F.col("pos_all") - F.col("pos"), F.lit(prior)).alias("lo"))
 
 
 def fit_table(counts: DataFrame, prior: float, holdout: int, min_n: int = 30) -> DataFrame:
