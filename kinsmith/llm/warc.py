@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsmith.llm.common import require, shared_dir
+from kinsmith.llm.common import materialize, require, shared_dir
 
 #: The digits of base 32 by value, as Spark's conv() and as RFC 4648 write them.
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Size bound of the broadcast that tells payloads which occur once.
+HASH_BUCKETS = 1 << 20
 #: Date of all records, as archives have to be the same whenever they are written.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -44,11 +46,11 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     require(pages, "page_id", "url", "html")
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), _utf8(F.coalesce("html", F.lit(""))).alias("payload"))
     page = page.select("*", F.unhex(F.sha2("payload", 256)).alias("sha256"), F.length("payload").cast("long").alias("bytes"))
-    # digests only are gathered to choose; the payloads then move once, by page, so no digest's rows meet in one place
-    chosen = page.select("page_id", "sha256").groupBy("sha256").agg(F.max("page_id").alias("owner"))
-    narrow = page.select("page_id", "url", "sha256", "bytes", base32_sha1(F.col("payload")).alias("sha1")).join(chosen, "sha256")
-    shared = (F.col("bytes") >= min_bytes) & F.col("owner").isNotNull()
-    revisit = shared & ~F.col("page_id").eqNullSafe(F.col("owner"))
+    # digests only are gathered to choose
+    chosen = materialize(page.select("page_id", "sha256").groupBy("sha256").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")), "digests")
+    narrow = page.select("page_id", "url", "sha256", "bytes", base32_sha1(F.col("payload")).alias("sha1")).join(chosen.drop("n"), "sha256")
+    equal = (F.col("bytes") >= min_bytes) & F.col("owner").isNotNull()
+    revisit = equal & ~F.col("page_id").eqNullSafe(F.col("owner"))
     refers_to = F.when(revisit, F.col("owner"))
     identity = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
     lines = [
@@ -65,9 +67,17 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     ]
     header = _utf8(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n")))
     narrow.select(header.alias("header"), "sha256").write.parquet(f"{path}/records")
-    owners = chosen.select(F.col("owner").alias("page_id"), "sha256")
-    own = page.select("page_id", "sha256", "payload").join(owners, page["page_id"].eqNullSafe(owners["page_id"]) & (page["sha256"] == owners["sha256"]), "left_semi")
-    own.dropDuplicates(["page_id", "sha256"]).select("sha256", "payload").write.parquet(f"{path}/payloads")
+    # payloads of digests that occur once stay where they are, told by a bounded broadcast; the others move by page, so
+    # no digest's rows meet in one place
+    again = chosen.where("n > 1")
+    hashed = F.pmod(F.xxhash64("sha256"), F.lit(HASH_BUCKETS))
+    some = F.broadcast(again.select(hashed.alias("bucket")).distinct())
+    once = page.join(some, hashed == F.col("bucket"), "left_anti").select("sha256", "payload")
+    # page ids as text, as null has to equal null
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    owners = chosen.select(F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("key"), "sha256")
+    shared = page.join(some, hashed == F.col("bucket"), "left_semi").withColumn("key", key).join(owners, ["key", "sha256"], "left_semi")
+    once.unionByName(shared.dropDuplicates(["key", "sha256"]).select("sha256", "payload")).write.parquet(f"{path}/payloads")
 
 
 def _field(name: str) -> Column:
