@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinsmith.functions import similarity as sim
 from kinsmith.functions.arrays import coverage, first, jaccard
@@ -29,7 +30,7 @@ _OUTPUTS = [f"{c}_{k}" for c, kinds in _COMPARISONS.items() for k in kinds]
 CONTEXT = ("r_n", "r_cos_max", "r_nm_max", "r_ad_max", "s_n", "s_cos_max", "r_cos_gap", "r_nm_gap", "r_ad_gap", "s_cos_gap", "r_cos_rank", "s_cos_rank")
 
 
-@pandas_udf(", ".join(f"{c} double" for c in _OUTPUTS))
+@pandas_udf(StructType([StructField(c, DoubleType()) for c in _OUTPUTS]))
 def _compare(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """All string similarities of a batch of pairs in one crossing to Python."""
     cached = {k: lru_cache(maxsize=50_000)(f) for k, f in _KINDS.items()}

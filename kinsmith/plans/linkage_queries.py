@@ -62,26 +62,24 @@ def _(t):
     return decision.threshold(t.candidates(), "p", 0.6).select("rec_idx", "s1_idx", "p")
 
 
-# The expected score of each prefix by enumerating all outcomes, for lists of up to 8 candidates.
-_DP = """, low as (select s1_idx, rec_idx, p, row_number() over (partition by s1_idx order by p desc, rec_idx) r from ex where p >= 0.01::double),
-short as (select s1_idx, count(*) n, list(p order by r) ps from low group by 1 having count(*) <= 8),
-masks as (select s1_idx, n, ps, unnest(range(1::bigint << n)) mask from short),
-prob as (select s1_idx, n, mask, list_product([case when (mask >> (i - 1)) & 1 = 1 then ps[i] else 1 - ps[i] end for i in range(1, n + 1)]) pr from masks),
-ks as (select s1_idx, n, mask, pr, unnest(range(n + 1)) k from prob),
-ev as (select s1_idx, k, sum(case when k = 0 then (case when mask = 0 then pr else 0 end) when tp = 0 then 0 else pr * 1.25 * tp / (1.25 * tp + 0.25 * (tot - tp) + (k - tp)) end) e
-  from (select *, bit_count(mask & ((1::bigint << k) - 1)) tp, bit_count(mask) tot from ks) group by 1, 2),
-pick as (select s1_idx, min(k) k from (select *, max(round(e, 9)) over (partition by s1_idx) b from ev) where round(e, 9) = b group by 1)
+# The distributions of true links among the first k candidates and among the others, as lists, step by step.
+_DP = """, low as (select s1_idx, rec_idx, p, r from (select *, row_number() over (partition by s1_idx order by p desc, rec_idx) r from ex where p >= 0.01::double) where r <= 25),
+size as (select s1_idx, count(*) n from low group by 1),
+hit as (select s1_idx, 0::bigint k, [1::double] d from size union all select hit.s1_idx, k + 1, [coalesce(d[i], 0) * (1 - p) + coalesce(d[i - 1], 0) * p for i in range(1, len(d) + 2)] from hit join low on low.s1_idx = hit.s1_idx and r = k + 1),
+rest as (select s1_idx, n k, [1::double] d from size union all select rest.s1_idx, k - 1, [coalesce(d[i], 0) * (1 - p) + coalesce(d[i - 1], 0) * p for i in range(1, len(d) + 2)] from rest join low on low.s1_idx = rest.s1_idx and r = k),
+a as (select s1_idx, k, unnest(d) pa, generate_subscripts(d, 1) - 1 a from hit), b as (select s1_idx, k, unnest(d) pb, generate_subscripts(d, 1) - 1 b from rest),
+e as (select s1_idx, k, sum(case when k = 0 then (case when b = 0 then pb else 0 end) when a = 0 then 0 else pa * pb * (1.25::double * a) / (1.25::double * a + 0.25::double * b + (k - a)) end) e from a join b using (s1_idx, k) group by 1, 2),
+pick as (select s1_idx, min(k) k from (select *, max(round(e, 10)) over (partition by s1_idx) m from e) where round(e, 10) = m group by 1)
 select low.s1_idx, rec_idx, round(p, 6) p from low join pick using (s1_idx) where r <= k"""
 
 
-@query("dec2_expected_f05", f"{_W}{_EX}{_DP}")
+@query("dec2_expected_f05", f"with recursive {ROLES}{_EX}{_DP}")
 def _(t):
     own = decision.exclusive(t.candidates(), "p", 0.1).where("p >= 0.01")
-    short = own.groupBy("s1_idx").count().where("count <= 8")
-    return decision.expected_f05(own.join(short, "s1_idx", "left_semi"), "p").select("s1_idx", "rec_idx", "p")
+    return decision.expected_f05(own, "p").select("s1_idx", "rec_idx", "p")
 
 
-@query("dec2_expected_f05_whole")
+@query("dec2_expected_f05_with_misses")
 def _(t):
     return decision.expected_f05(t.candidates(), "p", miss=0.05).select("s1_idx", "rec_idx", "p")
 
@@ -126,12 +124,12 @@ def _(t):
  from cand window r as (partition by rec_idx), s as (partition by s1_idx), ro as (partition by rec_idx order by p desc, s1_idx, rec_idx)), o as (select *, greatest(sb_sum - p, 1e-6::double) other from w)
  select rec_idx, s1_idx, round(rb_max, 6) rb_max, round(rb_second, 6) rb_second, rb_rank::double rb_rank, rb_n05::double rb_n05, round(rb_sum, 6) rb_sum, round(case when rb_rank = 1 then p - rb_second else p - rb_max end, 6) rb_gap,
  round(sb_max, 6) sb_max, round(sb_sum, 6) sb_sum, sb_n05::double sb_n05, sb_n09::double sb_n09, sb_rank::double sb_rank, round(sb_sum - p, 6) sb_sum_other,
- round((wnum - p * num_first_eq) / other, 3) peer_num, round((wad - p * ad_tset) / other, 3) peer_ad, round((wnm - p * nm_tset) / other, 3) peer_nm, round((wemp - p * ad_empty_b) / other, 3) peer_emp from o where sb_sum - p > 0.001::double""",
+ round((wnum - p * num_first_eq) / other + 1e-9::double, 4) peer_num, round((wad - p * ad_tset) / other + 1e-9::double, 4) peer_ad, round((wnm - p * nm_tset) / other + 1e-9::double, 4) peer_nm, round((wemp - p * ad_empty_b) / other + 1e-9::double, 4) peer_emp from o where sb_sum - p > 0.001::double""",
 )
 def _(t):
     out = features.consensus_features(t.candidates(), "p").where("sb_sum_other > 0.001")
     names = ["rb_max", "rb_second", "rb_rank", "rb_n05", "rb_sum", "rb_gap", "sb_max", "sb_sum", "sb_n05", "sb_n09", "sb_rank", "sb_sum_other"]
-    return out.select("rec_idx", "s1_idx", *names, *(F.round(c, 3).alias(c) for c in ("peer_num", "peer_ad", "peer_nm", "peer_emp")))
+    return out.select("rec_idx", "s1_idx", *names, *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("peer_num", "peer_ad", "peer_nm", "peer_emp")))
 
 
 @query("win4_second_best", f"{_W} select distinct rec_idx, round(coalesce(nth_value(p, 2) over (partition by rec_idx order by p desc rows between unbounded preceding and unbounded following), max(p) over (partition by rec_idx)), 6) second_p from cand")
@@ -171,11 +169,11 @@ def _(t):
     return decision.prune(blocking.dense_candidates(s, r, 3, 5), 2, 3).select("rec_idx", "s1_idx")
 
 
-@query("agg13_recall_grid", f"""{_VEC}, gt as (select rec_idx, s1_idx from pairs where (rec_idx * 7 + s1_idx) % 23 = 0)
+@query("agg13_recall_grid", f"""{_VEC}, gt as (select rec_idx, s1_idx from pairs where abs(rec_idx - s1_idx) = 1)
  select country::bigint country, {", ".join(f"round(avg(coalesce((rank_r < {a} or rank_s < {b})::int, 0)), 6) recall_{a}_{b}" for a, b in ((1, 0), (3, 0), (3, 5)))}, count(*) n_links from gt left join dense using (rec_idx, s1_idx) join b using (s1_idx) group by 1""")
 def _(t):
     s, r = _sides(t)
-    truth = r.select("rec_idx", "country").join(s.select("s1_idx", "country"), "country").where((F.col("rec_idx") * 7 + F.col("s1_idx")) % 23 == 0)
+    truth = r.select("rec_idx", "country").join(s.select("s1_idx", "country"), "country").where(F.abs(F.col("rec_idx") - F.col("s1_idx")) == 1)
     return evaluation.recall_grid(truth, blocking.dense_candidates(s, r, 3, 5), s.select("s1_idx", "country"), ["country"], ((1, 0), (3, 0), (3, 5)))
 
 
@@ -200,11 +198,11 @@ def _(t):
     return _lexical(t)
 
 
-@query("jn13_add_lexical", f"""{_VEC}, lex as (select rec_idx, s1_idx, cos from pairs where (rec_idx + s1_idx) % 5 = 0)
+@query("jn13_add_lexical", f"""{_VEC}, lex as (select rec_idx, s1_idx, cos from pairs where abs(rec_idx - s1_idx) <= 9)
  select rec_idx, s1_idx, round(cos, 5) cos, rank_r, rank_s, false lex from dense union all select rec_idx, s1_idx, round(cos, 5), 255, 255, true from lex where not exists (select 1 from dense d where d.rec_idx = lex.rec_idx and d.s1_idx = lex.s1_idx)""")
 def _(t):
     s, r = _sides(t)
-    lex = r.select("rec_idx", "country").join(s.select("s1_idx", "country"), "country").where((F.col("rec_idx") + F.col("s1_idx")) % 5 == 0).select("rec_idx", "s1_idx")
+    lex = r.select("rec_idx", "country").join(s.select("s1_idx", "country"), "country").where(F.abs(F.col("rec_idx") - F.col("s1_idx")) <= 9).select("rec_idx", "s1_idx")
     return blocking.add_lexical(blocking.dense_candidates(s, r, 3, 5), lex, s, r).withColumn("cos", F.round("cos", 5))
 
 
@@ -301,13 +299,13 @@ def _(t):
 
 
 def _features(t: Tables) -> DataFrame:
-    f = features.context_features(t.candidates().withColumnRenamed("p", "cos")).where("rec_idx % 7 = 0")
+    f = features.context_features(t.candidates().withColumnRenamed("p", "cos"))
     return models.labelled(f, t.truth(), t.s1().withColumn("fold", (F.col("s1_idx") % 3).cast("int")))
 
 
 @query("mdl3_cross_fit_gbt")
 def _(t):
-    """Boosted trees by fold, on every seventh order: the lists of a sample of records, as training has them."""
+    """Boosted trees by fold."""
     f = _features(t)
     return models.cross_fit(f, models.feature_columns(f), 3, "pA", models.gbt_learner(5, 3))[0].select("s1_idx", "rec_idx", "fold", "y", "pA")
 
@@ -316,7 +314,7 @@ def _(t):
 def _(t):
     """Out-of-fold A, consensus features from it, then out-of-fold B."""
     f = _features(t)
-    a = models.cross_fit(f, models.feature_columns(f), 3, "pA", models.logistic_learner())[0]
+    a = models.cross_fit(f, models.feature_columns(f), 3, "pA", models.logistic_learner())[0].persist()
     b = features.consensus_features(a, "pA")
     return models.cross_fit(b, models.feature_columns(b), 3, "pB", models.logistic_learner())[0].select("s1_idx", "rec_idx", "pA", "pB")
 

@@ -65,9 +65,9 @@ def _(t):
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("toxic").isNull().alias("missing"))
 
 
-@query("prj6_clip", "select l_orderkey, l_linenumber::bigint l_linenumber, case when l_quantity is not null then least(greatest(l_quantity, 10), 40) end::double q from lineitem where l_orderkey % 50 = 0")
+@query("prj6_clip", "select l_orderkey, l_linenumber::bigint l_linenumber, case when l_quantity is not null then least(greatest(l_quantity, 10), 40) end::double q from lineitem")
 def _(t):
-    return t.lineitem.where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", clip(F.col("l_quantity"), 10.0, 40.0).alias("q"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", clip(F.col("l_quantity"), 10.0, 40.0).alias("q"))
 
 
 @query("prj7_dict_replace", "select event_id, case event_type when 'click' then 'tap' when 'view' then 'look' else event_type end kept, case event_type when 'click' then 'tap' when 'view' then 'look' end strict from events".replace(" strict from", " only_mapped from"))
@@ -133,9 +133,9 @@ def _(t):
     return t.s1().select("s1_idx").join(t.truth().groupBy("s1_idx").agg(F.count(F.lit(1)).alias("n")), "s1_idx", "left").na.fill(0)
 
 
-@query("jn4_left_keeps_order", "select doc_id, string_agg(coalesce(m, w), ' ' order by pos) txt from (select doc_id, unnest(string_split(text, ' ')) w, generate_subscripts(string_split(text, ' '), 1) pos from documents where doc_id % 20 = 0) left join (values ('the', 'THE'), ('of', 'OF')) v(k, m) on w = k group by 1")
+@query("jn4_left_keeps_order", "select doc_id, string_agg(coalesce(m, w), ' ' order by pos) txt from (select doc_id, unnest(string_split(text, ' ')) w, generate_subscripts(string_split(text, ' '), 1) pos from documents) left join (values ('the', 'THE'), ('of', 'OF')) v(k, m) on w = k group by 1")
 def _(t):
-    words = t.documents.where("doc_id % 20 = 0").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     table = t.spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("w"), F.lit(b).alias("m")) for a, b in (("the", "THE"), ("of", "OF"))))))
     return words.join(hinted(table), "w", "left").withColumn("w", F.coalesce("m", "w")).groupBy("doc_id").agg(ordered_join("pos", "w", " ").alias("txt"))
 
@@ -150,9 +150,9 @@ def _(t):
     return t.s1().select("s1_idx").join(t.truth(), "s1_idx", "left_anti")
 
 
-@query("jn8_right_universe", f"{_W} select s1_idx, coalesce(n, 0) n from (select s1_idx, count(*) n from truth where rec_idx % 2 = 0 group by 1) right join s1 using (s1_idx)")
+@query("jn8_right_universe", f"{_W} select s1_idx, coalesce(n, 0) n from (select s1_idx, count(*) n from truth join orders on o_orderkey = rec_idx where o_totalprice > 150000 group by 1) right join s1 using (s1_idx)")
 def _(t):
-    n = t.truth().where("rec_idx % 2 = 0").groupBy("s1_idx").agg(F.count(F.lit(1)).alias("n"))
+    n = t.truth().join(t.orders.where("o_totalprice > 150000").select(F.col("o_orderkey").alias("rec_idx")), "rec_idx", "left_semi").groupBy("s1_idx").agg(F.count(F.lit(1)).alias("n"))
     return n.join(t.s1().select("s1_idx"), "s1_idx", "right").select("s1_idx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -169,10 +169,10 @@ def _(t):
     return t.part.select("p_partkey", (F.count(F.lit(1)).over(w) - 1).alias("twins")).where("twins > 0")
 
 
-@query("jn14_map_application", """with w as (select doc_id, unnest(string_split(text, ' ')) tok from documents where doc_id % 10 = 0), m as (select tok, min(doc_id)::varchar t from w group by 1 having count(*) between 5 and 20)
+@query("jn14_map_application", """with w as (select doc_id, unnest(string_split(text, ' ')) tok from documents), m as (select tok, min(doc_id)::varchar t from w group by 1 having count(*) between 5 and 20)
  select doc_id, count(*) n, sum((t is not null)::int)::bigint mapped, count(distinct coalesce(t, tok)) kinds from w left join m using (tok) group by 1""")
 def _(t):
-    w = t.documents.where("doc_id % 10 = 0").select("doc_id", F.explode(F.split("text", " ")).alias("tok"))
+    w = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("tok"))
     m = w.groupBy("tok").agg(F.min("doc_id").cast("string").alias("to"), F.count(F.lit(1)).alias("n")).where("n between 5 and 20").drop("n")
     return w.join(hinted(m), "tok", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("to").alias("mapped"), F.count_distinct(F.coalesce("to", "tok")).alias("kinds"))
 
@@ -275,9 +275,9 @@ def _(t):
 
 
 # ---- windows
-@query("win1_partition_count", "select l_orderkey, l_linenumber::bigint l_linenumber, l_partkey, count(*) over (partition by l_orderkey) n from lineitem where l_orderkey % 10 = 0")
+@query("win1_partition_count", "select l_orderkey, l_linenumber::bigint l_linenumber, l_partkey, count(*) over (partition by l_orderkey) n from lineitem")
 def _(t):
-    return t.lineitem.where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
 
 
 _PAIRS = "with x as (select l_orderkey, l_suppkey, sum(l_quantity) q from lineitem group by 1, 2)"
@@ -359,9 +359,9 @@ def _(t):
     return t.part.select("p_partkey", smoothed_log_odds(F.lit(50), F.col("p_size"), F.lit(0.5)).alias("lo"))
 
 
-@query("mth2_f_half", "select l_orderkey, l_linenumber::bigint l_linenumber, l_partkey, round(case when 1.25 * a + 0.25 * c + b > 0 then (1.25 * a)::double / (1.25 * a + 0.25 * c + b)::double else 1 end, 6) f from (select *, l_orderkey % 3 a, l_partkey % 2 b, l_suppkey % 4 c from lineitem where l_orderkey % 20 = 0)")
+@query("mth2_f_half", "select l_orderkey, l_linenumber::bigint l_linenumber, l_partkey, round(case when 1.25 * a + 0.25 * c + b > 0 then (1.25 * a)::double / (1.25 * a + 0.25 * c + b)::double else 1 end, 6) f from (select *, l_orderkey % 3 a, l_partkey % 2 b, l_suppkey % 4 c from lineitem)")
 def _(t):
-    return t.lineitem.where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey", f_half(F.col("l_orderkey") % 3, F.col("l_partkey") % 2, F.col("l_suppkey") % 4).alias("f"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", f_half(F.col("l_orderkey") % 3, F.col("l_partkey") % 2, F.col("l_suppkey") % 4).alias("f"))
 
 
 @query("mth3_bucket_round_abs", "select c_custkey, c_custkey % 7 b, round(abs(c_acctbal), 0) a from customer")

@@ -1 +1,552 @@
-"""Text, similarity, array, mining, normalization and report queries."""
+"""Text, similarity, array, mining, normalization and report queries.
+
+Names are document sources with languages, customer and supplier names and part names; addresses are page urls, segments
+and brands; documents' whole texts are cleaned and folded.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from kinsmith.functions import arrays as arr
+from kinsmith.functions import similarity as sim
+from kinsmith.functions import text as tx
+from kinsmith.operators import encode, features, mining, models, normalize, prepare, wordfeat
+from kinsmith.operators.evaluation import macro, per_entity
+from kinsmith.plans.catalog import ROLES, Tables, query
+from kinsmith.plans.run import Settings, linkage
+from kinsmith.sources import tables as src
+
+_W = f"with {ROLES}"
+_FOLD = "lower(strip_accents(text))"
+#: A name as sources have them, from a document's columns.
+_RAW = "'(ID: ' || doc_id || ') ' || source || ' L.L.C. & Co et www.' || lang || '.com f/k/a old ' || lang"
+
+
+def _raw_names(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("(ID: "), F.col("doc_id").cast("string"), F.lit(") "), F.col("source"), F.lit(" L.L.C. & Co et www."), F.col("lang"), F.lit(".com f/k/a old "), F.col("lang"))
+    return t.documents.select("doc_id", name.alias("name"), F.concat(F.col("doc_id").cast("string"), F.lit(" bis Road Street, #"), F.col("n_chars").cast("string"), F.lit(" none Avenue Avenue")).alias("address"))
+
+
+# ---- strings
+@query("str1_accent_fold", f"select doc_id, {_FOLD} folded from documents")
+def _(t):
+    return t.documents.select("doc_id", tx.fold(F.col("text")).alias("folded"))
+
+
+@query("str2_dotted_forms", "select doc_id, 'llc ' || source || ' sarl ltd' x from documents")
+def _(t):
+    return t.documents.select("doc_id", tx.collapse_dotted(F.concat(F.lit("l.l.c. "), "source", F.lit(" s.a.r.l l. t. d."))).alias("x"))
+
+
+@query("str3_clean_name", "select doc_id, trim(regexp_replace('  ' || source || ' llc  and  co  and  ' || lang || '  f/k/a old ' || lang, ' +', ' ', 'g')) x from documents")
+def _(t):
+    return _raw_names(t).select("doc_id", F.trim(F.regexp_replace(tx.clean_name(F.col("name")), " +", " ")).alias("x"))
+
+
+@query("str4_clean_tokens", f"select doc_id, trim(regexp_replace({_FOLD}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')) x from documents")
+def _(t):
+    return t.documents.select("doc_id", tx.clean_tokens(tx.fold(F.col("text"))).alias("x"))
+
+
+@query("str5_clean_address", "select doc_id, doc_id || ' road street, ' || n_chars || ' avenue avenue' x from documents")
+def _(t):
+    return _raw_names(t).select("doc_id", F.regexp_replace(tx.clean_address(F.col("address")), " +", " ").alias("x"))
+
+
+@query("str6_other_name", "select doc_id, ' old ' || lang alt, source || ' ' own from documents")
+def _(t):
+    n = F.concat("source", F.lit(" f/k/a old "), "lang")
+    return t.documents.select("doc_id", tx.other_name(n).alias("alt"), tx.without_other_name(n).alias("own"))
+
+
+@query("str7_non_latin", "select doc_id, regexp_matches(text, '[^\\x00-\\x{024F}\\s]') other from documents")
+def _(t):
+    return t.documents.select("doc_id", tx.is_non_latin(F.col("text")).alias("other"))
+
+
+@query("str8_tokenize", "select doc_id, len(string_split(text, ' ')) n, string_split(text, ' ')[1] first_token from documents")
+def _(t):
+    w = tx.tokens(F.col("text"))
+    return t.documents.select("doc_id", F.size(w).alias("n"), arr.first(w).alias("first_token"))
+
+
+@query("str9_extract_all", "select doc_id, array_to_string(regexp_extract_all(text, '[0-9]+', 0), ' ') nums from documents")
+def _(t):
+    return t.documents.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), " ").alias("nums"))
+
+
+@query("str10_extract_or_null", "select page_id, nullif(regexp_extract(url, '/([a-z]+)/[0-9]+', 1), '') lang from pages")
+def _(t):
+    return t.pages.select("page_id", tx.extract_or_null(F.col("url"), "/([a-z]+)/[0-9]+", 1).alias("lang"))
+
+
+@query("str11_plain_numbers", "select c_custkey, coalesce(nullif(ltrim(regexp_extract(c_name, '[0-9]+', 0), '0'), ''), '0') n from customer")
+def _(t):
+    return t.customer.select("c_custkey", tx.plain_number(F.regexp_extract("c_name", "[0-9]+", 0)).alias("n"))
+
+
+@query("str12_basic_functions", "select p_partkey, length(p_name) len, length(p_name) - length(replace(p_name, ' ', '')) spaces, trim('  ' || p_name || ' ') trimmed, starts_with(p_brand, 'Brand#2') two, substr(p_type, 2, 3) part, replace(p_name, ' ', '') flat, upper(p_name) loud from part")
+def _(t):
+    p = F.col("p_name")
+    return t.part.select("p_partkey", F.length(p).alias("len"), F.regexp_count(p, F.lit(" ")).alias("spaces"), F.trim(F.concat(F.lit("  "), p, F.lit(" "))).alias("trimmed"), F.col("p_brand").startswith("Brand#2").alias("two"), F.substring("p_type", 2, 3).alias("part"), F.replace(p, F.lit(" "), F.lit("")).alias("flat"), F.upper(p).alias("loud"))
+
+
+@query("str13_romanize", "select doc_id, 'namaste' || ' ' || source x from documents")
+def _(t):
+    # written in Devanagari
+    return t.documents.select("doc_id", F.concat(tx.romanized(F.lit("नमस्ते")), F.lit(" "), "source").alias("x"))
+
+
+@query("str14_component_key", f"select doc_id, trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')) k from documents")
+def _(t):
+    return t.documents.select("doc_id", tx.component_key(F.col("text")).alias("k"))
+
+
+@query("str15_script", "select doc_id, 'LATIN' script from documents")
+def _(t):
+    return t.documents.select("doc_id", tx.script_of(F.col("text")).alias("script"))
+
+
+@query("str16_fixed_tables", "select p_partkey, case p_size % 4 when 0 then 'rd' when 1 then 'ave' when 2 then 'blvd' else p_brand end street, case p_size % 3 when 0 then 'inc' when 1 then 'ltd' end legal from part")
+def _(t):
+    street = F.get(F.array(F.lit("road"), F.lit("avenue"), F.lit("bld"), F.col("p_brand")), F.col("p_size") % 4)
+    legal = F.get(F.array(F.lit("incorporated"), F.lit("limited"), F.lit("none")), F.col("p_size") % 3)
+    return t.part.select("p_partkey", tx.replace_by(street, tx.STREET_WORDS).alias("street"), tx.replace_by(legal, tx.LEGAL_FORMS, keep=False).alias("legal"))
+
+
+# ---- similarity: part names, of which pairs share their brand and size
+_PAIRS = "with x as (select a.p_partkey a, b.p_partkey b, a.p_name na, b.p_name nb from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey)"
+
+
+def _name_pairs(t: Tables) -> DataFrame:
+    a = t.part.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("p_name").alias("na"))
+    b = t.part.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("p_name").alias("nb"))
+    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", "na", "nb")
+
+
+for _id, _f in (("sim1_ratio", sim.ratio_udf), ("sim2_token_set_ratio", sim.token_set_udf), ("sim3_token_sort_ratio", sim.token_sort_udf), ("sim4_partial_ratio", sim.partial_udf), ("sim5_partial_token_set_ratio", sim.partial_token_set_udf), ("sim9_words_swapped", sim.words_swapped_udf)):
+
+    @query(_id)
+    def _(t, f=_f):
+        return _name_pairs(t).select("a", "b", f("na", "nb").alias("score"))
+
+
+@query("sim6_jaro_winkler", f"{_PAIRS} select a, b, round(jaro_winkler_similarity(na, nb), 6) score from x")
+def _(t):
+    return _name_pairs(t).select("a", "b", sim.jaro_winkler_udf("na", "nb").alias("score"))
+
+
+@query("sim7_levenshtein", f"{_PAIRS} select a, b, levenshtein(na, nb) score from x")
+def _(t):
+    return _name_pairs(t).select("a", "b", F.levenshtein("na", "nb").alias("score"))
+
+
+@query("sim8_dot_product", "select a.vec_id a, b.vec_id b, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 5) cos from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id")
+def _(t):
+    e = t.embeddings
+    a, b = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
+    return a.join(b, "label").where("a < b").select("a", "b", F.round(arr.dot(F.col("x"), F.col("y")), 5).alias("cos"))
+
+
+# ---- arrays: words of a document and of its own lower-cased text
+_SPLIT = "with w as (select doc_id, string_split(text, ' ') a, string_split(lower(text), ' ') b from documents)"
+
+
+def _word_lists(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.split("text", " ").alias("a"), F.split(F.lower("text"), " ").alias("b"))
+
+
+@query("arr1_explode", f"{_SPLIT}, e as (select doc_id, unnest(a) x, unnest(b) y from w) select x, count(*) n, count(distinct y) kinds from e group by 1")
+def _(t):
+    return _word_lists(t).select(F.explode(F.arrays_zip(F.col("a").alias("x"), F.col("b").alias("y"))).alias("e")).groupBy("e.x").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("e.y").alias("kinds"))
+
+
+@query("arr2_difference", f"{_SPLIT}, ea as (select distinct doc_id, unnest(a) x from w), eb as (select distinct doc_id, unnest(b) x from w) select doc_id, (select count(*) from (select x from ea where ea.doc_id = w.doc_id except select x from eb where eb.doc_id = w.doc_id)) n from w".replace("select doc_id, (select count(*) from (select x from ea where ea.doc_id = w.doc_id except select x from eb where eb.doc_id = w.doc_id)) n from w", "select w.doc_id, coalesce(n, 0) n from w left join (select doc_id, count(*) n from ea anti join eb using (doc_id, x) group by 1) using (doc_id)"))
+def _(t):
+    return _word_lists(t).select("doc_id", F.size(F.array_except("a", "b")).alias("n"))
+
+
+@query("arr3_intersection_union", f"{_SPLIT}, ea as (select distinct doc_id, unnest(a) x from w), eb as (select distinct doc_id, unnest(b) x from w), i as (select doc_id, count(*) i from ea join eb using (doc_id, x) group by 1), u as (select doc_id, count(*) u from (select * from ea union select * from eb) group by 1) select doc_id, coalesce(i, 0) i, u from u left join i using (doc_id)")
+def _(t):
+    return _word_lists(t).select("doc_id", F.size(F.array_intersect("a", "b")).alias("i"), F.size(F.array_union("a", "b")).alias("u"))
+
+
+@query("arr4_distinct_contains_join", f"{_SPLIT} select doc_id, len(list_distinct(a)) kinds, len(a) n, list_contains(a, 'the') the, array_to_string(a, '_') joined from w")
+def _(t):
+    return _word_lists(t).select("doc_id", F.size(F.array_distinct("a")).alias("kinds"), F.size("a").alias("n"), F.array_contains("a", "the").alias("the"), F.array_join("a", "_").alias("joined"))
+
+
+@query("arr5_element_functions", f"{_SPLIT} select doc_id, array_to_string(list_sort([lower(x) for x in a if length(x) > 6]), ' ') long_words from w")
+def _(t):
+    up = F.transform(F.filter("a", lambda x: F.length(x) > 6), F.lower)
+    return _word_lists(t).select("doc_id", F.array_join(F.array_sort(up), " ").alias("long_words"))
+
+
+@query("arr6_jaccard_coverage", f"{_SPLIT}, ea as (select distinct doc_id, unnest(a) x from w), eb as (select distinct doc_id, unnest(b) x from w), i as (select doc_id, count(*) i from ea join eb using (doc_id, x) group by 1), u as (select doc_id, count(*) u from (select * from ea union select * from eb) group by 1) select doc_id, round(coalesce(i, 0) / u, 6) j, round(coalesce(i, 0) / len(list_distinct(b)), 6) c from u join w using (doc_id) left join i using (doc_id)")
+def _(t):
+    return _word_lists(t).select("doc_id", arr.jaccard(F.col("a"), F.col("b")).alias("j"), arr.coverage(F.col("a"), F.array_distinct("b")).alias("c"))
+
+
+@query("arr7_in_subquery", "select doc_id from documents where doc_id in (select doc_id from labels where quality = 0)")
+def _(t):
+    return t.documents.select("doc_id").join(t.labels.where("quality = 0"), "doc_id", "left_semi")
+
+
+@query("srt3_list_ends", f"{_SPLIT} select doc_id, array_to_string(a[1:4], ' ') h, a[1] f, a[-1] l from w")
+def _(t):
+    a = F.col("a")
+    return _word_lists(t).select("doc_id", F.array_join(arr.head(a, 4), " ").alias("h"), arr.first(a).alias("f"), arr.last(a).alias("l"))
+
+
+@query("srt4_longest_in_list", f"{_SPLIT} select doc_id, list_reduce(a, lambda x, y: case when length(y) > length(x) then y else x end) w from w")
+def _(t):
+    return _word_lists(t).select("doc_id", arr.longest(F.col("a")).alias("w"))
+
+
+# ---- mining: exact twins of documents as links, names and addresses made from them
+def _twins(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as records, the first of each text as entities, and their links; names are languages and sources."""
+    d = t.documents.withColumn("s1_idx", F.min("doc_id").over(Window.partitionBy(F.sha2("text", 256))))
+    side = lambda x, key: x.select(F.col("doc_id").alias(key), F.concat(F.lit("Firm "), "source").alias("name"), F.concat(F.col("doc_id").cast("string"), F.lit(" Road, "), "lang", F.lit(", "), "source").alias("address"), F.col("lang").alias("country"))
+    return side(d.where("doc_id = s1_idx"), "s1_idx"), side(d, "rec_idx").withColumn("src", F.lit(2)), d.select("s1_idx", F.col("doc_id").alias("rec_idx"))
+
+
+_LINKED = """with d as (select doc_id, source, lang, min(doc_id) over (partition by text) s1_idx from documents), s as (select doc_id s1_idx, ['firm', source] n_s1, [doc_id::varchar, 'road', lang, source] a_s1 from d where doc_id = s1_idx),
+ l as (select d.s1_idx, doc_id rec_idx, n_s1, a_s1, ['firm', source] n_rec, [doc_id::varchar, 'road', lang, source] a_rec from d join s using (s1_idx))"""
+
+
+@query("dic1_linked_tokens", f"{_LINKED} select s1_idx, rec_idx, array_to_string(n_s1, ' ') n_s1, array_to_string(a_s1, ' ') a_s1, array_to_string(n_rec, ' ') n_rec, array_to_string(a_rec, ' ') a_rec from l")
+def _(t):
+    s, r, truth = _twins(t)
+    x = mining.linked_tokens(truth, s, r)
+    return x.select("s1_idx", "rec_idx", *(F.array_join(c, " ").alias(c) for c in ("n_s1", "a_s1", "n_rec", "a_rec")))
+
+
+@query("dic2_name_map")
+def _(t):
+    """Suppliers' names in another script beside their Latin ones: the mined map says which token is which."""
+    s = t.supplier.select(F.array(F.lit("shri"), F.concat(F.lit("t"), (F.col("s_suppkey") % 7).cast("string"))).alias("n_s1"), F.array(F.lit("श्री"), F.concat(F.lit("त"), (F.col("s_suppkey") % 7).cast("string"))).alias("n_rec"))
+    return mining.name_map(s)
+
+
+@query("dic3_co_occurrence", f"{_LINKED}, e as (select unnest(a_rec) tok, a_s1, a_rec from l), e2 as (select distinct tok, a_s1, a_rec, 0 from e where not list_contains(a_s1, tok)), x as (select s1_idx, rec_idx, unnest([y for y in a_rec if not list_contains(a_s1, y)]) tok, a_s1, a_rec from l), z as (select tok, unnest([y for y in a_s1 if not list_contains(a_rec, y)]) target from x) select tok, target \"to\", count(*) n from z where not regexp_matches(tok, '^[0-9]+[a-z]?$') and not regexp_matches(target, '^[0-9]+[a-z]?$') group by 1, 2")
+def _(t):
+    s, r, truth = _twins(t)
+    return mining.co_occurring(mining.linked_tokens(truth, s, r)).groupBy("tok", "to").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dic3_address_map")
+def _(t):
+    s, r, truth = _twins(t)
+    return mining.address_map(mining.linked_tokens(truth, s, r), min_count=1, min_share=0.1, most_rare=10.0)
+
+
+@query("geo1_component_map")
+def _(t):
+    s, r, truth = _twins(t)
+    named = lambda x: x.withColumn("address", F.regexp_replace("address", "src[0-9]+", "somewhere"))
+    return mining.component_map(truth, named(s).withColumn("address", F.regexp_replace("address", "somewhere", "here")), named(r), min_count=5, min_share=0.5)
+
+
+@query("geo2_apply_components", "select doc_id rec_idx, doc_id || ' Road,' || case lang when 'en' then 'english' when 'fr' then 'french' else ' ' || lang end || ', ' || source address from documents")
+def _(t):
+    _, r, _ = _twins(t)
+    table = t.spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in (("en", "english"), ("fr", "french"))))))
+    return mining.apply_components(r, "rec_idx", table).select("rec_idx", "address")
+
+
+# ---- normal forms
+@query("nrm1_map_tokens", "select doc_id, unnest(['the', case source when 'src1' then 'one' else source end]) tok from documents")
+def _(t):
+    long = t.documents.select("doc_id", F.explode(F.array(F.lit("the"), "source")).alias("tok"))
+    return normalize.map_tokens(long, t.spark.range(1).select(F.lit("src1").alias("tok"), F.lit("one").alias("to")))
+
+
+@query("nrm2_normalize", "select doc_id, source || ' and and ' || lang name_core, 'old ' || lang name_alt, 'co llc' legal, doc_id || ' rd st ' || n_chars || ' ave' addr, doc_id || ' ' || n_chars nums, false nonlatin from documents")
+def _(t):
+    out = normalize.normalize(_raw_names(t), "doc_id")
+    return out.select("doc_id", "name_core", "name_alt", "legal", "addr", F.array_join("nums", " ").alias("nums"), "nonlatin")
+
+
+@query("nrm3_normalize_with_maps")
+def _(t):
+    s, r, truth = _twins(t)
+    names = t.spark.range(1).select(F.lit("firm").alias("tok"), F.lit("company ltd").alias("to"))
+    parts = t.spark.range(1).select(F.lit("en").alias("from"), F.lit("english").alias("to"))
+    return normalize.normalize_split(r, "rec_idx", names, None, parts).select("rec_idx", "name_core", "legal", "addr")
+
+
+@query("enc1_text_template", "select doc_id, 'query: ' || source || ' and and ' || lang || ' co llc | ' || doc_id || ' rd st ' || n_chars || ' ave' txt from documents")
+def _(t):
+    return normalize.texts_for_embedding(normalize.normalize(_raw_names(t), "doc_id"), "doc_id").withColumnRenamed("text", "txt")
+
+
+@query("enc2_triplets")
+def _(t):
+    s = t.customer.select(F.col("c_custkey").alias("s1_idx"), F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("name_core"))
+    return encode.triplets(t.truth(), s, 1000, 42)
+
+
+@query("enc3_weighted_embedding")
+def _(t):
+    return encode.weighted_embed(t.documents.select("doc_id", "text"), t.documents.select("text"), "text").select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("norm"))
+
+
+@query("enc4_embedding", "select p_partkey, 1.0::double norm from part")
+def _(t):
+    e = encode.embed(t.part, "p_name", as_array=True)
+    return e.select("p_partkey", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("norm"))
+
+
+# ---- features of pairs: documents of equal source and language, normalized names
+def _pair_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s, r, truth = _twins(t)
+    sn = normalize.normalize(s, "s1_idx").join(s.select("s1_idx", "country"), "s1_idx").persist()
+    rn = normalize.normalize(r, "rec_idx").join(r.select("rec_idx", "country", "src"), "rec_idx").persist()
+    pairs = truth.select("s1_idx", "rec_idx", F.lit(0.5).alias("cos"), F.lit(0).alias("rank_r"), F.lit(1).alias("rank_s"))
+    return pairs, sn, rn
+
+
+@query("fea2_pair_features")
+def _(t):
+    pairs, s, r = _pair_tables(t)
+    f = features.pair_features(pairs, s, r, features.name_frequencies(s, r, "s1_idx", "s1_name_freq", "n_rec_same"), features.name_frequencies(r, s, "rec_idx", "rec_name_freq", "n_s1_same"))
+    return f
+
+
+@query("fea2_plain_columns", """with d as (select doc_id, source, lang, min(doc_id) over (partition by text) s1_idx from documents), s as (select doc_id s1_idx, source, lang from d where doc_id = s1_idx)
+ select d.s1_idx, doc_id rec_idx, (s.source = d.source)::int::double nm_eq, length('firm ' || s.source)::double nm_len_a, length('firm ' || d.source)::double nm_len_b, (d.s1_idx = doc_id)::int::double num_first_eq, levenshtein(d.s1_idx::varchar, doc_id::varchar)::double num_first_lev, 1.0::double num_n_a from d join s using (s1_idx)""")
+def _(t):
+    pairs, s, r = _pair_tables(t)
+    f = features.pair_features(pairs, s, r, s.select("s1_idx", F.lit(1).alias("s1_name_freq"), F.lit(1).alias("n_rec_same")), r.select("rec_idx", F.lit(1).alias("rec_name_freq"), F.lit(1).alias("n_s1_same")))
+    return f.select("s1_idx", "rec_idx", "nm_eq", "nm_len_a", "nm_len_b", "num_first_eq", "num_first_lev", "num_n_a")
+
+
+_DIFF = "with d as (select doc_id, source, lang, min(doc_id) over (partition by text) s1_idx from documents), s as (select doc_id s1_idx, source from d where doc_id = s1_idx), x as (select d.s1_idx, doc_id rec_idx, s.source a, d.source b from d join s using (s1_idx) where s.source <> d.source)"
+
+
+@query("wrd1_differing_words", _DIFF.replace(" where s.source <> d.source", "") + " select s1_idx, rec_idx, case when a <> b then b else '' end extra, case when a <> b then a else '' end miss, 0::bigint ntok_diff from x")
+def _(t):
+    pairs, s, r = _pair_tables(t)
+    d = wordfeat.differing_words(pairs, s, r)
+    return d.select("s1_idx", "rec_idx", F.array_join("extra", " ").alias("extra"), F.array_join("miss", " ").alias("miss"), "ntok_diff")
+
+
+@query("wrd2_long_words", _DIFF + " select s1_idx, rec_idx, 'extra' kind, b tok from x union all select s1_idx, rec_idx, 'miss', a from x")
+def _(t):
+    pairs, s, r = _pair_tables(t)
+    return wordfeat.long_words(wordfeat.differing_words(pairs, s, r))
+
+
+@query("wrd4_word_features")
+def _(t):
+    pairs, s, r = _pair_tables(t)
+    words = wordfeat.long_words(wordfeat.differing_words(pairs, s, r)).persist()
+    labels = pairs.select("s1_idx", "rec_idx", F.lit(1).alias("y"), (F.col("s1_idx") % 5).alias("fold"))
+    counts = wordfeat.word_counts(words, labels).persist()
+    emb = wordfeat.transferred(words, wordfeat.fit_transfer(wordfeat.fit_table(counts, 0.5, 0, 1)))
+    return wordfeat.word_features(pairs.select("s1_idx", "rec_idx"), words, wordfeat.log_odds(counts, 0.5), emb)
+
+
+@query("wrd5_word_embedding", "select distinct p_name tok, 1.0::double norm from part")
+def _(t):
+    e = encode.embed(t.part.select(F.col("p_name").alias("tok")).distinct(), "tok", as_array=True)
+    return e.select("tok", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("norm"))
+
+
+@query("crs2_pair_texts", f"{_W} select s1_idx, rec_idx, c_name || ' | ' || c_mktsegment text_a, o_orderstatus || ' | ' || o_orderpriority text_b from truth join customer on c_custkey = s1_idx join orders on o_orderkey = rec_idx")
+def _(t):
+    s = t.customer.select(F.col("c_custkey").alias("s1_idx"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("address"))
+    r = t.orders.select(F.col("o_orderkey").alias("rec_idx"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("address"))
+    return models.pair_texts(t.truth(), s, r)
+
+
+def _text_pairs(t: Tables) -> DataFrame:
+    """Pairs of parts' names; y says whether their first letters are equal, folds come from the first id."""
+    x = _name_pairs(t).select(F.col("a").alias("s1_idx"), F.col("b").alias("rec_idx"), F.col("na").alias("text_a"), F.col("nb").alias("text_b"))
+    return x.withColumns({"y": (F.substring("text_a", 1, 1) == F.substring("text_b", 1, 1)).cast("int"), "fold": (F.col("s1_idx") % 5).cast("int")})
+
+
+@query("crs3_text_pair_scorer")
+def _(t):
+    x = _text_pairs(t).persist()
+    return models.TextPairScorer(128).fit(x).score(x, "ce").select("s1_idx", "rec_idx", "y", "ce")
+
+
+@query("crs4_cross_scores")
+def _(t):
+    x = _text_pairs(t).persist()
+    return models.cross_score(x, models.cross_scorers(x, lambda: models.TextPairScorer(128))).select("s1_idx", "rec_idx", "fold", "ce")
+
+
+@query("adp1_self_training")
+def _(t):
+    """Scorers refitted on pairs that they are sure of; the scores before and after."""
+    x = _text_pairs(t).persist()
+    make = lambda: models.TextPairScorer(128)
+    old = models.cross_scorers(x, make)
+    sure = models.cross_score(x.where("fold = 0"), old).where("abs(ce) > 1").withColumn("y", (F.col("ce") > 0).cast("int"))
+    new, _ = models.adapt(old, sure, x, x.where("fold = 0"), 500, make=make)
+    before = models.cross_score(x, old)
+    after = models.cross_score(x.where("fold = 0"), new)
+    return models.updated(before.select("s1_idx", "rec_idx", "ce"), after)
+
+
+# ---- preparation and reports
+def _entity_sources(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Customers as S1, orders as S2 and S3 by status, links as comma lists of order ids."""
+    s1 = t.customer.select(F.concat(F.lit("S1_"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("entity_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("address"), F.col("c_nationkey").cast("string").alias("country"))
+    o = t.orders.select("*", F.concat(F.when(F.col("o_orderstatus") == "F", "S2_").otherwise("S3_"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("entity_id"))
+    side = lambda w: o.where(w).select("entity_id", F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("address"), (F.col("o_custkey") % 25).cast("string").alias("country"))
+    lists = o.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(arr.distinct_join(F.col("entity_id"), ",").alias("matched_entity_ids"))
+    truth = t.customer.join(lists, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.concat(F.lit("S1_"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("source1_entity_id"), F.coalesce("matched_entity_ids", F.lit("")).alias("matched_entity_ids"))
+    return s1, side("o_orderstatus = 'F'"), side("o_orderstatus <> 'F'"), truth
+
+
+_IDS = """with s as (select 'S1_' || lpad(c_custkey::varchar, 8, '0') entity_id, c_custkey from customer), o as (select case when o_orderstatus = 'F' then 'S2_' else 'S3_' end || lpad(o_orderkey::varchar, 8, '0') entity_id, o_custkey, o_orderpriority, o_orderkey from orders),
+ s1 as (select row_number() over (order by entity_id) - 1 s1_idx, * from s), rec as (select row_number() over (order by entity_id) - 1 rec_idx, * from o), links as (select s1_idx, rec_idx, s1.entity_id a, rec.entity_id b from rec join s1 on c_custkey = o_custkey where o_orderpriority = '1-URGENT')"""
+
+
+@query("pre1_prepare_links", f"{_IDS} select s1_idx, rec_idx from links")
+def _(t):
+    return prepare.prepare(*_entity_sources(t))[2]
+
+
+@query("pre1_prepare_records", f"{_IDS} select rec_idx, entity_id, case when entity_id < 'S3' then 2 else 3 end::bigint src from rec")
+def _(t):
+    return prepare.prepare(*_entity_sources(t))[1].select("rec_idx", "entity_id", "src")
+
+
+@query("exp1_export_lists", f"{_IDS} select s1.entity_id source1_entity_id, coalesce(string_agg(b, ',' order by b), '') matched_entity_ids from s1 left join links using (s1_idx) group by 1")
+def _(t):
+    s, r, links = prepare.prepare(*_entity_sources(t))
+    return prepare.export_lists(s, r, links)
+
+
+@query("exp1_monitors", f"{_IDS}, n as (select s1_idx, count(*) n from links group by 1), a as (select c_nationkey::varchar country, round(avg(coalesce(n, 0)), 6) mean_matches, round(avg((n is null)::int), 6) singleton_rate from s1 join customer using (c_custkey) left join n using (s1_idx) group by 1), b as (select (o_custkey % 25)::varchar country, round(avg((links.rec_idx is not null)::int), 6) assigned_rate from rec left join links using (rec_idx) group by 1) select country, mean_matches, singleton_rate, assigned_rate from a full join b using (country)")
+def _(t):
+    s, r, links = prepare.prepare(*_entity_sources(t))
+    return prepare.export_monitors(s, r, links)
+
+
+@query("val1_report_checks", "select unnest(['missing', 'unknown', 'repeated', 'unknown_ids', 'listed_twice']) \"check\", 0::bigint n")
+def _(t):
+    s, r, links = prepare.prepare(*_entity_sources(t))
+    return prepare.check_lists(prepare.export_lists(s, r, links), s, r)
+
+
+def _folder(t: Tables) -> str:
+    """A folder that executors share, where one is set."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base}/kinsmith-{abs(hash(t.sf_dir)) % 10**8}" if base else f"file://{tempfile.mkdtemp(prefix='kinsmith-')}"
+
+
+@query("src1_tsv_round_trip", "select p_partkey::varchar id, '\"' || p_name || '\\ ' txt, case when p_size < 10 then '' else p_brand end maybe from part")
+def _(t):
+    path = f"{_folder(t)}/tsv"
+    df = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit('"'), "p_name", F.lit("\\ ")).alias("txt"), F.when(F.col("p_size") < 10, "").otherwise(F.col("p_brand")).alias("maybe"))
+    src.write_tsv(df, path, "id")
+    return src.read_tsv(t.spark, path, ["id", "txt", "maybe"])
+
+
+@query("src7_tsv_with_nulls", "select p_partkey::varchar id, case when p_size < 10 then null else p_brand end maybe from part")
+def _(t):
+    path = f"{_folder(t)}/tsv_nulls"
+    src.write_tsv(t.part.select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") < 10, "").otherwise(F.col("p_brand")).alias("maybe")), path)
+    return src.read_tsv(t.spark, path, ["id", "maybe"], empty_for_missing=False)
+
+
+@query("snk1_parquet_round_trip", "select n_nationkey::bigint n_nationkey, n_name from nation")
+def _(t):
+    return src.write_parquet(t.nation.select("n_nationkey", "n_name"), f"{_folder(t)}/nation")
+
+
+@query("run1_linkage")
+def _(t):
+    """The whole run on exact twins of documents: folds to report, every stage a table."""
+    s, r, truth = _twins(t)
+    run = linkage(t.spark, f"{_folder(t)}/run", s, r, truth, Settings(n_folds=5, taus=(0.5,), margins=(0.0,), misses=(0.0,)))
+    return run("report")
+
+
+# ---- diagnostics
+@query("diag_cross_partition_links", f"{_W} select count(*) n, sum((c_nationkey <> o_custkey % 25)::int)::bigint across from truth join customer on c_custkey = s1_idx join orders on o_orderkey = rec_idx")
+def _(t):
+    x = t.truth().join(t.customer, F.col("c_custkey") == F.col("s1_idx")).join(t.orders, F.col("o_orderkey") == F.col("rec_idx"))
+    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_nationkey") != F.col("o_custkey") % 25).alias("across"))
+
+
+@query("diag_density_by_partition", "select c_nationkey::bigint c_nationkey, round(count(o_orderkey) / count(distinct c_custkey), 6) per_entity from customer left join orders on o_custkey = c_custkey group by 1")
+def _(t):
+    n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return t.customer.join(n, "c_custkey", "left").groupBy("c_nationkey").agg((F.sum(F.coalesce("n", F.lit(0))) / F.count(F.lit(1))).alias("per_entity"))
+
+
+@query("diag_name_group_shares", "select round(avg((n >= 2)::int), 6) two, round(avg((n >= 20)::int), 6) twenty from (select count(*) over (partition by p_name) n from part)")
+def _(t):
+    n = t.part.select(F.count(F.lit(1)).over(Window.partitionBy("p_name")).alias("n"))
+    return n.agg(F.avg((F.col("n") >= 2).cast("double")).alias("two"), F.avg((F.col("n") >= 20).cast("double")).alias("twenty"))
+
+
+@query("diag_token_frequency", "select tok, count(*) n from (select unnest(string_split(text, ' ')) tok from documents) group by 1 order by n desc, tok limit 40")
+def _(t):
+    return t.documents.select(F.explode(F.split("text", " ")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tok").limit(40)
+
+
+@query("diag_extra_word_rates", _DIFF + ", w as (select b tok, (rec_idx % 2)::int y from x) select tok, count(*) n, round(avg(y), 6) rate from w group by 1")
+def _(t):
+    pairs, s, r = _pair_tables(t)
+    w = wordfeat.long_words(wordfeat.differing_words(pairs, s, r)).where("kind = 'extra'")
+    return w.groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("rec_idx") % 2).cast("double")).alias("rate"))
+
+
+@query("diag_changed_rows", f"{_W}, a as (select rec_idx, max(s1_idx) x from cand where p >= 0.6::double group by 1), b as (select rec_idx, max(s1_idx) x from cand where p >= 0.7::double group by 1) select round(avg((a.x is distinct from b.x)::int), 6) changed from a full join b using (rec_idx)")
+def _(t):
+    pick = lambda tau, name: t.candidates().where(F.col("p") >= tau).groupBy("rec_idx").agg(F.max("s1_idx").alias(name))
+    return pick(0.6, "x").join(pick(0.7, "y"), "rec_idx", "full").agg(F.avg((~F.col("x").eqNullSafe(F.col("y"))).cast("double")).alias("changed"))
+
+
+@query("diag_oracle_ceiling", f"{_W}, pred as (select s1_idx, rec_idx from truth join cand using (s1_idx, rec_idx)), pc as (select s1_idx, count(*) tp from pred group by 1), tc as (select s1_idx, count(*) n from truth group by 1) select round(avg(case when n is null then 1 else (1.25::double * coalesce(tp, 0)) / (1.25::double * coalesce(tp, 0) + 0.25::double * (n - coalesce(tp, 0))) end), 6) macro_f05 from s1 left join tc using (s1_idx) left join pc using (s1_idx)")
+def _(t):
+    best = t.truth().join(t.candidates(), ["s1_idx", "rec_idx"], "left_semi")
+    return macro(per_entity(best, t.truth(), t.s1())).select("macro_f05")
+
+
+@query("diag_error_buckets", f"{_W}, pred as (select s1_idx, rec_idx from cand where p >= 0.75::double), c as (select distinct s1_idx, rec_idx from cand) select case when pred.rec_idx is not null then 'hit' when c.rec_idx is null then 'not a candidate' else 'below threshold' end bucket, count(*) n from truth left join pred using (s1_idx, rec_idx) left join c using (s1_idx, rec_idx) group by 1")
+def _(t):
+    keys, c = ["s1_idx", "rec_idx"], t.candidates()
+    x = t.truth().join(c.where("p >= 0.75").select(*keys, F.lit(1).alias("hit")), keys, "left").join(c.select(*keys, F.lit(1).alias("cand")), keys, "left")
+    return x.groupBy(F.when(F.col("hit").isNotNull(), "hit").when(F.col("cand").isNull(), "not a candidate").otherwise("below threshold").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("diag_who_took_the_record", f"{_W}, b as (select *, row_number() over (partition by rec_idx order by p desc, s1_idx) r from cand) select b.rec_idx, b.s1_idx taker, truth.s1_idx owner from b join truth on truth.rec_idx = b.rec_idx where r = 1 and b.s1_idx <> truth.s1_idx")
+def _(t):
+    best = t.candidates().withColumn("r", F.row_number().over(Window.partitionBy("rec_idx").orderBy(F.desc("p"), "s1_idx"))).where("r = 1")
+    return best.select("rec_idx", F.col("s1_idx").alias("taker")).join(t.truth().withColumnRenamed("s1_idx", "owner"), "rec_idx").where("taker <> owner")
+
+
+@query("diag_unambiguous_keys", "select p_name, p_brand, min(p_partkey) id from part group by 1, 2 having count(*) = 1")
+def _(t):
+    return t.part.groupBy("p_name", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("id")).where("n = 1").drop("n")
+
+
+@query("diag_order_leak", "select round(corr(o_orderkey, o_custkey), 6) r, median(span) span from orders, (select median(hi - lo) span from (select max(o_orderkey) hi, min(o_orderkey) lo from orders group by o_custkey))".replace("median(span) span", "max(span) span"))
+def _(t):
+    span = t.orders.groupBy("o_custkey").agg((F.max("o_orderkey") - F.min("o_orderkey")).alias("d")).agg(F.median("d").alias("span"), F.lit(1).alias("k"))
+    return t.orders.agg(F.corr("o_orderkey", "o_custkey").alias("r"), F.lit(1).alias("k")).join(span, "k").drop("k")
+
+
+@query("diag_token_lengths", "select round(quantile_cont(n, 0.5), 6) p50, round(quantile_cont(n, 0.99), 6) p99, max(n) top from (select len(string_split(text, ' ')) n from documents)")
+def _(t):
+    n = t.documents.select(F.size(F.split("text", " ")).alias("n"))
+    return n.agg(F.percentile("n", F.lit(0.5)).alias("p50"), F.percentile("n", F.lit(0.99)).alias("p99"), F.max("n").alias("top"))
+
+
+@query("diag_partition_audit", "select lang, count(*) n, round(avg((text <> strip_accents(text))::int), 6) accented from documents group by 1")
+def _(t):
+    plain = F.regexp_replace(tx.nfkd(F.col("text")), r"[\x{0300}-\x{036F}]", "")
+    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("text") != plain).cast("double")).alias("accented"))
