@@ -13,10 +13,11 @@ SLICE = 10_000
 
 
 def with_grams(df: DataFrame, text: str, out: str = "_grams") -> DataFrame:
-    """Character n-grams of the text between two marks."""
-    marked = F.concat(F.lit("^"), F.coalesce(F.col(text), F.lit("")), F.lit("$"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - F.lit(GRAM - 1), F.lit(1)))
-    return df.withColumn(out, F.transform(starts, lambda i: F.substring(marked, i, F.lit(GRAM))))
+    """Character n-grams of the text between two marks, cut from an array of characters, so that long texts take linear time."""
+    letters = F.split(F.concat(F.lit("^"), F.coalesce(F.col(text), F.lit("")), F.lit("$")), "")
+    starts = lambda c: F.sequence(F.lit(0), F.greatest(F.size(c) - F.lit(GRAM), F.lit(0)))
+    df = df.withColumn("_letters", letters)
+    return df.withColumn(out, F.transform(starts(F.col("_letters")), lambda i: F.concat_ws("", *(F.get("_letters", i + k) for k in range(GRAM))))).drop("_letters")
 
 
 def embed(df: DataFrame, text: str, out: str = "embedding", dims: int = DIMS, as_array: bool = False) -> DataFrame:

@@ -20,6 +20,7 @@ KEYS = ["s1_idx", "rec_idx"]
 NOT_FEATURES = (*KEYS, "y", "fold", "pA", "pB", "pC")
 #: Stands for a missing feature, beside a column that says so.
 MISSING = -1.0
+MOST_LOGIT = 50.0
 
 Learner = Callable[[DataFrame], Model]
 
@@ -50,9 +51,9 @@ def gbt_learner(max_iter: int = 40, max_depth: int = 6, rate: float = 0.1, seed:
     return fit
 
 
-def logistic_learner(reg: float = 1e-3) -> Learner:
+def logistic_learner(reg: float = 1e-3, max_iter: int = 25) -> Learner:
     def fit(df: DataFrame) -> Model:
-        return LogisticRegression(labelCol="y", featuresCol="features", regParam=reg).fit(df.where("not valid"))
+        return LogisticRegression(labelCol="y", featuresCol="features", regParam=reg, maxIter=max_iter).fit(df.where("not valid"))
 
     return fit
 
@@ -121,7 +122,9 @@ class TextPairScorer:
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
         scored = self.model.transform(self._vectors(df))
-        return scored.withColumn(out, vector_to_array("rawPrediction")[1]).select(*df.columns, out)
+        # a sample of one class has an infinite intercept
+        logit = F.greatest(F.least(vector_to_array("rawPrediction")[1], F.lit(MOST_LOGIT)), F.lit(-MOST_LOGIT))
+        return scored.withColumn(out, logit).select(*df.columns, out)
 
 
 HALVES = {"a": (1, 2), "b": (3, 4)}
