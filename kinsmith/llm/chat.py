@@ -65,14 +65,19 @@ class Hmm:
     """Log probabilities: steps[i, j] from state i (START included) to j, and shows[j, symbol]."""
 
     def __init__(self, steps: np.ndarray, shows: np.ndarray):
-        steps, shows = steps + 0.1, shows + 0.05
+        steps = steps + 0.1
         steps[START, 1::2] = 1e-9  # the first line begins a turn
         for r in range(len(ROLES)):  # only a turn's own lines go on with it
             for i in range(STATES + 1):
                 if i // 2 != r or i == START:
                     steps[i, 2 * r + 1] = 1e-9
         self.steps = np.log(steps / steps.sum(1, keepdims=True))
-        self.shows = np.log(shows / shows.sum(1, keepdims=True))
+        # marker, length and blank line are independent given the state, so that unseen combinations are judged by parts
+        grid, self.shows = shows.reshape(-1, 4, 7, 2), np.zeros((len(shows), 4, 7, 2))
+        for axes in ((2, 3), (1, 3), (1, 2)):
+            part = grid.sum(axes, keepdims=True) + 0.1
+            self.shows += np.log(part / part.sum((1, 2, 3), keepdims=True))
+        self.shows = self.shows.reshape(shows.shape)
 
     def matrix(self, symbol: int) -> np.ndarray:
         return self.steps + self.shows[:, symbol]

@@ -28,7 +28,7 @@ from kinsmith.llm.common import column_slices, materialize, require, small_batch
 END = b""
 #: Bounds: words sent to all tasks, and their bytes; vocabulary; sampled documents, their characters and tokens.
 MOST_SHIPPED, MOST_BYTES, VOCABULARY, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOKENS = 200_000, 64, 2048, 2000, 60_000, 500_000
-HIDDEN, EMBEDDED, CLASSES, WINDOW, TRAIN_LANES, EPOCHS, RATE = 32, 16, 45, 20, 64, 2, 4e-3
+HIDDEN, EMBEDDED, CLASSES, WINDOW, TRAIN_LANES, EPOCHS, LEAST_STEPS, RATE = 32, 16, 45, 20, 64, 2, 400, 4e-3
 SCORE_LANES, SCORE_WINDOW, CHUNK_TOKENS = 512, 32, 800_000
 ALPHA = 0.1
 
@@ -94,8 +94,9 @@ class Gru:
         m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
         lanes, step = Lanes(docs, TRAIN_LANES), 0
         width = int(lanes.length.min()) if len(lanes.length) == TRAIN_LANES else int(lanes.length.max())
+        epochs = max(EPOCHS, -(-LEAST_STEPS // -(-width // WINDOW)))  # small samples more often
         with np.errstate(over="ignore"):
-            for epoch in range(EPOCHS):
+            for epoch in range(epochs):
                 h = np.zeros((len(lanes.length), HIDDEN), np.float32)
                 for t0 in range(0, width, WINDOW):
                     steps = range(t0, min(t0 + WINDOW, width))
@@ -133,7 +134,7 @@ class Gru:
                         np.add.at(grad["e"], prev, da @ p["wx"].T)
                         dnext = np.where(start[:, None], np.float32(0), d * z + dw @ p["wh"].T)
                     step += 1
-                    rate = RATE * min(1, step / 50) * (0.3 if epoch == EPOCHS - 1 and t0 > width // 2 else 1)
+                    rate = RATE * min(1, step / 50) * (0.3 if epoch == epochs - 1 and t0 > width // 2 else 1)
                     norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
                     for k, v in grad.items():
                         v *= min(1.0, 1.0 / max(norm, 1e-9))
