@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         if found := get():
             return found.rstrip("/")
     own = tempfile.mkdtemp(prefix="kinsmith-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinsmith.llm.common import column_slices, materialize, mix, require, small_batches
 
@@ -133,21 +134,22 @@ class Selection:
     def __init__(self, ratio: np.ndarray, weights: np.ndarray | None):
         self.ratio, self.weights, self.least = ratio, weights, -np.inf
 
-    def features(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns `keep` of docs and a column for each feature, in one pass without a shuffle."""
-        ratio = self.ratio
+    def features(self, keep: DataFrame) -> DataFrame:
+        """`keep`, which has doc_id and ends with _text, with each feature instead of _text.
+
+        One pass, without a shuffle.
+        """
+        ratio, kept = self.ratio, keep.schema.fields[:-1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = _Codes()
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    found = _features(ratio, codes, part.column("_text").to_pylist())
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *map(pa.array, found)], [*keep, *FEATURES_AS])
+                    found = _features(ratio, codes, part.column(len(kept)).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *map(pa.array, found)], [*(f.name for f in kept), *FEATURES_AS])
 
-        kept = docs.select(*keep, F.col("text").alias("_text"))
-        schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} double" for c in FEATURES_AS)])
-        return kept.mapInArrow(run, schema)
+        return keep.mapInArrow(run, T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in FEATURES_AS)]))
 
     def scored(self, featured: DataFrame) -> DataFrame:
         """log_weight: null for documents without words, 0 if there was nothing to fit on. key: with the noise."""
@@ -198,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Selection, DataFrame]:
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     share = target.sum() / max(1.0, raw.sum())
     chosen = Selection(np.log((target + 1) / (raw * share + 1)).astype(np.float32), None)
-    featured = materialize(chosen.features(marked, ["doc_id", "good"]), "features")
+    featured = materialize(chosen.features(marked.select("doc_id", "good", F.col("text").alias("_text"))), "features")
     known = featured.where("good is not null and _log_words > 0").select("good", *FEATURES_AS).limit(4 * MOST_LABELS).toPandas()
     if 0 < known["good"].sum() < len(known):
         chosen.weights = _fit(known[list(FEATURES_AS)].to_numpy(np.float64), known["good"].to_numpy(np.float64))
@@ -224,5 +226,6 @@ def importance_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that importance_sample() keeps, with all their columns; no shuffle of texts."""
     chosen, _ = fit(docs, labels)
-    names = docs.columns
-    return chosen.scored(chosen.features(docs, names)).where(F.col("key") >= F.lit(float(chosen.least))).select(*names)
+    # a whole row is one value, so that no column's name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    return chosen.scored(chosen.features(rows)).where(F.col("key") >= F.lit(float(chosen.least))).select("row.*")

@@ -209,12 +209,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     touches are told by a bounded broadcast and don't move.
     """
     found = materialize(near_duplicates(docs), "kept")
-    touched = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.bool_and("kept").alias("_kept")).where("_n > 1 or not _kept")
+    touched = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept")).where("n > 1 or not kept")
     touched = materialize(touched, "touched")
-    some = F.broadcast(touched.select(_hashed("_id").alias("_bucket")).distinct())
-    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
-    far = keyed.join(some, _hashed("_key") == F.col("_bucket"), "left_anti")
-    near = keyed.join(some, _hashed("_key") == F.col("_bucket"), "left_semi").join(touched, F.col("_key") == F.col("_id"), "left").where("_kept is null or _kept")
-    once, again = near.where("coalesce(_n, 1) = 1"), near.where("_n > 1").dropDuplicates(["_key"])
-    names = docs.columns
-    return far.select(*names).unionByName(once.select(*names)).unionByName(again.select(*names))
+    some = F.broadcast(touched.select(_hashed("id").alias("bucket")).distinct())
+    # a whole row is one value, so that no column's name can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("key"))
+    far = keyed.join(some, _hashed("key") == F.col("bucket"), "left_anti")
+    near = keyed.join(some, _hashed("key") == F.col("bucket"), "left_semi").join(touched, F.col("key") == F.col("id"), "left").where("kept is null or kept")
+    once, again = near.where("coalesce(n, 1) = 1"), near.where("n > 1").dropDuplicates(["key"])
+    return far.select("row").unionByName(once.select("row")).unionByName(again.select("row")).select("row.*")
