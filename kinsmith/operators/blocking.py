@@ -21,7 +21,7 @@ BLOCK, MOST_PLAIN = 4096, 4_000_000
 def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: str, partition: str = "country") -> DataFrame:
     """(q, b, cos, rank): the k largest inner products of each query with the base's rows of its partition.
 
-    queries(q, partition, embedding), base(b, partition, embedding). Ranks count from 0, ties go to the least b. A few
+    queries(q, partition, embedding), base(b, partition, embedding). Ranks count from 0, ties (to 9 places) go to the least b. A few
     million pairs are compared by expressions in a plain equal join. Beyond that both sides are cut into blocks of
     bounded size, which meet by an equal join on partition and block; each pair of blocks is one matrix product that
     keeps k rows a query, so memory and what is shuffled stay bounded however large a partition is.
@@ -34,6 +34,7 @@ def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: s
     else:
         scored = _by_blocks(x, y, q, b, k, partition, math.ceil(sizes[1] / BLOCK), math.ceil(sizes[2] / BLOCK))
     order = Window.partitionBy(q).orderBy(F.desc("cos"), b)
+    scored = scored.withColumn("cos", F.round("cos", 9))  # so that equal vectors tie however their products were summed
     return scored.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < k)
 
 
@@ -52,6 +53,7 @@ def _by_blocks(x: DataFrame, y: DataFrame, q: str, b: str, k: int, partition: st
             for r in frame.itertuples(index=False):
                 iq, ib = np.frombuffer(r.qb_ids, np.int64), np.frombuffer(r.bb_ids, np.int64)
                 s = np.frombuffer(r.qb_m).reshape(len(iq), -1) @ np.frombuffer(r.bb_m).reshape(len(ib), -1).T
+                s = np.round(s, 9)
                 rows, cols = [], []
                 for i in range(len(iq)):
                     top = np.arange(len(ib))

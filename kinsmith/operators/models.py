@@ -116,11 +116,15 @@ class TextPairScorer:
         return VectorAssembler(inputCols=["_h", "_j"], outputCol="features").transform(x).drop("_a", "_b", "_g", "_h", "_j")
 
     def fit(self, df: DataFrame) -> TextPairScorer:
-        """From (text_a, text_b, y)."""
+        """From (text_a, text_b, y). Without rows every score is 0."""
+        if df.isEmpty():
+            return self
         self.model = LogisticRegression(labelCol="y", featuresCol="features", regParam=self.reg, maxIter=50).fit(self._vectors(df))
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
+        if self.model is None:
+            return df.withColumn(out, F.lit(0.0))
         scored = self.model.transform(self._vectors(df))
         # a sample of one class has an infinite intercept
         logit = F.greatest(F.least(vector_to_array("rawPrediction")[1], F.lit(MOST_LOGIT)), F.lit(-MOST_LOGIT))

@@ -84,13 +84,26 @@ def _(t):
     return decision.expected_f05(t.candidates(), "p", miss=0.05).select("s1_idx", "rec_idx", "p")
 
 
-def _tuned(t: Tables) -> list[dict]:
-    return decision.tune(t.candidates(), "p", t.truth(), t.s1(), (0.0, 0.2), (0.6, 0.8), (0.0,))
+_GRID = f"""{_W}{_EX.split(", ex as")[0].split(",\nex as")[0]}, rules as (select margin, tau from (values (0.0::double), (0.2::double)) m(margin), (values (0.6::double), (0.8::double)) u(tau)),
+pred as (select margin, tau, s1_idx, rec_idx from ranked, rules where rk = 1 and p - coalesce(nx, -1) >= margin and p >= tau),
+pc as (select margin, tau, s1_idx, count(*) n_pred from pred group by all), hc as (select margin, tau, s1_idx, count(*) tp from pred join truth using (s1_idx, rec_idx) group by all), tc as (select s1_idx, count(*) n_true from truth group by 1),
+g as (select margin, tau, s1_idx, coalesce(n_pred, 0) np, coalesce(n_true, 0) nt, coalesce(tp, 0) tp from rules cross join s1 left join tc using (s1_idx) left join pc using (margin, tau, s1_idx) left join hc using (margin, tau, s1_idx))
+select 'threshold' method, margin, tau, round(avg(case when 1.25 * tp + 0.25 * (nt - tp) + (np - tp) > 0 then (1.25 * tp)::double / (1.25 * tp + 0.25 * (nt - tp) + (np - tp))::double else 1 end), 6) macro_f05 from g group by all"""
 
 
-@query("dec3_tune_grid")
+def _tuned(t: Tables, misses: tuple[float, ...] = ()) -> list[dict]:
+    return decision.tune(t.candidates(), "p", t.truth(), t.s1(), (0.0, 0.2), (0.6, 0.8), misses)
+
+
+@query("dec3_tune_thresholds", _GRID)
+def _(t):
+    rows = [(r["method"], float(r["margin"]), float(r["tau"]), float(r["macro_f05"])) for r in _tuned(t)]
+    return t.spark.createDataFrame(rows, "method string, margin double, tau double, macro_f05 double")
+
+
+@query("dec3_tune_expected_scores")
 def _(t):
-    rows = [(r["method"], float(r["margin"]), r.get("tau"), r.get("miss"), float(r["macro_f05"])) for r in _tuned(t)]
+    rows = [(r["method"], float(r["margin"]), r.get("tau"), r.get("miss"), float(r["macro_f05"])) for r in _tuned(t, (0.0, 0.05))]
     return t.spark.createDataFrame(rows, "method string, margin double, tau double, miss double, macro_f05 double")
 
 

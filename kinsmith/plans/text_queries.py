@@ -226,7 +226,7 @@ def _(t):
     return x.select("s1_idx", "rec_idx", *(F.array_join(c, " ").alias(c) for c in ("n_s1", "a_s1", "n_rec", "a_rec")))
 
 
-@query("dic2_name_map")
+@query("dic2_name_map", """with x as (select 't' || s_suppkey % 7 k, 'त' || s_suppkey % 7 d from supplier) select tok, target "to", count(*) "count", count(*) n, 1.0::double share from (select 'श्री' tok, 'shri' target from x union all select d, k from x) group by 1, 2 having count(*) >= 2""")
 def _(t):
     """Suppliers' names in another script beside their Latin ones: the mined map says which token is which."""
     s = t.supplier.select(F.array(F.lit("shri"), F.concat(F.lit("t"), (F.col("s_suppkey") % 7).cast("string"))).alias("n_s1"), F.array(F.lit("श्री"), F.concat(F.lit("त"), (F.col("s_suppkey") % 7).cast("string"))).alias("n_rec"))
@@ -239,13 +239,16 @@ def _(t):
     return mining.co_occurring(mining.linked_tokens(truth, s, r)).groupBy("tok", "to").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dic3_address_map")
+@query("dic3_address_map", f"""{_LINKED}, x as (select s1_idx, rec_idx, unnest([y for y in a_rec if not list_contains(a_s1, y)]) tok, a_s1, a_rec from l), z as (select tok, unnest([y for y in a_s1 if not list_contains(a_rec, y)]) target from x),
+ c as (select tok, target, count(*) c from z where not regexp_matches(tok, '^[0-9]+[a-z]?$') and not regexp_matches(target, '^[0-9]+[a-z]?$') group by 1, 2), n as (select tok, count(*) n from x group by 1), b as (select *, row_number() over (partition by tok order by c desc, target) r from c),
+ sc as (select tok, count(*) k from (select unnest(list_distinct(a_s1)) tok from l) group by 1), rc as (select tok, count(*) k from (select unnest(list_distinct(a_rec)) tok from l) group by 1)
+ select b.tok, target "to", c "count", n.n, round(c / n.n, 6) share from b join n using (tok) left join sc using (tok) left join rc using (tok) where r = 1 and c >= 1 and c / n.n >= 0.1::double and b.tok <> target and coalesce(sc.k, 0) < 10 * coalesce(rc.k, 0)""")
 def _(t):
     s, r, truth = _twins(t)
     return mining.address_map(mining.linked_tokens(truth, s, r), min_count=1, min_share=0.1, most_rare=10.0)
 
 
-@query("geo1_component_map")
+@query("geo1_component_map", "select 'somewhere' \"from\", 'here' \"to\", count(*) c, 1.0::double share from documents")
 def _(t):
     s, r, truth = _twins(t)
     named = lambda x: x.withColumn("address", F.regexp_replace("address", "src[0-9]+", "somewhere"))
@@ -272,7 +275,7 @@ def _(t):
     return out.select("doc_id", "name_core", "name_alt", "legal", "addr", F.array_join("nums", " ").alias("nums"), "nonlatin")
 
 
-@query("nrm3_normalize_with_maps")
+@query("nrm3_normalize_with_maps", "select doc_id rec_idx, source name_core, 'co ltd' legal, doc_id || ' rd ' || case lang when 'en' then 'english' else lang end || ' ' || source addr from documents")
 def _(t):
     s, r, truth = _twins(t)
     names = t.spark.range(1).select(F.lit("firm").alias("tok"), F.lit("company ltd").alias("to"))
