@@ -15,7 +15,7 @@ from kinsmith.functions.arrays import dot, first, longest
 #: Rank of a candidate that a side's list doesn't have.
 NOT_RANKED = 255
 #: Rows of a block on either side; up to this many pairs of rows altogether, plain expressions compare them.
-BLOCK, MOST_PLAIN = 4096, 4_000_000
+QUERY_BLOCK, BASE_BLOCK, MOST_PLAIN = 4096, 32_768, 4_000_000
 
 
 def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: str, partition: str = "country") -> DataFrame:
@@ -32,7 +32,7 @@ def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: s
     if (sizes[0] or 0) <= MOST_PLAIN:
         scored = x.join(y, partition).select(q, b, dot(F.col("x"), F.col("y")).alias("cos"))
     else:
-        scored = _by_blocks(x, y, q, b, k, partition, math.ceil(sizes[1] / BLOCK), math.ceil(sizes[2] / BLOCK))
+        scored = _by_blocks(x, y, q, b, k, partition, math.ceil(sizes[1] / QUERY_BLOCK), math.ceil(sizes[2] / BASE_BLOCK))
     order = Window.partitionBy(q).orderBy(F.desc("cos"), b)
     scored = scored.withColumn("cos", F.round("cos", 9))  # so that equal vectors tie however their products were summed
     return scored.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < k)
@@ -65,7 +65,9 @@ def _by_blocks(x: DataFrame, y: DataFrame, q: str, b: str, k: int, partition: st
                 i, j = np.concatenate(rows), np.concatenate(cols)
                 yield pd.DataFrame({q: iq[i], b: ib[j], "cos": s[i, j]})
 
-    pairs = pack(x, q, "x", "qb", nq).join(pack(y, b, "y", "bb", nb), partition)
+    # every block of queries goes to every block of the base, of which there are few, as these are large
+    spread = pack(x, q, "x", "qb", nq).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    pairs = spread.join(pack(y, b, "y", "bb", nb), [partition, "bb"])
     return pairs.repartition(min(2000, max(8, nq * nb)), "qb", "bb").select("qb_ids", "qb_m", "bb_ids", "bb_m").mapInPandas(multiply, f"{q} long, {b} long, cos double")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsmith.functions.numeric import f_half
+from kinsmith.sources.tables import stored
 
 KEYS = ["s1_idx", "rec_idx"]
 
@@ -82,12 +83,12 @@ def candidates_per_entity(candidates: DataFrame, n_entities: int, grid: Sequence
 def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One row: area under the ROC curve by ranks, ties at their mean rank. Rows are aggregated by score first."""
     g = scored.groupBy(F.col(score).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    # a running count over distinct scores; range partitions keep it distributed
-    part = g.repartitionByRange("x").sortWithinPartitions("x").withColumn("p", F.spark_partition_id())
+    # a running count over distinct scores, by ranges; stored, as a second evaluation could cut the ranges elsewhere
+    run = F.sum("n").over(Window.partitionBy("p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    part = stored(g.repartitionByRange("x").withColumn("p", F.spark_partition_id()).withColumn("run", run), "scores")
     sizes = part.groupBy("p").agg(F.sum("n").alias("size"))
     before = sizes.select("p", F.coalesce(F.sum("size").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    run = F.sum("n").over(Window.partitionBy("p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = part.withColumn("run", run).join(F.broadcast(before), "p").withColumn("rank", F.col("before") + F.col("run") - (F.col("n") - 1) / 2)
+    ranked = part.join(before, "p").withColumn("rank", F.col("before") + F.col("run") - (F.col("n") - 1) / 2)
     total = ranked.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     neg = F.col("n") - F.col("pos")
     return total.select(F.when((F.col("pos") > 0) & (neg > 0), (F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)).alias("auc"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinsmith.sources.tables import with_rank
+
 MOST_MATCHES = 6
 
 
@@ -24,9 +26,11 @@ def key_sample(df: DataFrame, fraction: float, key: str, seed: int) -> DataFrame
     return df.where(F.pmod(order_key([key], seed), F.lit(1_000_000)) < F.lit(fraction * 1_000_000))
 
 
-def stratified_bucket(df: DataFrame, stratum: str, keys: Sequence[str], n: int, order: Sequence[Column]) -> Column:
-    """Round-robin number of each row within its stratum, in the given order and then by keys."""
-    return ((F.row_number().over(Window.partitionBy(stratum).orderBy(*order, *keys)) - 1) % n).cast("int")
+def with_stratified_bucket(df: DataFrame, name: str, stratum: str, keys: Sequence[str], n: int, order: Sequence[Column]) -> DataFrame:
+    """Round-robin number of each row within its stratum, in the given order and then by keys; strata can be of any size."""
+    tagged = df.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    ranked = with_rank(tagged, "_rank", [*(f"_o{i}" for i in range(len(order))), *keys], [stratum])
+    return ranked.withColumn(name, (F.col("_rank") % n).cast("int")).drop("_rank", *(f"_o{i}" for i in range(len(order))))
 
 
 def with_strata(s1: DataFrame, truth: DataFrame, partition: str = "country") -> DataFrame:
@@ -40,14 +44,14 @@ def folds(s1: DataFrame, truth: DataFrame, n_folds: int, partition: str = "count
     """(s1_idx, fold, n_true, stratum), every stratum dealt evenly to the folds."""
     strata = with_strata(s1, truth, partition)
     by = order if order is not None else [order_key(["s1_idx"], seed)]
-    return strata.withColumn("fold", stratified_bucket(strata, "stratum", ["s1_idx"], n_folds, by)).select("s1_idx", "fold", "n_true", "stratum")
+    return with_stratified_bucket(strata, "fold", "stratum", ["s1_idx"], n_folds, by).select("s1_idx", "fold", "n_true", "stratum")
 
 
 def dev_subset(s1: DataFrame, rec: DataFrame, truth: DataFrame, s1_fraction: float, rec_fraction: float, partition: str = "country", seed: int = 43) -> tuple[DataFrame, DataFrame]:
     """A stratified fraction of the entities; their matches and a fraction of the records that match nothing."""
     strata = with_strata(s1, truth, partition)
     n = round(1 / s1_fraction)
-    dev_s1 = strata.withColumn("_b", stratified_bucket(strata, "stratum", ["s1_idx"], n, [order_key(["s1_idx"], seed)])).where("_b = 0").select("s1_idx")
+    dev_s1 = with_stratified_bucket(strata, "_b", "stratum", ["s1_idx"], n, [order_key(["s1_idx"], seed)]).where("_b = 0").select("s1_idx")
     matches = truth.join(dev_s1, "s1_idx", "left_semi").select("rec_idx")
     free = rec.select("rec_idx").join(truth.select("rec_idx"), "rec_idx", "left_anti")
     return dev_s1, matches.unionByName(exact_sample(free, round(free.count() * rec_fraction), ["rec_idx"], seed + 1)).distinct()

@@ -237,8 +237,8 @@ def _(t):
 
 @query("win8_round_robin", "select o_orderkey, (row_number() over (partition by o_orderpriority order by (o_orderkey * 7919) % 104729, o_orderkey) - 1) % 4 bucket from orders")
 def _(t):
-    o = t.orders
-    return o.select("o_orderkey", sampling.stratified_bucket(o, "o_orderpriority", ["o_orderkey"], 4, [(F.col("o_orderkey") * 7919) % 104729]).alias("bucket"))
+    o = t.orders.select("o_orderkey", "o_orderpriority")
+    return sampling.with_stratified_bucket(o, "bucket", "o_orderpriority", ["o_orderkey"], 4, [(F.col("o_orderkey") * 7919) % 104729]).drop("o_orderpriority")
 
 
 @query("smp1_exact_sample")

@@ -6,7 +6,7 @@ and brands; documents' whole texts are cleaned and folded.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -443,9 +443,7 @@ def _(t):
 
 
 def _folder(t: Tables) -> str:
-    """A folder that executors share, where one is set."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base}/kinsmith-{abs(hash(t.sf_dir)) % 10**8}" if base else f"file://{tempfile.mkdtemp(prefix='kinsmith-')}"
+    return f"{src.shared_folder(t.spark)}/{uuid.uuid4().hex}"
 
 
 @query("src1_tsv_round_trip", "select p_partkey::varchar id, '\"' || p_name || '\\ ' txt, case when p_size < 10 then '' else p_brand end maybe from part")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,18 +64,47 @@ def count_rows(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
-def with_row_index(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """Dense numbers from 0 in order of the given columns, without sorting all rows in one place.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this library that the driver and all executors share; a temporary one only where none is set."""
+    for get in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        if found := get():
+            return f"{found.rstrip('/')}/kinsmith"
+    own = tempfile.mkdtemp(prefix="kinsmith-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}/kinsmith"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: a cut lineage that outlives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    Rows are range-partitioned and sorted, numbered within their partitions, and shifted by the sizes of the partitions
-    before, of which there are only as many as partitions.
+def with_rank(df: DataFrame, name: str, order: Sequence[Column | str], groups: Sequence[str] = ()) -> DataFrame:
+    """Numbers from 0 in the given order within each group, or over all rows, for groups of any size.
+
+    Rows are range-partitioned by group and order and sorted, so that a large group spreads over many tasks, and get
+    consecutive ids. For each partition and group, a small table then has the first id and how many rows of the group come
+    before. The sorted rows are stored first, because a second evaluation could cut the ranges elsewhere.
     """
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    local = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)
-    sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = part.join(F.broadcast(shift), "_p")  # a row for each partition
-    return out.withColumn(name, (local + F.col("_before")).cast("long")).drop("_p", "_m", "_before")
+    keys = [*groups, *order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
+    rows = stored(rows, "ranked")
+    sizes = rows.groupBy("_p", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    w = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("_p").alias("_q"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift"))
+    on = F.col("_p") == F.col("_q")
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = rows.join(shift, on)
+    return out.withColumn(name, F.col("_i") + F.col("_shift")).select(*df.columns, name)
+
+
+def with_row_index(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """Dense numbers from 0 in order of the given columns, without sorting all rows in one place."""
+    return with_rank(df, name, order)
 
 
 def write_parquet(df: DataFrame, path: str) -> DataFrame:

@@ -49,7 +49,8 @@ def test_components(spark):
 @pytest.mark.parametrize("plain", [0, 10**9])
 def test_nearest_neighbours(spark, monkeypatch, plain):
     monkeypatch.setattr(blocking, "MOST_PLAIN", plain)
-    monkeypatch.setattr(blocking, "BLOCK", 16)
+    monkeypatch.setattr(blocking, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(blocking, "BASE_BLOCK", 16)
     g = np.random.default_rng(1)
     x = np.round(g.normal(size=(90, 6)), 1)
     x[10:20] = x[10]
@@ -232,6 +233,16 @@ def test_row_index_is_dense_and_ordered(spark):
     assert [i for i, _ in got] == list(range(500)) and [x for _, x in got] == sorted(x for _, x in got)
 
 
+def test_rank_within_groups_of_any_size(spark):
+    r = random.Random(8)
+    rows = [(r.choice([None, "a", "b", "b", "b"]), r.randrange(50), i) for i in range(600)]
+    got = src.with_rank(spark.createDataFrame(rows, "g string, x int, k int").repartition(5), "i", ["x", "k"], ["g"]).collect()
+    assert len(got) == 600
+    for g in (None, "a", "b"):
+        own = sorted((x, k) for a, x, k in rows if a == g)
+        assert [(v["x"], v["k"]) for v in sorted((v for v in got if v["g"] == g), key=lambda v: v["i"])] == own
+
+
 def test_config(tmp_path, monkeypatch):
     monkeypatch.setenv("PLACE", "/data")
     (tmp_path / "c.yaml").write_text("paths: {data: $PLACE/x}\nmodel: {flag: true, n: 3, f: 0.5}\n")
