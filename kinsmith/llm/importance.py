@@ -2,9 +2,10 @@
 
 Two generative models of hashed n-grams are counted: one of the raw text (all documents) and one of the target text
 (documents labelled good and not toxic, from a bounded sample of labels). A document's n-grams are the 1-grams of its
-words and the 2-grams of their shapes and repetition. Each n-gram's log ratio log((target count + 1) / (expected count
-+ 1)) compares both models; add-one on the count scale leaves rare n-grams near 0. A logistic regression on few summaries
-of a document's log ratios, fitted on the sample, makes them one log weight. The k documents of largest
+words and of their beginnings, and the 2-grams of their shapes and repetition. Each n-gram's log ratio log((target count
++ 1) / (expected count + 1)) compares both models; add-one on the count scale leaves rare n-grams near 0. Beside it, the
+deviance of the target count from the expected one says how surely an n-gram is too rare in the target text. A logistic
+regression on few summaries of a document's n-grams, fitted on the sample, makes them one log weight. The k documents of largest
 `SHARPNESS * log weight + Gumbel noise` are kept, which samples k without replacement in proportion to the weights to the
 power SHARPNESS; k is the number of documents of positive log weight, so it follows the corpus.
 """
@@ -23,23 +24,28 @@ from pyspark.sql import types as T
 
 from kinsmith.llm.common import column_slices, materialize, mix, require, small_batches
 
-WORD_BITS, SHAPE_BITS = 17, 16
-BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
+WORD_BITS, SHAPE_BITS, START_BITS = 17, 16, 16
+BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS) + (1 << START_BITS)
+#: Bytes of a word's beginning; deviance from which on an n-gram is surely too rare in the target.
+START, SURE = 4, 8.0
+#: Share of the expected count under which an n-gram can be too rare.
+RARE = 0.25
 #: Labelled documents, at most, that the target model and the regression are fitted on: those of least hash.
 MOST_LABELS = 20_000
 SHARPNESS, SEED = 50.0, 17
-FEATURES = ("mean_ratio", "bad_mass", "bad_share", "repeat_share", "log_words")
+FEATURES = ("mean_ratio", "bad_mass", "bad_share", "sure_mass", "repeat_share", "log_words")
 _RUNS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"(.)\1+", re.DOTALL), rb"\1"))
 
 
 class _Codes(dict):
-    """word -> its 1-gram's bucket and, in the upper half, its shape's hash; bounded as it is cleared when large."""
+    """word -> hashes of the word (24 bits), its shape and its beginning (20 each); bounded as it is cleared when large."""
 
     def __missing__(self, word: bytes) -> int:
         shape = word
         for pattern, by in _RUNS:
             shape = pattern.sub(by, shape)
-        self[word] = code = (xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF) | (xxhash.xxh3_64_intdigest(shape) & 0xFFFFFFFF) << 32
+        h = xxhash.xxh3_64_intdigest
+        self[word] = code = (h(word) & 0xFFFFFF) | (h(shape) & 0xFFFFF) << 24 | (h(word[:START]) & 0xFFFFF) << 44
         return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -48,8 +54,8 @@ class _Codes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def _grams(codes: _Codes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the word and the shape n-grams, whether a word repeats the one before, and the texts' ends."""
+def _grams(codes: _Codes, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Buckets of the word, the shape and the beginning n-grams, whether a word repeats the one before, the texts' ends."""
     words: list[bytes] = []
     ends = np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -57,7 +63,7 @@ def _grams(codes: _Codes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
             words += text.encode("utf-8", "surrogatepass").split()
         ends[i] = len(words)
     c = codes.of(words)
-    low, shape = c & np.uint64(0xFFFFFFFF), c >> np.uint64(32)
+    word, shape, start = c & np.uint64(0xFFFFFF), (c >> np.uint64(24)) & np.uint64(0xFFFFF), c >> np.uint64(44)
     again = np.zeros(len(c), np.uint64)
     again[1:] = c[1:] == c[:-1]
     prev = np.zeros(len(c), np.uint64)
@@ -67,8 +73,12 @@ def _grams(codes: _Codes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     again[first], prev[first] = 0, 0
     with np.errstate(over="ignore"):
         two = mix(shape * np.uint64(0x9E3779B97F4A7C15) + prev * np.uint64(3) + again)
-    one = mix(low + np.uint64(1)) >> np.uint64(64 - WORD_BITS)
-    return one.astype(np.int64), (two >> np.uint64(64 - SHAPE_BITS)).astype(np.int64) + (1 << WORD_BITS), again, ends
+        parts = (mix(word + np.uint64(1)), two, mix(start + np.uint64(7)))
+    buckets, base = [], 0
+    for part, bits in zip(parts, (WORD_BITS, SHAPE_BITS, START_BITS), strict=True):
+        buckets.append((part >> np.uint64(64 - bits)).astype(np.int64) + base)
+        base += 1 << bits
+    return buckets, again, ends
 
 
 def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -79,24 +89,28 @@ def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, raw, target = _Codes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for part in column_slices(batches):
-        one, two, _, ends = _grams(codes, part["text"])
-        both = np.concatenate([one, two])
-        raw += np.bincount(both, minlength=BUCKETS)
+        grams, _, ends = _grams(codes, part["text"])
+        doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
         good = np.array([g == 1 for g in part["good"]], bool)
-        if good.any():
-            keep = np.repeat(good, np.diff(np.concatenate([[0], ends])))
-            target += np.bincount(np.concatenate([one[keep], two[keep]]), minlength=BUCKETS)
+        for kind, g in enumerate(grams):
+            own = doc
+            if kind != 1:  # words and beginnings count once a document, as repetition in junk says nothing of a word
+                once = np.unique(doc * BUCKETS + g)
+                own, g = once // BUCKETS, once % BUCKETS
+            raw += np.bincount(g, minlength=BUCKETS)
+            target += np.bincount(g[good[own]], minlength=BUCKETS)
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
 
-def _features(ratio: np.ndarray, codes: _Codes, texts: list[str | None]) -> list[np.ndarray]:
-    one, two, again, ends = _grams(codes, texts)
+def _features(ratio: np.ndarray, sure: np.ndarray, codes: _Codes, texts: list[str | None]) -> list[np.ndarray]:
+    grams, again, ends = _grams(codes, texts)
     n = np.diff(np.concatenate([[0], ends]))
-    r1, r2 = ratio[one].astype(np.float64), ratio[two].astype(np.float64)
+    r1, r2 = ratio[grams[0]], ratio[grams[1]]
     some = np.maximum(n, 1)
     bad = np.minimum(r1 + 1.5, 0) + np.minimum(r2 + 1.5, 0)
-    return [(_sums(r1, ends) + _sums(r2, ends)) / some, np.log1p(-_sums(bad, ends)), _sums(bad < 0, ends) / some, _sums(again, ends) / some, np.log1p(n)]
+    mass = sure[grams[0]] + sure[grams[2]]
+    return [_sums(r1 + r2, ends) / some, np.log1p(np.maximum(-_sums(bad, ends), 0)), _sums(bad < 0, ends) / some, np.log1p(np.maximum(_sums(mass, ends), 0)), _sums(again, ends) / some, np.log1p(n)]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -131,22 +145,31 @@ def _noise(doc_id: Column) -> Column:
 class Selection:
     """The two models, the weights of the regression and the k-th key; made by fit()."""
 
-    def __init__(self, ratio: np.ndarray, weights: np.ndarray | None):
-        self.ratio, self.weights, self.least = ratio, weights, -np.inf
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
+        # each kind of n-gram is a model of its own
+        expected, at = np.zeros(BUCKETS), 0
+        for bits in (WORD_BITS, SHAPE_BITS, START_BITS):
+            part = slice(at, at + (1 << bits))
+            expected[part] = raw[part] * (target[part].sum() / max(1.0, raw[part].sum()))
+            at += 1 << bits
+        self.ratio = np.log((target + 1) / (expected + 1)).astype(np.float32)
+        deviance = expected - target + target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-9))
+        self.sure = np.where(target < RARE * expected, np.maximum(deviance - SURE, 0), 0).astype(np.float32)
+        self.weights, self.least = None, -np.inf
 
     def features(self, keep: DataFrame) -> DataFrame:
         """`keep`, which has doc_id and ends with _text, with each feature instead of _text.
 
         One pass, without a shuffle.
         """
-        ratio, kept = self.ratio, keep.schema.fields[:-1]
+        ratio, sure, kept = self.ratio, self.sure, keep.schema.fields[:-1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = _Codes()
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    found = _features(ratio, codes, part.column(len(kept)).to_pylist())
+                    found = _features(ratio, sure, codes, part.column(len(kept)).to_pylist())
                     yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *map(pa.array, found)], [*(f.name for f in kept), *FEATURES_AS])
 
         return keep.mapInArrow(run, T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in FEATURES_AS)]))
@@ -198,8 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Selection, DataFrame]:
     counts = marked.select("text", "good").mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
-    share = target.sum() / max(1.0, raw.sum())
-    chosen = Selection(np.log((target + 1) / (raw * share + 1)).astype(np.float32), None)
+    chosen = Selection(raw, target)
     featured = materialize(chosen.features(marked.select("doc_id", "good", F.col("text").alias("_text"))), "features")
     known = featured.where("good is not null and _log_words > 0").select("good", *FEATURES_AS).limit(4 * MOST_LABELS).toPandas()
     if 0 < known["good"].sum() < len(known):
