@@ -281,6 +281,24 @@ def _scorer(known: Known, gru: Gru):
     return run
 
 
+def _most_frequent(counts: DataFrame) -> list:
+    """Up to MOST_SHIPPED words, all those from some count on, the most frequent first; long words are left out.
+
+    A histogram of counts, of a few thousand rows, tells from which count on the words are few enough to be collected.
+    """
+    words = counts.where((F.length("word") > 0) & (F.length("word") <= MOST_BYTES))
+    n = F.col("n")
+    step = F.when(n < 1024, n).otherwise(1024 + F.floor(F.log2(n / 1024) * 32)).cast("int")
+    steps = dict(words.groupBy(step.alias("step")).agg(F.count(F.lit(1))).collect())
+    least, total = max(steps, default=0) + 1, 0
+    for k in sorted(steps, reverse=True):
+        total += steps[k]
+        if total > MOST_SHIPPED:
+            break
+        least = k
+    return sorted(words.where(step >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row.
 
@@ -294,10 +312,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     learn = docs.where(~held_out)
     counts = materialize(learn.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
-    top = counts.where((F.length("word") > 0) & (F.length("word") <= MOST_BYTES)).orderBy(F.desc("n"), "word").limit(MOST_SHIPPED).collect()
+    top = _most_frequent(counts)
     known = Known([END, *(bytes(r["word"]) for r in top)], [ends, *(r["n"] for r in top)], total, distinct)
     gru = Gru(known.log_mass, float(np.log(known.other)))
-    sample = learn.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "rid").select("text").limit(SAMPLE_DOCS).collect()
+    # about twice as many as needed by their hash, so that few texts are sorted however many there are
+    chance = min(1.0, 2 * SAMPLE_DOCS / max(1, ends))
+    some = learn.where((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))) & (F.length("text") <= SAMPLE_CHARS))
+    sample = some.orderBy(F.xxhash64("doc_id"), "rid").select("text").limit(SAMPLE_DOCS).collect()
     index, ids, size = known.index(), [], 0
     for r in sample:
         at = np.fromiter(map(index.get, words_of(r["text"]), repeat(known.m)), np.int64)
