@@ -59,7 +59,7 @@ def by_partition(entities: DataFrame, partitions: DataFrame, name: str = "countr
     return entities.join(partitions.select("s1_idx", name), "s1_idx").groupBy(name).agg(F.avg("f05").alias("macro_f05"), F.count(F.lit(1)).alias("n_s1"))
 
 
-#: Limits (record side, entity side) that recall is reported for.
+# Limits (record side, entity side) that recall is reported for.
 RECALL_GRID = ((3, 0), (5, 0), (10, 0), (20, 0), (3, 10), (5, 10), (5, 20), (10, 30), (20, 30))
 
 

@@ -90,6 +90,16 @@ def mean_prediction(models: Sequence[Model], df: DataFrame, names: Sequence[str]
     return scored.withColumn(out, mean).drop(*(f"_p{i}" for i in range(len(models))))
 
 
+def save_models(models: Sequence[Model], path: str) -> None:
+    """All models of a cross-fit, to a folder that the cluster shares."""
+    for i, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/{i}")
+
+
+def load_models(kind: type[Model], path: str, n: int) -> list[Model]:
+    return [kind.load(f"{path}/{i}") for i in range(n)]
+
+
 # ---- pairs of texts
 def uncertain(pairs: DataFrame, p: str, low: float, high: float) -> DataFrame:
     return pairs.where(F.col(p).between(low, high)).select(*KEYS)

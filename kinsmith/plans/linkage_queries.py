@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsmith.operators import blocking, decision, evaluation, features, models, sampling
 from kinsmith.plans.catalog import ROLES, Tables, query
+from kinsmith.sources.tables import shared_folder
 
 _W = f"with {ROLES}"
 _EX = """, ranked as (select *, row_number() over (partition by rec_idx order by p desc, s1_idx) rk, lead(p) over (partition by rec_idx order by p desc, s1_idx) nx from cand),
@@ -79,6 +82,16 @@ def _(t):
     return decision.expected_f05(own, "p").select("s1_idx", "rec_idx", "p")
 
 
+_PICK = _DP.split("\nselect low.s1_idx, rec_idx")[0]
+
+
+@query("mth5_best_prefix", f"with recursive {ROLES}{_EX}{_PICK} select s1_idx, k from pick where k > 0")
+def _(t):
+    """How many candidates of each entity are worth taking, by the distribution of its true links."""
+    own = decision.exclusive(t.candidates(), "p", 0.1).where("p >= 0.01")
+    return decision.expected_f05(own, "p").groupBy("s1_idx").agg(F.count(F.lit(1)).alias("k"))
+
+
 @query("dec2_expected_f05_with_misses")
 def _(t):
     return decision.expected_f05(t.candidates(), "p", miss=0.05).select("s1_idx", "rec_idx", "p")
@@ -339,3 +352,32 @@ def _(t):
     names = models.feature_columns(f)
     _, out, _ = models.cross_fit(f.where("fold < 2"), names, 2, "pA", models.logistic_learner(), others=f.where("fold = 2").select("s1_idx", "rec_idx", *names))
     return out.select("s1_idx", "rec_idx", "pA")
+
+
+@query("prd2_mean_of_folds_with_scores")
+def _(t):
+    """Predictions that also know the scores of uncertain pairs, for pairs that no model has seen."""
+    f = _features(t)
+    ce = f.where(F.col("cos").between(0.3, 0.7)).select("s1_idx", "rec_idx", (F.col("cos") * 4 - 2).alias("ce"))
+    f = models.with_scores(f, ce)
+    names = models.feature_columns(f)
+    _, out, _ = models.cross_fit(f.where("fold < 2"), names, 2, "pC", models.logistic_learner(), others=f.where("fold = 2").select("s1_idx", "rec_idx", *names))
+    return out.select("s1_idx", "rec_idx", "pC")
+
+
+@query("mdl4_feature_columns", "select unnest(['r_n', 'r_cos_max', 'r_nm_max', 'r_ad_max', 's_n', 's_cos_max', 'r_cos_gap', 'r_nm_gap', 'r_ad_gap', 's_cos_gap', 'r_cos_rank', 's_cos_rank', 'cos', 'nm_tset', 'ad_tset', 'num_first_eq', 'ad_empty_b']) feature")
+def _(t):
+    return t.spark.createDataFrame([(c,) for c in models.feature_columns(_features(t))], "feature string")
+
+
+@query("snk3_saved_models", "select count(*) n, 0::bigint different from cand".replace("select", f"{_W} select", 1))
+def _(t):
+    """Saved and loaded models predict the same."""
+    f = _features(t).persist()
+    names = ["cos", "nm_tset"]
+    _, _, fitted = models.cross_fit(f, names, 2, "pA", models.logistic_learner())
+    path = f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}"
+    models.save_models(fitted, path)
+    again = models.load_models(type(fitted[0]), path, 2)
+    both = models.mean_prediction(again, models.mean_prediction(fitted, f.select("s1_idx", "rec_idx", *names), names, "a"), names, "b")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("different"))

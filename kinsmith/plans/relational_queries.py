@@ -27,6 +27,11 @@ def _(t):
     return t.lineitem.agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("src5_matrix_scan", "select vec_id, len(embedding) dims, round(embedding[1]::double, 6) x0, round(embedding[64]::double, 6) x63 from embeddings")
+def _(t):
+    return t.embeddings.select("vec_id", F.size("embedding").alias("dims"), F.get("embedding", F.lit(0)).alias("x0"), F.get("embedding", F.lit(63)).alias("x63"))
+
+
 @query("row1_row_index", "select row_number() over (order by s_acctbal, s_suppkey) - 1 idx, s_suppkey from supplier")
 def _(t):
     return src.with_row_index(t.supplier.select("s_acctbal", "s_suppkey"), "idx", ["s_acctbal", "s_suppkey"]).select("idx", "s_suppkey")

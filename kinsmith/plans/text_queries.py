@@ -454,6 +454,14 @@ def _(t):
     return src.read_tsv(t.spark, path, ["id", "txt", "maybe"])
 
 
+@query("snk2_report_tsv", f"{_IDS} select s1.entity_id source1_entity_id, coalesce(string_agg(b, ',' order by b), '') matched_entity_ids from s1 left join links using (s1_idx) group by 1")
+def _(t):
+    s, r, links = prepare.prepare(*_entity_sources(t))
+    path = f"{_folder(t)}/report"
+    src.write_tsv(prepare.export_lists(s, r, links), path, "source1_entity_id")
+    return src.read_tsv(t.spark, path, ["source1_entity_id", "matched_entity_ids"])
+
+
 @query("src7_tsv_with_nulls", "select p_partkey::varchar id, case when p_size < 10 then null else p_brand end maybe from part")
 def _(t):
     path = f"{_folder(t)}/tsv_nulls"

@@ -1,0 +1 @@
+"""Linkage is a batch workload, so nothing streams; the folder keeps the place of operators that would."""

@@ -10,7 +10,7 @@ from kinsmith.plans.queries import QUERIES, SQL
 ROOT = Path(__file__).resolve().parents[1]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries that fit models by fold take long; the linkage tests cover them.
-SLOW = {"run1_linkage", "trn1_train_a_then_b", "mdl3_cross_fit_gbt", "adp1_self_training", "prd1_mean_of_folds"}
+SLOW = {"run1_linkage", "trn1_train_a_then_b", "mdl3_cross_fit_gbt", "adp1_self_training", "prd1_mean_of_folds", "prd2_mean_of_folds_with_scores"}
 
 
 @pytest.fixture(scope="module")
