@@ -1,9 +1,11 @@
 """Document scores by a gated recurrent language model, beside a smoothed unigram base.
 
 Counts of all training tokens are gathered first, as a table. They give the base, the model's vocabulary (the most
-frequent tokens and one for all others), its classes and its first output weights. The recurrent part is fitted on the
-driver by truncated backpropagation over a bounded sample of training documents. Its output is factored: a class, then a
-token within it. A token outside the vocabulary is the class of all others times its share of the base's mass there, so
+frequent tokens and one for all others), its classes and its first output weights. The recurrent part gets its first
+weights on the driver, from the beginnings of a bounded sample of training documents. From these every task goes on with
+all its training documents, each whole, by truncated backpropagation, and the tasks' weights are averaged by tokens. So
+all documents shape the model, and its weights depend on how rows lie in partitions. Its output is factored: a class,
+then a token within it. A token outside the vocabulary is the class of all others times its share of the base's mass there, so
 the model is a distribution over all tokens that the base knows, and its score draws on the whole corpus.
 
 Scoring runs many documents side by side in lanes and carries each document's state across windows, so whole documents
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +29,11 @@ from kinsmith.llm.common import column_slices, materialize, require, small_batch
 
 #: The end of a document, as a token of the counts: no word is empty.
 END = b""
-#: Bounds: words sent to all tasks, and their bytes; vocabulary; sampled documents, their characters and tokens.
-MOST_SHIPPED, MOST_BYTES, VOCABULARY, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOKENS = 200_000, 64, 2048, 2000, 60_000, 500_000
+#: Bounds: words sent to all tasks, and their bytes; vocabulary; for the first weights, documents, characters of each, and tokens.
+MOST_SHIPPED, MOST_BYTES, VOCABULARY, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOKENS = 200_000, 64, 2048, 2000, 6000, 500_000
 HIDDEN, EMBEDDED, CLASSES, WINDOW, TRAIN_LANES, EPOCHS, LEAST_STEPS, RATE = 32, 16, 45, 20, 64, 2, 400, 4e-3
+#: Training on all documents: lanes, steps between dealings, rate, tokens a task should have, and pieces that weights travel in.
+STREAM_LANES, STREAM_BLOCK, STREAM_RATE, STREAM_TOKENS, PIECES = 256, 160, 2e-3, 2_000_000, 64
 SCORE_LANES, SCORE_WINDOW, CHUNK_TOKENS = 512, 32, 800_000
 ALPHA = 0.1
 
@@ -42,6 +47,24 @@ def _softmax_loss(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.log(np.maximum(e[rows, at], 1e-30)), e
 
 
+class Adam:
+    """The moments of parameters that are changed in place; gradients are clipped to a norm of 1."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.step = p, 0
+        self.m1, self.m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+
+    def apply(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
+        for k, v in grad.items():
+            v *= min(1.0, 1.0 / max(norm, 1e-9))
+            m1, m2 = self.m1[k], self.m2[k]
+            m1 += 0.1 * (v - m1)
+            m2 += 0.01 * (v * v - m2)
+            self.p[k] -= (rate * (m1 / (1 - 0.9**self.step)) / (np.sqrt(m2 / (1 - 0.99**self.step)) + 1e-7)).astype(np.float32)
+
+
 class Gru:
     """Ids 0..vocabulary-1 are tokens, 0 the end, and `vocabulary` stands for all others. Tokens are in order of class."""
 
@@ -87,60 +110,69 @@ class Gru:
         return lp, dh
 
     def train(self, docs: list[np.ndarray]) -> None:
-        """Adam on windows of WINDOW steps; states are carried from window to window and cut at documents' starts."""
+        """Several epochs over a sample; states are carried from window to window and cut at documents' starts."""
         if not docs:
             return
-        p = self.p
-        m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-        lanes, step = Lanes(docs, TRAIN_LANES), 0
-        width = int(lanes.length.min()) if len(lanes.length) == TRAIN_LANES else int(lanes.length.max())
+        adam, lanes = Adam(self.p), Lanes(docs, TRAIN_LANES)
+        width = int(lanes.length.max())
         epochs = max(EPOCHS, -(-LEAST_STEPS // -(-width // WINDOW)))  # small samples more often
-        with np.errstate(over="ignore"):
-            for epoch in range(epochs):
-                h = np.zeros((len(lanes.length), HIDDEN), np.float32)
-                for t0 in range(0, width, WINDOW):
-                    steps = range(t0, min(t0 + WINDOW, width))
-                    saved, outs, targets, shown = [], [], [], []
-                    for t in steps:
-                        live = int(np.searchsorted(-lanes.length, -t, "left"))
-                        h = h[:live]
-                        prev, goal, start = lanes.at(t, live)
-                        h = np.where(start[:, None], np.float32(0), h)
-                        x = p["e"][prev] @ p["wx"] + p["b"]
-                        hw = h @ p["wh"]
-                        zr = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * HIDDEN] + hw[:, : 2 * HIDDEN]))
-                        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                        g = np.tanh(x[:, 2 * HIDDEN :] + r * hw[:, 2 * HIDDEN :])
-                        new = (1 - z) * g + z * h
-                        saved.append((h, z, r, g, hw[:, 2 * HIDDEN :], prev, start))
-                        outs.append(new)
-                        targets.append(goal)
-                        shown.append(live)
-                        h = new
-                    grad = {k: np.zeros_like(v) for k, v in p.items()}
-                    _, dall = self.output(np.concatenate(outs), np.concatenate(targets), grad)
-                    at = np.cumsum([0, *shown])
-                    dnext = np.zeros((0, HIDDEN), np.float32)
-                    for i in range(len(saved) - 1, -1, -1):
-                        h0, z, r, g, hn, prev, start = saved[i]
-                        d = dall[at[i] : at[i + 1]].copy()
-                        d[: len(dnext)] += dnext
-                        dg = d * (1 - z) * (1 - g * g)
-                        da = np.concatenate([d * (h0 - g) * z * (1 - z), dg * hn * r * (1 - r), dg], 1)
-                        dw = np.concatenate([da[:, : 2 * HIDDEN], dg * r], 1)
-                        grad["wh"] += h0.T @ dw
-                        grad["b"] += da.sum(0)
-                        grad["wx"] += p["e"][prev].T @ da
-                        np.add.at(grad["e"], prev, da @ p["wx"].T)
-                        dnext = np.where(start[:, None], np.float32(0), d * z + dw @ p["wh"].T)
-                    step += 1
-                    rate = RATE * min(1, step / 50) * (0.3 if epoch == epochs - 1 and t0 > width // 2 else 1)
-                    norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
-                    for k, v in grad.items():
-                        v *= min(1.0, 1.0 / max(norm, 1e-9))
-                        m1[k] += 0.1 * (v - m1[k])
-                        m2[k] += 0.01 * (v * v - m2[k])
-                        p[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        for epoch in range(epochs):
+            h = np.zeros((len(lanes.length), HIDDEN), np.float32)
+            for t0 in range(0, width, WINDOW):
+                steps = [lanes.at(t, int(np.searchsorted(-lanes.length, -t, "left")))[:2] for t in range(t0, min(t0 + WINDOW, width))]
+                share = sum(len(prev) for prev, _ in steps) / (WINDOW * len(lanes.length))
+                rate = RATE * share * min(1, adam.step / 50 + 0.02) * (0.3 if epoch == epochs - 1 and t0 > width // 2 else 1)
+                h = self.learn(steps, h, adam, rate)
+
+    def learn(self, steps: list[tuple[np.ndarray, np.ndarray]], h: np.ndarray, adam: Adam, rate: float) -> np.ndarray:
+        """A gradient step on one window of (previous, target) ids, of lanes that end the last ones first; the state after it.
+
+        A document starts where the previous id is 0, since 0 ends each document and is nowhere else.
+        """
+        p, n = self.p, HIDDEN
+        inputs = p["e"] @ p["wx"] + p["b"]
+        saved, outs = [], []
+        for prev, _ in steps:
+            h = h[: len(prev)] * (prev > 0)[:, None]
+            x, hw = inputs[prev], h @ p["wh"]
+            zr = x[:, : 2 * n] + hw[:, : 2 * n]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            g = zr[:, n:] * hw[:, 2 * n :]
+            g += x[:, 2 * n :]
+            np.tanh(g, out=g)
+            saved.append((h, zr, g, hw[:, 2 * n :]))
+            h = g + zr[:, :n] * (h - g)
+            outs.append(h)
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        _, dall = self.output(np.concatenate(outs), np.concatenate([goal for _, goal in steps]), grad)
+        ends = np.cumsum([0, *(len(prev) for prev, _ in steps)])
+        da, dw = np.empty((len(dall), 3 * n), np.float32), np.empty((len(dall), 3 * n), np.float32)
+        dnext, back = np.zeros((0, n), np.float32), p["wh"].T.copy()
+        for i in range(len(steps) - 1, -1, -1):
+            (h0, zr, g, hn), own = saved[i], slice(ends[i], ends[i + 1])
+            z, r, d, a, w = zr[:, :n], zr[:, n:], dall[own], da[own], dw[own]
+            d[: len(dnext)] += dnext
+            keep = d * z
+            dg = (d - keep) * (1 - g * g)
+            a[:, :n] = (h0 - g) * keep * (1 - z)
+            w[:, 2 * n :] = dg * r
+            a[:, n : 2 * n] = w[:, 2 * n :] * hn * (1 - r)
+            a[:, 2 * n :] = dg
+            w[:, : 2 * n] = a[:, : 2 * n]
+            dnext = (keep + w @ back) * (steps[i][0] > 0)[:, None]
+        grad["wh"] += np.concatenate([s[0] for s in saved]).T @ dw
+        prev = np.concatenate([prev for prev, _ in steps])
+        order = np.argsort(prev, kind="stable")
+        ids, first = np.unique(prev[order], return_index=True)
+        of_input = np.add.reduceat(da[order], first)
+        grad["e"][ids] = of_input @ p["wx"].T
+        grad["wx"] += p["e"][ids].T @ of_input
+        grad["b"] += of_input.sum(0)
+        adam.apply(grad, rate)
+        return h
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Sum of natural log probabilities of each document's ids, each of which ends with 0."""
@@ -177,6 +209,59 @@ class Gru:
         return total
 
 
+class Stream:
+    """Training on documents as they come, each whole: a document goes to the lane with the least left to learn.
+
+    Lanes carry their states on from block to block; whatever is left in them is learned at the end.
+    """
+
+    def __init__(self, gru: Gru):
+        self.gru, self.adam, self.tokens = gru, Adam(gru.p), 0
+        self.queue: list[list[np.ndarray]] = [[] for _ in range(STREAM_LANES)]
+        self.left = [(0, i) for i in range(STREAM_LANES)]
+        self.last, self.h = np.zeros(STREAM_LANES, np.int64), np.zeros((STREAM_LANES, HIDDEN), np.float32)
+
+    def add(self, doc: np.ndarray) -> None:
+        size, lane = self.left[0]
+        self.queue[lane].append(doc.astype(np.int16))
+        heapq.heapreplace(self.left, (size + len(doc), lane))
+        self.tokens += len(doc)
+        if self.left[0][0] >= STREAM_BLOCK:
+            self._learn(STREAM_BLOCK)
+
+    def finish(self) -> None:
+        while (most := max(self.left)[0]) > 0:
+            self._learn(min(most, STREAM_BLOCK))
+
+    def _learn(self, width: int) -> None:
+        """The next `width` ids of each lane, or all that it has."""
+        lanes = [i for _, i in sorted(self.left, reverse=True)]
+        sizes, target = np.array([min(size, width) for size, _ in sorted(self.left, reverse=True)]), np.zeros((width, len(lanes)), np.int64)
+        for at, (lane, size) in enumerate(zip(lanes, sizes.tolist(), strict=True)):
+            queue, done = self.queue[lane], 0
+            while done < size:
+                part = queue[0][: size - done]
+                target[done : done + len(part), at] = part
+                done += len(part)
+                if len(part) == len(queue[0]):
+                    queue.pop(0)
+                else:
+                    queue[0] = queue[0][len(part) :]
+        prev = np.concatenate([self.last[lanes][None], target[:-1]])
+        live = np.searchsorted(-sizes, -np.arange(width), "left")
+        h = self.h[lanes]
+        for t0 in range(0, width, WINDOW):
+            steps = [(prev[t, : live[t]], target[t, : live[t]]) for t in range(t0, min(t0 + WINDOW, width))]
+            share = sum(len(p) for p, _ in steps) / (WINDOW * STREAM_LANES)  # a window of few lanes weighs less
+            h = self.gru.learn(steps, h, self.adam, STREAM_RATE * share * min(1, self.adam.step / 20 + 0.05) / np.sqrt(1 + self.adam.step / 50))
+        # a lane that has ended has an empty queue; it starts anew, as its last id was 0
+        full = [lane for lane, size in zip(lanes, sizes.tolist(), strict=True) if size == width]
+        self.last[:] = 0
+        self.last[full], self.h[full] = target[-1, : len(full)], h[: len(full)]
+        self.left = [(size - min(size, width), i) for size, i in self.left]
+        heapq.heapify(self.left)
+
+
 class Lanes:
     """Documents one after the other in lanes of nearly equal length, the longest lane first."""
 
@@ -243,6 +328,41 @@ class Known:
         return np.log10((self.counts + ALPHA) / self.low)
 
 
+def _ids(words: list[bytes], index: dict[bytes, int], m: int) -> np.ndarray:
+    at = np.fromiter(map(index.get, words, repeat(m)), np.int64, len(words))
+    return np.append(np.minimum(at, m), 0)
+
+
+def _learner(known: Known, gru: Gru):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, stream = {w: i for w, i in known.index().items() if i < known.m}, Stream(gru)
+        for part in column_slices(batches):
+            for text in part["text"]:
+                stream.add(_ids(words_of(text), index, known.m))
+        stream.finish()
+        flat = np.concatenate([gru.p[k].ravel() for k in sorted(gru.p)]).astype(np.float64) * stream.tokens
+        pieces = [p.tobytes() for p in np.array_split(flat, PIECES)] if stream.tokens else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([stream.tokens] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "tokens", "sums"])
+
+    return run
+
+
+def _add_up(group: pd.DataFrame) -> pd.DataFrame:
+    sums = np.sum([np.frombuffer(b, np.float64) for b in group["sums"]], axis=0)
+    return pd.DataFrame({"piece": group["piece"].iloc[:1], "tokens": [group["tokens"].sum()], "sums": [sums.tobytes()]})
+
+
+def _learn_all(learn: DataFrame, known: Known, gru: Gru, most_tasks: int) -> None:
+    """Every task goes on from the same weights with all its documents; the weights become the average by tokens."""
+    learned = materialize(learn.select("text").coalesce(most_tasks).mapInArrow(_learner(known, gru), "piece int, tokens long, sums binary"), "weights")
+    rows = sorted(learned.groupBy("piece").applyInPandas(_add_up, "piece int, tokens long, sums binary").collect())
+    flat, at = np.concatenate([np.frombuffer(r["sums"], np.float64) / r["tokens"] for r in rows]), 0
+    for k in sorted(gru.p):
+        v = gru.p[k]
+        gru.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+        at += v.size
+
+
 def _scorer(known: Known, gru: Gru):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, base = known.index(), known.base()
@@ -317,16 +437,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     gru = Gru(known.log_mass, float(np.log(known.other)))
     # about twice as many as needed by their hash, so that few texts are sorted however many there are
     chance = min(1.0, 2 * SAMPLE_DOCS / max(1, ends))
-    some = learn.where((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))) & (F.length("text") <= SAMPLE_CHARS))
-    sample = some.orderBy(F.xxhash64("doc_id"), "rid").select("text").limit(SAMPLE_DOCS).collect()
+    some = learn.where((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))) & F.col("text").isNotNull())
+    some = some.select("doc_id", "rid", F.substring("text", 1, SAMPLE_CHARS).alias("text"), (F.length("text") > SAMPLE_CHARS).alias("cut"))
+    sample = some.orderBy(F.xxhash64("doc_id"), "rid").select("text", "cut").limit(SAMPLE_DOCS).collect()
     index, ids, size = known.index(), [], 0
     for r in sample:
-        at = np.fromiter(map(index.get, words_of(r["text"]), repeat(known.m)), np.int64)
-        ids.append(np.append(np.minimum(at, known.m), 0))
+        at = _ids(words_of(r["text"]), index, known.m)
+        at = at[:-2] if r["cut"] else at  # the last word may be a part of one, and the end isn't one
+        if len(at):
+            ids.append(at)
         size += len(at)
         if size >= SAMPLE_TOKENS:
             break
     gru.train(ids)
+    if total:
+        _learn_all(learn, known, gru, max(1, total // STREAM_TOKENS))
     fields = "rid long, doc_id long, n_tokens long, n_shipped long, n_other long, base double, other_base double, rare array<binary>, rare_n array<int>, gru double"
     scored = materialize(docs.mapInArrow(_scorer(known, gru), fields), "scored")
 

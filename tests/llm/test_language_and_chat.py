@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinsmith.llm import chat, lm
@@ -96,6 +97,85 @@ def test_lanes_carry_whole_documents(monkeypatch):
     assert g.score([]).tolist() == []
 
 
+def test_every_whole_training_document_shapes_the_model(spark, monkeypatch):
+    seen = []
+    add = lm.Stream.add
+    monkeypatch.setattr(lm.Stream, "add", lambda self, doc: (seen.append(len(doc)), add(self, doc))[1])
+    rows = [t for d, t in bursts(40)] + ["", "a0 b0 " * 9000]
+    known = lm.Known([lm.END, b"a0", b"b0"], [42, 9000, 9000], 20000, 99)
+    gru = lm.Gru(known.log_mass, float(np.log(known.other)))
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])
+    out = pa.Table.from_batches(lm._learner(known, gru)([batch])).to_pydict()
+    want = [len(words_of(t)) + 1 for t in rows]
+    assert seen == want and set(out["tokens"]) == {sum(want)}
+
+
+def test_stream_learns_each_token_once_in_order(monkeypatch):
+    monkeypatch.setattr(lm, "STREAM_LANES", 3)
+    monkeypatch.setattr(lm, "STREAM_BLOCK", 40)
+    g, r, pairs = small_model(), np.random.default_rng(4), Counter()
+    learn = lm.Gru.learn
+
+    def count(self, steps, h, adam, rate):
+        for prev, goal in steps:
+            pairs.update(zip(prev.tolist(), goal.tolist(), strict=True))
+        assert [len(p) for p, _ in steps] == sorted((len(p) for p, _ in steps), reverse=True)
+        return learn(self, steps, h, adam, rate)
+
+    monkeypatch.setattr(lm.Gru, "learn", count)
+    docs = [np.append(r.integers(1, 12, size=n), 0) for n in (0, 1, 400, 7, 7, 3, 100, 90, 41, 80, 39, 2)]
+    stream = lm.Stream(g)
+    for d in docs:
+        stream.add(d)
+    stream.finish()
+    assert pairs == Counter(p for d in docs for p in zip([0, *d.tolist()], d.tolist(), strict=False))
+    assert stream.tokens == sum(map(len, docs)) and all(np.isfinite(v).all() for v in g.p.values())
+
+
+def test_gradients_through_a_window():
+    g, r = small_model(), np.random.default_rng(6)
+    prev, goal = r.integers(0, 12, size=(5, 3)), r.integers(0, 12, size=(5, 3))
+    prev[2, 1], steps = 0, [(prev[t, : 3 - (t > 2)], goal[t, : 3 - (t > 2)]) for t in range(5)]
+    h0 = r.normal(size=(3, lm.HIDDEN)).astype(np.float32)
+    kept = {}
+
+    class Keep:
+        def apply(self, grad, rate):
+            kept.update(grad)
+
+    g.learn(steps, h0, Keep(), 1.0)
+
+    def loss():
+        p, total, n, h = {k: v.astype(np.float64) for k, v in g.p.items()}, 0.0, lm.HIDDEN, h0.astype(np.float64)
+        for before, goals in steps:
+            h = h[: len(before)] * (before > 0)[:, None]
+            a, hw = p["e"][before] @ p["wx"] + p["b"], h @ p["wh"]
+            z, q = (1 / (1 + np.exp(-(a[:, i * n : (i + 1) * n] + hw[:, i * n : (i + 1) * n]))) for i in (0, 1))
+            h = (1 - z) * np.tanh(a[:, 2 * n :] + q * hw[:, 2 * n :]) + z * h
+            total -= g.output(h, goals)[0].sum()
+        return total / sum(len(b) for b, _ in steps)
+
+    for k in ("e", "wx", "b", "wh"):
+        g.p[k] = g.p[k].astype(np.float64)
+        at = tuple(x[0] for x in np.unravel_index(np.argsort(-np.abs(kept[k]).ravel())[:1], kept[k].shape))
+        old, e = g.p[k][at], 1e-4
+        g.p[k][at] = old + e
+        up = loss()
+        g.p[k][at] = old - e
+        down = loss()
+        g.p[k][at] = old
+        assert abs((up - down) / (2 * e) - kept[k][at]) < 1e-3 * abs(kept[k][at]) + 1e-5
+
+
+def test_model_learns_when_all_documents_are_long(spark):
+    r = random.Random(3)
+    rows = [(d, " ".join(f"{'ab'[d % 2]}{r.randrange(30)}" for _ in range(20_000))) for d in range(24)]
+    assert min(len(t) for _, t in rows) > 60_000
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.05 * sum(r["n_tokens"] for r in held)
+
+
 def test_model_is_a_distribution():
     g = small_model()
     h = np.random.default_rng(1).normal(size=(1, lm.HIDDEN)).astype(np.float32)
