@@ -9,9 +9,7 @@ the original text that it comes from, so spans found inside point to the text th
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import gzip
 import hashlib
 import io
 import re
@@ -31,6 +29,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that are long enough
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _PACKED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+#: In bytes: UTF-8 text of 12 characters or more (no span is shorter), and how compressed data begins.
+_READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 #: A compressed layer that unpacks to more than this is not followed.
 MOST_UNPACKED = 64_000_000
 
@@ -68,12 +70,29 @@ def _readable(data: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text) else None
 
 
+def _members(data: bytes) -> bytes:
+    """All members of a gzip file; whatever else follows them is left."""
+    out = b""
+    while data[:2] == b"\x1f\x8b" and len(out) <= MOST_UNPACKED:
+        d = zlib.decompressobj(31)
+        try:
+            more = d.decompress(data, MOST_UNPACKED + 1 - len(out))
+        except zlib.error:
+            if not out:
+                raise
+            break
+        if not d.eof and len(out) + len(more) <= MOST_UNPACKED:
+            raise EOFError
+        out, data = out + more, d.unused_data
+    return out
+
+
 def _unpack(data: bytes, depth: int = 0) -> str | None:
     """The text of bytes that may be compressed, any number of times over."""
     opened = None
     try:
         if data[:2] == b"\x1f\x8b":
-            opened = gzip.GzipFile(fileobj=io.BytesIO(data)).read(MOST_UNPACKED + 1)
+            opened = _members(data)
         elif data[:3] == b"BZh":
             opened = bz2.BZ2Decompressor().decompress(data, MOST_UNPACKED + 1)
         elif data[:4] == b"\x28\xb5\x2f\xfd":
@@ -110,15 +129,36 @@ def _layers(text: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[st
             spots += map(at, range(done, len(text)))
             yield "".join(parts), spots
     for m in _PACKED.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        if (plain := _unpack(data)) is not None:
-            yield plain, [(at(m.start())[0], at(m.end() - 1)[1])] * len(plain)
+        for plain, a, b in _decoded(m[0]):
+            yield plain, [(at(m.start() + a)[0], at(m.start() + b - 1)[1])] * len(plain)
+    for m in _WRAPPED.finditer(text):
+        places = [i for i, c in enumerate(m[0], m.start()) if not c.isspace()]
+        for plain, a, b in _decoded("".join(m[0].split())):
+            yield plain, [(at(places[a])[0], at(places[b - 1])[1])] * len(plain)
+
+
+def _decoded(run: str) -> Iterator[tuple[str, int, int]]:
+    """What base64 says and the characters that say it: the whole run, or else what is readable or opens in any alignment.
+
+    A blob may follow a path or a name whose characters base64 also has, and be followed by more of them.
+    """
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 != 1 and (plain := _unpack(base64.b64decode(body + "=" * (-len(body) % 4)))) is not None:
+        yield plain, 0, len(run)
+        return
+    for k in range(4):
+        n = len(body) - k
+        if n < 16:
+            break
+        some = body[k : k + n - (n % 4 == 1)]
+        data = base64.b64decode(some + "=" * (-len(some) % 4))
+        until = lambda b, n=len(data): len(run) if b == n else k + -(-8 * b // 6)  # noqa: B023, E731
+        for m in _READABLE.finditer(data):
+            yield m[0].decode("utf-8", "replace"), k + 8 * m.start() // 6, until(m.end())
+        for m in _MAGIC.finditer(data):
+            rest = data[m.start() :]
+            if (plain := _unpack(rest)) is not None:
+                yield plain, k + 8 * m.start() // 6, len(run)
 
 
 def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:

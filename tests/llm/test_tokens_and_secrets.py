@@ -117,6 +117,22 @@ def test_layers_unwrap_and_map_back():
     assert secrets.find_spans(nested)[1] == [(0, 0, len(nested))]
 
 
+def test_base64_after_paths_and_names_and_over_lines():
+    plain = b"password=hunter2hunter2xyz"
+    for data in (plain, gzip.compress(plain), zlib.compress(plain), bz2.compress(plain)):
+        code = base64.b64encode(data).decode()
+        for before in ("https://x.com/d/", "blob_", "id-", "path/", "a/b/c/", "v="):
+            for after in ("", " x", "/tail" if "=" not in code else ""):
+                t = before + code + after
+                spans = secrets.find_spans(t)[1]
+                assert any(s <= len(before) + 2 and e >= len(before) + len(code.rstrip("=")) - 2 for s, _, e in spans), (t, spans)
+                assert "[assign removed]" in secrets.redact(t)
+    code = base64.b64encode(b"some words before " * 4 + plain + b" and after" * 5).decode()
+    for width, end in ((64, "\n"), (76, "\r\n"), (18, "\n")):
+        t = end.join(code[i : i + width] for i in range(0, len(code), width))
+        assert any(s == 5 and e >= 5 + len(t.rstrip("=\r\n")) for s, _, e in secrets.find_spans(f"see:\n{t}")[1])
+
+
 def test_one_escaped_letter_widens_the_span():
     t = "x password=abcd%41efgh1 y"
     base, every = secrets.find_spans(t)
