@@ -74,9 +74,9 @@ class Benchmark:
             self.tables.append({v: np.array(x, np.int32) for v, x in lists.items()})
 
     def fingerprint(self, shingles: set[int]) -> np.ndarray:
-        """BLOCKS bytes: the signs of the weighted sums of the shingles' bits."""
+        """BLOCKS bytes: the signs of the sums of the shingles' bits, by the roots of the weights, so that the cosine is that of the weights."""
         x = np.fromiter(shingles, np.uint64, len(shingles))
-        w = np.array([self.weight.get(s, self.rare) for s in shingles])
+        w = np.sqrt([self.weight.get(s, self.rare) for s in shingles])
         bits = np.unpackbits(np.column_stack([mix(x), mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5))]).view(np.uint8), axis=1)
         return np.packbits(w @ bits > w.sum() / 2)
 

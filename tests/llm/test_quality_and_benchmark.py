@@ -150,3 +150,15 @@ def test_contamination_edge_cases(spark):
     assert clean.schema == docs.schema and sorted(r["doc_id"] for r in clean.collect()) == [2, 3]
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == 7
+
+
+def test_fingerprints_stay_near_when_most_shingles_are_shared():
+    r = np.random.default_rng(5)
+    b = decontam.Benchmark([])
+    shared, far = r.integers(1, 1 << 62, 300), 0
+    for _ in range(200):
+        own = r.integers(1, 1 << 62, 11)  # one changed word changes five of six
+        b.weight, b.rare = dict.fromkeys(shared.tolist(), np.log(2)), np.log(1001)
+        one, two = ({*shared.tolist(), *own[k : k + 6].tolist()} for k in (0, 5))
+        far += np.unpackbits(b.fingerprint(one) ^ b.fingerprint(two)).sum() > decontam.RADIUS
+    assert far == 0
