@@ -5,10 +5,11 @@ follows a blank line. Transition and emission probabilities are counted on label
 states then say which lines begin a turn of whom, also where markers are missing. Markers go, and every turn is rendered
 with the same one.
 
-A transcript is any number of segments (rows). Lines of up to SEGMENTS neighbouring segments are decoded together; for
-longer transcripts each such piece is first summed up as a matrix of best scores by state before and state at its end,
-pieces of pieces likewise, and the states at the pieces' ends are then decided from the top down. That is Viterbi's
-result exactly, and no task ever holds a long transcript.
+A transcript is any number of segments (rows), numbered in order. Lines of SEGMENTS neighbouring segments are decoded
+together; for longer transcripts each such piece is first summed up as a matrix of best scores by state before and state at
+its end, pieces of pieces likewise, and the states at the pieces' ends are then decided from the top down. Whether the line
+before a piece is blank is told to it first, from the last segment of the piece before. That is Viterbi's result exactly,
+and no task ever holds more than SEGMENTS segments of a transcript, however many rows share a place in it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsmith.llm.common import materialize, require, small_batches
+from kinsmith.sources.tables import with_rank
 
 ROLES = ("system", "user", "assistant")
 #: States: role r begins at 2r and goes on at 2r + 1; the last one is before the first line.
@@ -83,6 +85,18 @@ class Hmm:
         return self.steps + self.shows[:, symbol]
 
 
+class Matrices(dict):
+    """symbol -> matrix, so that the lines of a long text share few."""
+
+    def __init__(self, hmm: Hmm):
+        super().__init__()
+        self.hmm = hmm
+
+    def __missing__(self, symbol: int) -> np.ndarray:
+        self[symbol] = m = self.hmm.matrix(symbol)
+        return m
+
+
 def product(matrices: list[np.ndarray]) -> np.ndarray:
     """Best scores by state before the first and state at the last."""
     total = matrices[0]
@@ -93,20 +107,20 @@ def product(matrices: list[np.ndarray]) -> np.ndarray:
 
 def chain(matrices: list[np.ndarray], enter: int, leave: int | None) -> list[int]:
     """The best states at each step after `enter`; the last one is `leave` if given. Ties go to the lower state."""
-    score, back = matrices[0][enter], []
-    for m in matrices[1:]:
+    score, back = matrices[0][enter], np.empty((len(matrices) - 1, STATES), np.int8)
+    for i, m in enumerate(matrices[1:]):
         every = score[:, None] + m[:STATES]
-        back.append(every.argmax(0))
+        back[i] = every.argmax(0)
         score = every.max(0)
     state = int(score.argmax()) if leave is None else leave
     states = [state]
-    for b in reversed(back):
+    for b in back[::-1]:
         states.append(state := int(b[state]))
     return states[::-1]
 
 
 def _streamed(df: DataFrame, keys: list[str], order: list[str], f: Callable, schema: str) -> DataFrame:
-    """f(list of rows) -> list of rows, for each group of keys in order; groups are bounded, tasks stream over many."""
+    """f(list of rows) -> list of rows, for each group of keys in order; groups have SEGMENTS rows at most, tasks stream over many."""
     names = df.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +141,10 @@ def _streamed(df: DataFrame, keys: list[str], order: list[str], f: Callable, sch
 def fit_hmm(labelled: DataFrame) -> Hmm:
     """From labelled(conv_id, seq, role, text), a turn for each row, its marker still in the text.
 
-    What lines show is counted where they are; which turn follows which comes from a join on neighbouring turns.
+    What lines show is counted where they are; which turn follows which comes from a join on neighbouring turns, in which
+    rows that repeat a turn count once. Rows with another or no role, or without a seq, are left out; a null text is an empty
+    line; texts of any length are taken whole; rows of a null conv_id have no neighbours. Other columns are ignored. An empty
+    table gives a model in which all states are alike.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +159,7 @@ def fit_hmm(labelled: DataFrame) -> Hmm:
     shows, steps = np.zeros((STATES, SYMBOLS)), np.zeros((STATES + 1, STATES))
     for r in known.select("role", "text").mapInPandas(count, "state int, symbol int, n long").groupBy("state", "symbol").agg(F.sum("n").alias("n")).collect():
         shows[r["state"], r["symbol"]] = r["n"]
-    turns = known.select("conv_id", "seq", "role")
+    turns = known.select("conv_id", F.col("seq").cast("long").alias("seq"), "role").distinct()
     after = turns.select("conv_id", (F.col("seq") - 1).alias("seq"), F.col("role").alias("then"))
     lines = shows.sum(1)
     for r in turns.join(after, ["conv_id", "seq"]).groupBy("role", "then").count().collect():
@@ -162,7 +179,7 @@ def fit_hmm(labelled: DataFrame) -> Hmm:
 
 def _ends(pieces: DataFrame) -> DataFrame:
     """pieces(conv_id, at, m) -> (conv_id, at, enter, leave): the states before and at the end of each piece."""
-    up = pieces.withColumn("up", F.floor(F.col("at") / SEGMENTS).cast("long"))
+    up = pieces.withColumn("up", F.floor(F.col("at") / max(2, SEGMENTS)).cast("long"))
     as_matrix = lambda r: np.array(r.m).reshape(STATES + 1, STATES)
 
     def decide(rows: list) -> list[tuple]:
@@ -186,15 +203,18 @@ def format_transcripts(segments: DataFrame, hmm: Hmm) -> DataFrame:
     Lines are in order of seq and of place in the text; where segments end says nothing. `role` is that of the segment's
     first line, n_turns the number of turns that begin in it, and `rendered` the segment with markers as <|role|> lines,
     so a transcript's rendered segments in order are its canonical form. A null text is an empty line; segments without a
-    seq come first, as seq 0; segments of a null conv_id are one transcript; rows that repeat a seq are in order of text. Other columns
-    are ignored; an empty table gives no rows.
+    seq come first, as seq 0; segments of a null conv_id are one transcript; rows that repeat a seq are in order of text. A
+    text of any length is one row's work, any number of rows of a transcript are many tasks'. Other columns are ignored; an
+    empty table gives no rows.
     """
     require(segments, "conv_id", "seq", "text")
     rows = small_batches(segments).select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.floor(F.col("seq") / SEGMENTS).cast("long"))
+    sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    long = sizes.where(F.col("n") > SEGMENTS)
+    matrices = Matrices(hmm)
 
     def observed(group: list) -> list[list[tuple[int, str]]]:
-        out, blank = [], False
+        out, blank = [], bool(getattr(group[0], "blank", False))
         for r in group:
             out.append(observe(r.text, blank))
             blank = not out[-1][-1][1].strip()
@@ -203,7 +223,7 @@ def format_transcripts(segments: DataFrame, hmm: Hmm) -> DataFrame:
     def decode(group: list) -> list[tuple]:
         enter, leave = (START, None) if not hasattr(group[0], "enter") else (int(group[0].enter), int(group[0].leave))
         lines = observed(group)
-        states, at, out = chain([hmm.matrix(s) for seg in lines for s, _ in seg], enter, leave), 0, []
+        states, at, out = chain([matrices[s] for seg in lines for s, _ in seg], enter, leave), 0, []
         for r, seg in zip(group, lines, strict=True):
             own = states[at : at + len(seg)]
             at += len(seg)
@@ -211,21 +231,35 @@ def format_transcripts(segments: DataFrame, hmm: Hmm) -> DataFrame:
             out.append((r.conv_id, r.seq, ROLES[own[0] // 2], len(seg), sum(s % 2 == 0 for s in own), text))
         return out
 
+    def ends_blank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            blank = [not observe(t.rsplit("\n", 1)[-1])[0][1].strip() for t in frame["text"]]
+            yield pd.DataFrame({"conv_id": frame["conv_id"], "at": frame["at"] + 1, "blank": blank})
+
     # as text, the ids pass through pandas unharmed beside nulls
     fields = "conv_id string, seq long, role string, n_lines long, n_turns long, rendered string"
     named = lambda df: df.withColumn("conv_id", F.col("conv_id").cast("long"))
-    if rows.where("at <> 0").limit(1).count() == 0:
-        return named(_streamed(rows, ["conv_id", "at"], ["seq", "text"], decode, fields))
-    parts = _streamed(rows, ["conv_id", "at"], ["seq", "text"], lambda g: [(g[0].conv_id, g[0].at, product([hmm.matrix(s) for seg in observed(g) for s, _ in seg]).ravel().tolist())], "conv_id string, at long, m array<double>")
-    known = _ends(materialize(parts, "pieces"))
-    joined = rows.join(known, rows["conv_id"].eqNullSafe(known["conv_id"]) & (rows["at"] == known["at"])).select(rows["conv_id"], rows["at"], rows["seq"], rows["text"], "enter", "leave")
-    return named(_streamed(joined, ["conv_id", "at"], ["seq", "text"], decode, fields))
+    if long.limit(1).count() == 0:
+        return named(_streamed(rows, ["conv_id"], ["seq", "text"], decode, fields))
+    # rows get their place within the transcript, so that pieces have SEGMENTS rows whatever seq says
+    # equal rows differ by a number, so that any number of them spread over tasks
+    placed = with_rank(rows.withColumn("tie", F.monotonically_increasing_id()), "place", ["seq", "text", "tie"], ["conv_id"]).withColumn("at", F.floor(F.col("place") / SEGMENTS).cast("long"))
+    placed = materialize(placed, "placed")
+    last = placed.where(F.col("place") % SEGMENTS == SEGMENTS - 1).select("conv_id", "at", "text")
+    before = last.mapInPandas(ends_blank, "conv_id string, at long, blank boolean").select(F.col("conv_id").alias("c"), F.col("at").alias("a"), "blank")
+    placed = placed.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("a")), "left").select("conv_id", "at", "place", "seq", "text", F.coalesce("blank", F.lit(False)).alias("blank"))
+    parts = _streamed(placed, ["conv_id", "at"], ["place"], lambda g: [(g[0].conv_id, g[0].at, product([matrices[s] for seg in observed(g) for s, _ in seg]).ravel().tolist())], "conv_id string, at long, m array<double>")
+    known = _ends(materialize(parts, "pieces")).select(F.col("conv_id").alias("c"), F.col("at").alias("a"), "enter", "leave")
+    joined = placed.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("a"))).drop("c", "a")
+    return named(_streamed(joined, ["conv_id", "at"], ["place"], decode, fields))
 
 
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
     """Raw transcripts of labelled conversations(conv_id, turn, role, text): (conv_id, seq, role, text).
 
-    Every conversation has one style of markers; about every ninth turn after the first has none.
+    Every conversation has one style of markers; about every ninth turn after the first has none. A null text is empty but
+    for its marker; rows with another or no role have no marker; null ids, repeated rows and texts of any length stay; other
+    columns are left out; an empty table gives no rows.
     """
     require(conversations, "conv_id", "turn", "role", "text")
     style = F.coalesce(F.pmod(F.xxhash64("conv_id", F.lit(3)), F.lit(len(STYLES))), F.lit(0))

@@ -256,13 +256,31 @@ def test_states_against_trying_all_paths(talk):
         assert abs(chat.product(ms)[chat.START].max() - best) < 1e-9
 
 
-def test_pieces_give_the_same_as_whole_transcripts(spark, talk, monkeypatch):
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_pieces_give_the_same_as_whole_transcripts(spark, talk, monkeypatch, n):
     hmm, test = talk
-    whole = sorted(map(tuple, chat.format_transcripts(test, hmm).collect()))
-    for n in (1, 2):
+    r = random.Random(6)
+    odd = [(i // 7, i % 7 if i % 5 else 2, "\n".join(r.choice(("User: a b", "Assistant: c", "", " ", "w " * r.randrange(1, 90), "A:")) for _ in range(r.randrange(1, 4))) + r.choice(("", "\n", "\n\n", "\n \n"))) for i in range(140)]
+    for df in (test, spark.createDataFrame(odd, "conv_id long, seq long, text string")):
+        monkeypatch.setattr(chat, "SEGMENTS", 256)
+        whole = sorted(map(tuple, chat.format_transcripts(df, hmm).collect()))
         monkeypatch.setattr(chat, "SEGMENTS", n)
-        if n > 1 or test.agg({"seq": "max"}).first()[0] < 2:
-            assert sorted(map(tuple, chat.format_transcripts(test, hmm).collect())) == whole
+        assert sorted(map(tuple, chat.format_transcripts(df, hmm).collect())) == whole
+
+
+def test_many_rows_of_one_seq_and_a_long_turn(spark, talk):
+    hmm, _ = talk
+    many = spark.range(20_000).selectExpr("cast(7 as long) conv_id", "cast(null as long) seq", "'User: hello' text")
+    long = spark.createDataFrame([(8, 0, "User: x\n" + "Assistant: y\nz\n" * 40_000)], "conv_id long, seq long, text string")
+    got = chat.format_transcripts(many.unionByName(long), hmm).groupBy("conv_id").agg({"*": "count", "n_lines": "sum", "n_turns": "max"}).collect()
+    assert {r[0]: r["count(1)"] for r in got} == {7: 20_000, 8: 1} and {r[0]: r["sum(n_lines)"] for r in got} == {7: 20_000, 8: 80_002}
+
+
+def test_repeated_turns_count_once_in_the_model(spark):
+    raw = chat.raw_transcripts(spark.createDataFrame(conversations(20), "conv_id long, turn long, role string, text string"))
+    again = raw.unionByName(raw.where("conv_id = 3")).unionByName(raw.where("conv_id = 3"))
+    n = lambda df: df.select("conv_id", "seq", "role").distinct().count()
+    assert n(raw) == n(again) and np.allclose(np.exp(chat.fit_hmm(raw).steps[chat.START]), np.exp(chat.fit_hmm(again).steps[chat.START]))
 
 
 def test_transcript_edge_cases(spark, talk):
