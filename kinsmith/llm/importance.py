@@ -4,10 +4,14 @@ Two generative models of hashed n-grams are counted: one of the raw text (all do
 (documents labelled good and not toxic, from a bounded sample of labels). A document's n-grams are the 1-grams of its
 words and of their beginnings, and the 2-grams of their shapes and repetition. Each n-gram's log ratio log((target count
 + 1) / (expected count + 1)) compares both models; add-one on the count scale leaves rare n-grams near 0. Beside it, the
-deviance of the target count from the expected one says how surely an n-gram is too rare in the target text. A logistic
-regression on few summaries of a document's n-grams, fitted on the sample, makes them one log weight. The k documents of largest
-`SHARPNESS * log weight + Gumbel noise` are kept, which samples k without replacement in proportion to the weights to the
-power SHARPNESS; k is the number of documents of positive log weight, so it follows the corpus.
+deviance of the target count from the expected one says how surely an n-gram is too rare in the target text. A document of
+the target sample is judged by the counts without its own.
+
+A plain sum of log ratios can't tell a toxic document, which has a few words that the target lacks among hundreds that it
+has (README has the figures), so a logistic regression on few summaries of a document's log ratios, fitted on the sample,
+makes them the log weight. The k documents of largest log weight + Gumbel noise of scale 1 are kept, which samples k without
+replacement in proportion to the weights. k is a share of the documents, a parameter; by default that of the target among
+the labelled documents.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ START, SURE = 4, 8.0
 RARE = 0.25
 #: Labelled documents, at most, that the target model and the regression are fitted on: those of least hash.
 MOST_LABELS = 20_000
-SHARPNESS, SEED = 50.0, 17
+SEED = 17
 FEATURES = ("mean_ratio", "bad_mass", "bad_share", "sure_mass", "repeat_share", "log_words")
 _RUNS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"(.)\1+", re.DOTALL), rb"\1"))
 
@@ -103,14 +107,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
 
-def _features(ratio: np.ndarray, sure: np.ndarray, codes: _Codes, texts: list[str | None]) -> list[np.ndarray]:
+def _ratio(target: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return np.log((target + 1) / (expected + 1)).astype(np.float32)
+
+
+def _surely_rare(target: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """By how much the deviance of a count well under the expected one is over SURE."""
+    deviance = expected - target + target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-9))
+    return np.where(target < RARE * expected, np.maximum(deviance - SURE, 0), 0).astype(np.float32)
+
+
+def _features(models: Models, codes: _Codes, texts: list[str | None], good: list[int | None]) -> list[np.ndarray]:
+    """Summaries of each text's n-grams; `good` texts are judged by target counts without their own."""
     grams, again, ends = _grams(codes, texts)
     n = np.diff(np.concatenate([[0], ends]))
-    r1, r2 = ratio[grams[0]], ratio[grams[1]]
+    r1, r2 = models.ratio[grams[0]], models.ratio[grams[1]]
+    mass = [models.sure[grams[0]], models.sure[grams[2]]]
+    own = np.flatnonzero(np.repeat(np.array([g == 1 for g in good], bool), n))
+    if len(own):
+        doc = np.repeat(np.arange(len(n)), n)[own]
+        less = lambda g, k: (np.maximum(models.target[g] - k, 0), models.expected[g])
+        for part, g in zip(mass, (grams[0][own], grams[2][own]), strict=True):
+            part[own] = _surely_rare(*less(g, 1))
+        r1[own] = _ratio(*less(grams[0][own], 1))
+        _, at, times = np.unique(doc * BUCKETS + grams[1][own], return_inverse=True, return_counts=True)
+        r2[own] = _ratio(*less(grams[1][own], times[at]))
     some = np.maximum(n, 1)
     bad = np.minimum(r1 + 1.5, 0) + np.minimum(r2 + 1.5, 0)
-    mass = sure[grams[0]] + sure[grams[2]]
-    return [_sums(r1 + r2, ends) / some, np.log1p(np.maximum(-_sums(bad, ends), 0)), _sums(bad < 0, ends) / some, np.log1p(np.maximum(_sums(mass, ends), 0)), _sums(again, ends) / some, np.log1p(n)]
+    return [_sums(r1 + r2, ends) / some, np.log1p(np.maximum(-_sums(bad, ends), 0)), _sums(bad < 0, ends) / some, np.log1p(np.maximum(_sums(mass[0] + mass[1], ends), 0)), _sums(again, ends) / some, np.log1p(n)]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -146,48 +170,41 @@ def _noise(doc_id: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-class Selection:
-    """The two models, the weights of the regression and the k-th key; made by fit()."""
+class Models:
+    """Target counts by bucket, and how many the raw counts let expect; each kind of n-gram is a model of its own."""
 
     def __init__(self, raw: np.ndarray, target: np.ndarray):
-        # each kind of n-gram is a model of its own
-        expected, at = np.zeros(BUCKETS), 0
+        self.target, self.expected, at = target.astype(np.float64), np.zeros(BUCKETS), 0
         for bits in (WORD_BITS, SHAPE_BITS, START_BITS):
             part = slice(at, at + (1 << bits))
-            expected[part] = raw[part] * (target[part].sum() / max(1.0, raw[part].sum()))
+            self.expected[part] = raw[part] * (target[part].sum() / max(1.0, raw[part].sum()))
             at += 1 << bits
-        self.ratio = np.log((target + 1) / (expected + 1)).astype(np.float32)
-        deviance = expected - target + target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-9))
-        self.sure = np.where(target < RARE * expected, np.maximum(deviance - SURE, 0), 0).astype(np.float32)
-        self.weights, self.least = None, -np.inf
-
-    def features(self, keep: DataFrame) -> DataFrame:
-        """`keep`, which has doc_id and ends with _text, with each feature instead of _text.
+        self.ratio, self.sure = _ratio(self.target, self.expected), _surely_rare(self.target, self.expected)
 
-        One pass, without a shuffle.
-        """
-        ratio, sure, kept = self.ratio, self.sure, keep.schema.fields[:-1]
+    def features(self, rows: DataFrame) -> DataFrame:
+        """`rows`, which end with good and _text, with each feature instead of _text. One pass, without a shuffle."""
+        models, kept = self, rows.schema.fields[:-1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = _Codes()
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    found = _features(ratio, sure, codes, part.column(len(kept)).to_pylist())
+                    found = _features(models, codes, part.column(len(kept)).to_pylist(), part.column(len(kept) - 1).to_pylist())
                     yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *map(pa.array, found)], [*(f.name for f in kept), *FEATURES_AS])
 
-        return keep.mapInArrow(run, T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in FEATURES_AS)]))
+        return rows.mapInArrow(run, T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in FEATURES_AS)]))
 
-    def scored(self, featured: DataFrame) -> DataFrame:
-        """log_weight: null for documents without words, 0 if there was nothing to fit on. key: with the noise."""
-        if self.weights is None:
-            weight: Column = F.lit(1.0)
-        else:
-            weight = F.lit(float(self.weights[-1]))
-            for c, w in zip(FEATURES_AS, self.weights, strict=False):
-                weight = weight + F.col(c) * F.lit(float(w))
-        weight = F.when(F.col("_log_words") > 0, weight)
-        return featured.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") * SHARPNESS + _noise(F.col("doc_id")))
+
+def _scored(featured: DataFrame, weights: np.ndarray | None) -> DataFrame:
+    """log_weight: null for documents without words, 0 if there was nothing to fit on. key: with the noise."""
+    weight: Column = F.lit(0.0)
+    if weights is not None:
+        weight = F.lit(float(weights[-1]))
+        for c, w in zip(FEATURES_AS, weights, strict=False):
+            weight = weight + F.col(c) * F.lit(float(w))
+    weight = F.when(F.col("_log_words") > 0, weight)
+    return featured.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") + _noise(F.col("doc_id")))
 
 
 FEATURES_AS = tuple(f"_{c}" for c in FEATURES)
@@ -218,40 +235,50 @@ def _kth_largest(keys: DataFrame, k: int, steps: int = 4096) -> float:
     return lo if lo == hi else float(np.partition(np.array([r[0] for r in keys.where((F.col("key") >= lo) & (F.col("key") <= hi)).select("key").distinct().collect()]), 0)[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Selection, DataFrame]:
-    """The selection, and (doc_id, log_weight, key) of all documents as a table."""
+def _selected(docs: DataFrame, labels: DataFrame, share: float | None, carried: list[Column]) -> DataFrame:
+    """The rows of docs that are kept, with the columns `carried`, doc_id, log_weight and key.
+
+    N-grams are cut twice: to count, and to judge by the counts. What is judged becomes a table with all that is carried.
+    """
     sample = materialize(_sample(labels), "labels")
-    marked = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")  # bounded by MOST_LABELS
-    counts = marked.select("text", "good").mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    rows = small_batches(docs).select(*carried, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    marked = rows.join(F.broadcast(sample), "doc_id", "left")  # bounded by MOST_LABELS
+    counts = marked.select(F.col("_text").alias("text"), "good").mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
-    chosen = Selection(raw, target)
-    featured = materialize(chosen.features(marked.select("doc_id", "good", F.col("text").alias("_text"))), "features")
-    known = featured.where("good is not null and _log_words > 0").select("good", *FEATURES_AS).limit(4 * MOST_LABELS).toPandas()
+    others = [c for c in marked.columns if c not in ("good", "_text")]
+    featured = materialize(Models(raw, target).features(marked.select(*others, "good", "_text")), "features")
+    # a row for each labelled document, so MOST_LABELS at most; of rows that share a doc_id the least
+    known = featured.where("good is not null and _log_words > 0").groupBy("doc_id").agg(F.min(F.struct("good", *FEATURES_AS)).alias("f")).select("f.*").toPandas().sort_values(["good", *FEATURES_AS])
+    weights = None
     if 0 < known["good"].sum() < len(known):
-        chosen.weights = _fit(known[list(FEATURES_AS)].to_numpy(np.float64), known["good"].to_numpy(np.float64))
-    scored = chosen.scored(featured)
-    k = scored.where("log_weight > 0").count()
-    chosen.least = _kth_largest(scored.where("key is not null").select("key"), k) if k else np.inf
-    return chosen, scored.select("doc_id", "log_weight", "key")
+        weights = _fit(known[list(FEATURES_AS)].to_numpy(np.float64), known["good"].to_numpy(np.float64))
+    if share is None:
+        share = float(known["good"].mean()) if weights is not None else 1.0
+    scored = _scored(featured, weights)
+    keys = scored.where("key is not null").select("key")
+    k = round(share * keys.count())
+    least = _kth_largest(keys, k) if k else np.inf
+    return scored.where(F.col("key") >= F.lit(float(least)))
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def importance_sample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality, toxic) -> (doc_id, log_weight, key) of the documents kept.
 
-    Documents without words are never kept. With labels of one kind only, or none, there is nothing to fit and all others
+    Kept is `share` of the documents with words, by default the target's share of the labelled ones; documents without
+    words are never kept. With labels of one kind only, or none, there is nothing to fit, all weights are 0 and by default all
     are kept. Null doc_id: scored as any other. Repeated rows have equal keys; rows that tie with the k-th key are all kept.
-    Labels with nulls are left out. Empty tables give no rows; other columns are ignored.
+    Labels with nulls are left out; the worst of a document's labels holds. Texts of any length are taken whole. Empty
+    tables give no rows; other columns are ignored.
     """
     require(docs, "doc_id", "text")
     require(labels, "doc_id", "quality", "toxic")
-    chosen, scored = fit(docs, labels)
-    return scored.where(F.col("key") >= F.lit(float(chosen.least)))
+    return _selected(docs, labels, share, []).select("doc_id", "log_weight", "key")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that importance_sample() keeps, with all their columns; no shuffle of texts."""
-    chosen, _ = fit(docs, labels)
+def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
+    """The rows of docs that importance_sample() keeps, with all their columns; texts are not shuffled."""
+    require(docs, "doc_id", "text")
+    require(labels, "doc_id", "quality", "toxic")
     # a whole row is one value, so that no column's name can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
-    return chosen.scored(chosen.features(rows)).where(F.col("key") >= F.lit(float(chosen.least))).select("row.*")
+    return _selected(docs, labels, share, [F.struct(*docs.columns).alias("row")]).select("row.*")

@@ -36,13 +36,85 @@ def graded(spark):
 
 def test_rejects_what_the_labels_reject(graded):
     docs, labels = graded
-    kept = {r["doc_id"] for r in importance.importance_sample(docs, labels).collect()}
+    kept = {r["doc_id"] for r in importance.importance_sample(docs, labels, share=0.6).collect()}
     bad = [i for i in range(900) if i % 5 in (3, 4)]
     good = [i for i in range(900) if i % 5 not in (3, 4)]
     assert sum(i in kept for i in bad) <= 0.02 * len(bad)
     assert sum(i in kept for i in good) >= 0.98 * len(good)
 
 
+def test_the_sample_is_what_a_recount_by_hand_gives(spark, graded):
+    """Counts, ratios, summaries, weights, keys and the k-th of them, by plain loops."""
+    import re as regex
+
+    docs, labels = graded
+    got = {r["doc_id"]: (r["log_weight"], r["key"]) for r in importance.importance_sample(docs, labels).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = {r["doc_id"]: int(r["quality"] >= 1 and r["toxic"] == 0) for r in labels.collect()}
+
+    def shape(w):
+        for pattern, by in (("[A-Z]+", "A"), ("[a-z]+", "a"), ("[0-9]+", "9"), (r"(.)\1+", r"\1")):
+            w = regex.sub(pattern, by, w)
+        return w
+
+    codes = importance._Codes()
+
+    def buckets(text):
+        return [g.tolist() for g in importance._grams(codes, [text])[0]]
+
+    # n-grams of equal words, shapes and beginnings have equal buckets, and others have others but for collisions
+    first = {}
+    for t in list(texts.values())[:60]:
+        w = t.split()
+        named = [[("w", x) for x in w], [("s", shape(x), shape(w[i - 1]) if i else "", i > 0 and w[i - 1] == x) for i, x in enumerate(w)], [("b", x[:4]) for x in w]]
+        for names, bs in zip(named, buckets(t), strict=True):
+            assert all(first.setdefault(name, b) == b for name, b in zip(names, bs, strict=True))
+    raw, target = Counter(), Counter()
+    for d, t in texts.items():
+        for kind, bs in enumerate(buckets(t)):
+            for b in bs if kind == 1 else set(bs):
+                raw[b] += 1
+                target[b] += good.get(d) == 1
+    ends = [1 << importance.WORD_BITS, (1 << importance.WORD_BITS) + (1 << importance.SHAPE_BITS), importance.BUCKETS]
+    kind_of = lambda b: sum(b >= e for e in ends)
+    total = Counter()
+    for b in raw:
+        total["raw", kind_of(b)] += raw[b]
+        total["target", kind_of(b)] += target[b]
+
+    def expected(b):
+        return raw[b] * total["target", kind_of(b)] / total["raw", kind_of(b)]
+
+    def sure(t, e):
+        return max(0.0, e - t + t * math.log(max(t, 1) / e) - 8) if t < 0.25 * e else 0.0
+
+    def summaries(d):
+        own = good.get(d) == 1
+        words, shapes, starts = buckets(texts[d])
+        times, n = Counter(shapes), len(words)
+        ratio = lambda b, k: math.log((target[b] - own * k + 1) / (expected(b) + 1))
+        r1, r2 = [ratio(b, 1) for b in words], [ratio(b, times[b]) for b in shapes]
+        bad = [min(x + 1.5, 0) + min(y + 1.5, 0) for x, y in zip(r1, r2, strict=True)]
+        mass = sum(sure(target[b] - own, expected(b)) for b in words + starts)
+        w = texts[d].split()
+        return [sum(r1 + r2) / n, math.log1p(-sum(bad)), sum(b < 0 for b in bad) / n, math.log1p(mass), sum(x == y for x, y in zip(w, w[1:], strict=False)) / n, math.log1p(n)]
+
+    x = np.array([summaries(d) for d in good])
+    weights = importance._fit(x, np.array([float(v) for v in good.values()]))
+    z = x - x.mean(0)
+    slope = ((np.array(list(good.values())) - 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1]))))[:, None] * z).sum(0)
+    assert np.allclose(slope, weights[:-1] * np.maximum(x.std(0), 1e-9) ** 2, atol=1e-3)  # the ridge's optimum
+    noise = {r[0]: r[1] for r in docs.select("doc_id", importance._noise(docs["doc_id"])).collect()}
+    keys = {d: (float(np.dot(summaries(d), weights[:-1]) + weights[-1]), noise[d]) for d in texts}
+    k = round(len(texts) * sum(good.values()) / len(good))
+    best = sorted(keys, key=lambda d: -sum(keys[d]))[:k]
+    assert set(got) == set(best)
+    for d, (weight, key) in got.items():
+        assert abs(weight - keys[d][0]) < 1e-3 * max(1, abs(weight)) and abs(key - sum(keys[d])) < 1e-3 * max(1, abs(key))
+    assert {d for d in keys if keys[d][0] > 0} != set(best)  # it samples, it doesn't cut at a weight
+    assert abs(np.mean(list(noise.values())) - 0.5772) < 0.2 and abs(np.std(list(noise.values())) - 1.2825) < 0.2
+
+
 def test_keep_good_returns_whole_rows_whatever_their_names(graded):
     docs, labels = graded
     chosen = {r["doc_id"] for r in importance.importance_sample(docs, labels).collect()}
