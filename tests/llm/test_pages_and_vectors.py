@@ -1,8 +1,10 @@
 import base64
 import hashlib
+import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinsmith.llm import kdtree, urls, warc
@@ -95,6 +97,34 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("cells", [1, 3, 64])
+def test_cells_and_copies_change_nothing(spark, monkeypatch, cells):
+    for name, value in (("SHARD_ROWS", 40), ("LEAF_ROWS", 8), ("BLOCK_QUERIES", 3), ("TASK_BLOCKS", 2), ("MOST_CELLS", cells), ("SAMPLE_ROWS", 200)):
+        monkeypatch.setattr(kdtree, name, value)
+    g = np.random.default_rng(7)
+    x = (g.normal(size=(6, 5))[g.integers(6, size=600)] * 2 + g.normal(size=(600, 5)) * 0.2).astype(np.float32)
+    x[50:250] = 0.5  # a third of all rows
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_queries_go_only_where_they_can_find_more(monkeypatch):
+    g = np.random.default_rng(8)
+    x = np.rint(g.normal(size=(4000, 3)) * 50).astype(np.int64)
+    cells = kdtree.Cells(x[:1000], 32)
+    of = cells.of(x)
+    assert cells.n == 32 and len(np.unique(of)) == 32
+    boxes = {c: (x[of == c].min(0), x[of == c].max(0)) for c in range(32)}
+    queries = x[::20].astype(np.float32)
+    kth = np.sort(x @ x[::20].T, axis=0)[-20].astype(float)
+    batch = pa.RecordBatch.from_pylist([{"cell": 0, "block": 0, "packed": pickle.dumps((np.arange(0, 4000, 20), queries, kth))}])
+    sent = [(b["cell"][0].as_py(), pickle.loads(b["packed"][0].as_py())[0]) for b in kdtree._aimed(boxes)(iter([batch]))]
+    assert sum(len(own) for _, own in sent) < 0.4 * 32 * len(queries)
+    for i, q in enumerate(queries):  # every cell that holds one of the best is searched
+        need = set(of[np.flatnonzero(x @ q >= kth[i])].tolist())
+        assert need <= {c for c, own in sent if 20 * i in own}
+
+
 def test_vectors_that_take_no_part(spark):
     good = [(i, [float(i % 7), 1.0, -2.5]) for i in range(45)]
     other = [(100, [1.0, 2.0]), (101, [0.5, 0.5])]
