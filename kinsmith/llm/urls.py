@@ -1,7 +1,8 @@
 """URL filter: rules for hosts and paths, and logistic regression on hashed character n-grams for all other URLs.
 
 Only built-in functions touch the URLs. The regression is fitted on the driver, from the n-grams of a small labelled table
-that the same functions cut, and reaches the plan as one constant array.
+that the same functions cut, and reaches the plan as one constant array. The labelled table at hand knows what unwanted
+sites are commonly called; names it has nothing in common with are judged by their few known n-grams only.
 """
 
 from __future__ import annotations
@@ -14,19 +15,38 @@ from pyspark.sql import functions as F
 
 from kinsmith.llm.common import ascii_lower, require
 
-GRAM, BUCKETS = 3, 4096
+GRAMS, BUCKETS = (3, 4), 8192
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Site names of the labelled table, unwanted and wanted.
-UNWANTED = ("cheap-pills", "spam-farm", "free-bets", "casino-win", "adult-x", "ads-track", "pills-online", "best-casino", "win-bets", "adult-cams", "track-ads", "spam-links", "cheap-loans", "free-casino", "bets-farm", "x-adult")
-WANTED = ("city-library", "open-museum", "weather-report", "school-board", "garden-club", "tech-notes", "river-news", "math-forum", "health-council", "travel-diary", "cook-book", "sea-history", "thtimes", "tionstudies", "thererbooks", "thinkers", "ththeatre", "othersongs", "erthatlas", "thornwood")
-_HOSTS, _ENDS = ("{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com"), ("/en/1", "/de/20.html", "/fr/333/", "/es/4444", "/")
+#: Labelled rows, at most, that a model is fitted on.
+MOST_LABELS = 20_000
+#: Site names of the labelled table, written down from general knowledge of what such sites are called.
+UNWANTED = (
+    "poker-bonus", "slots-jackpot", "online-casino-bonus", "roulette-win", "sports-betting-tips", "free-spins", "lottery-winners", "bingo-cash", "diet-pills-shop", "cheap-meds", "viagra-store",
+    "weightloss-miracle", "replica-watches", "cheap-handbags", "payday-loans", "fast-cash-now", "debt-free-loans", "crypto-doubler", "forex-profits", "penny-stock-alerts", "work-from-home-cash",
+    "hot-singles", "adult-webcams", "xxx-videos", "porn-tube", "sexy-chat", "escort-girls", "nude-cams", "click-tracker", "popup-ads", "adserver-click", "banner-tracking", "spam-mailer", "buy-followers",
+    "free-gift-cards", "win-free-phone", "keygen-cracks", "warez-downloads", "free-movie-stream", "virus-alert-scan",
+)
+WANTED = (
+    "city-library", "open-museum", "weather-report", "school-board", "garden-club", "tech-notes", "river-news", "math-forum", "health-council", "travel-diary", "cook-book", "sea-history", "national-archive",
+    "daily-herald", "morning-post", "evening-times", "science-review", "physics-letters", "village-church", "county-council", "public-radio", "film-institute", "theatre-guide", "orchestra-hall",
+    "book-store", "language-school", "university-press", "student-union", "medical-journal", "animal-rescue", "bird-watchers", "mountain-hikers", "cycling-club", "football-league", "chess-federation",
+    "railway-society", "harbour-authority", "water-works", "energy-agency", "housing-trust", "software-foundation", "kernel-docs", "python-tutorial", "database-manual", "map-atlas", "star-gazers",
+    "wine-growers", "farm-market", "bakery-recipes", "knitting-patterns", "history-society", "poetry-magazine", "photo-gallery", "law-review", "tax-office", "fire-department", "town-hall", "post-office",
+    "art-academy", "music-lessons", "the-thinkers", "other-voices", "north-station", "earth-observer",
+)
+_HOSTS = ("{}.com", "www.{}.org", "blog.{}.net", "m.{}.info", "{}.co.uk", "shop.{}.de")
+_ENDS = ("/", "/en/1", "/index.html", "/about/2020/05", "/news/4444.html", "/p?id=7", "/fr/33/")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, unwanted): every site name under every host pattern, with the ends in turn. A few hundred rows."""
-    rows = [(f"https://{host.format(name)}{_ENDS[(i + j) % len(_ENDS)]}", bad) for bad, names in ((1, UNWANTED), (0, WANTED)) for i, name in enumerate(names) for j, host in enumerate(_HOSTS)]
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(u).alias("url"), F.lit(bad).alias("unwanted")) for u, bad in rows))))
+    """(url, unwanted): every site name under every host pattern, with the ends in turn, joined by hyphens or in one. A few hundred rows."""
+    rows = [
+        f"{bad} https://{host.format(name if (i + j) % 2 else name.replace('-', ''))}{_ENDS[(i + j) % len(_ENDS)]}"
+        for bad, names in ((1, UNWANTED), (0, WANTED)) for i, name in enumerate(names) for j, host in enumerate(_HOSTS)
+    ]
+    row = F.explode(F.split(F.lit("\n".join(rows)), "\n")).alias("row")
+    return spark.range(1).select(row).select(F.substring("row", 3, 1000).alias("url"), F.substring("row", 1, 1).cast("int").alias("unwanted"))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -39,13 +59,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def gram_buckets(host: Column, path: Column) -> Column:
     """Buckets of the n-grams of host and path, digits alike; none if both are empty."""
 
-    def grams(mark: str, c: Column) -> Column:
+    def grams(mark: str, size: int, c: Column) -> Column:
         text = F.concat(F.lit("^"), F.translate(ascii_lower(c), "123456789", "000000000"), F.lit("$"))
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(GRAM - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(text, i, F.lit(GRAM))), F.lit(BUCKETS)).cast("int"))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(f"{mark}{size}"), F.substring(text, i, F.lit(size))), F.lit(BUCKETS)).cast("int"))
 
     empty = F.array().cast("array<int>")
-    return F.concat(F.when(host != "", grams("h", host)).otherwise(empty), F.when(path != "", grams("p", path)).otherwise(empty))
+    return F.concat(*(F.when(c != "", grams(mark, size, c)).otherwise(empty) for mark, c in (("h", host), ("p", path)) for size in GRAMS))
 
 
 class UrlModel:
@@ -56,9 +76,10 @@ class UrlModel:
 
     @classmethod
     def fit(cls, labelled: DataFrame, steps: int = 400, rate: float = 1.0, ridge: float = 1e-3) -> UrlModel:
-        """From (url, unwanted) by gradient descent. The table goes to the driver, so it has to be small."""
+        """From (url, unwanted) by gradient descent, on the driver: of the MOST_LABELS rows of least hash. Rows with nulls are left out."""
         host, path = host_and_path(F.col("url"))
-        rows = labelled.where("url is not null and unwanted is not null").select(gram_buckets(host, path).alias("g"), F.col("unwanted").cast("double").alias("y")).collect()
+        some = labelled.where("url is not null and unwanted is not null").orderBy(F.xxhash64("url"), "url", "unwanted").limit(MOST_LABELS)
+        rows = some.select(gram_buckets(host, path).alias("g"), F.col("unwanted").cast("double").alias("y")).collect()
         x = np.zeros((len(rows), BUCKETS))
         for i, r in enumerate(rows):
             np.add.at(x[i], r["g"], 1 / np.sqrt(max(1, len(r["g"]))))
@@ -93,7 +114,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """pages(page_id, url) -> (page_id, host, path, rule, verdict, log_odds), a row for each row.
 
     A null url, or one without "://", has an empty host and path and is allowed. Null page_id and repeated rows stay as
-    they are; other columns are ignored; an empty table gives no rows. Without labelled rows every score is 0, which allows.
+    they are; urls of any length are taken whole; other columns are ignored; an empty table gives no rows. Without labelled
+    rows every score is 0, which allows.
     """
     require(pages, "page_id", "url")
     model = UrlModel.fit(labelled if labelled is not None else labelled_urls(pages.sparkSession))

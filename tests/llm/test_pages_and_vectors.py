@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from kinsmith.llm import kdtree, urls, warc
 
@@ -190,6 +191,51 @@ def test_held_out_names_are_told_apart(spark):
     assert right >= 0.7 * len(names)
 
 
+#: Names from elsewhere, of which the labelled table has none.
+OTHERS = (
+    "casino-royal blackjack-online hot-girls-chat pharmacy-discount loans-today betting-odds ad-click jackpot-city nude-videos cheap-viagra cash-lottery spam-sender porn-stars free-crypto watch-replicas tracking-banner".split(),
+    "garden-museum national-gallery evening-post bird-society mountain-school physics-forum river-trust town-library film-review bakery-news history-magazine language-institute farm-council chess-lessons public-archive star-atlas gardeners-guide northern-lights cathedral-choir village-green".split(),
+)
+
+
+def test_names_from_elsewhere_are_told_apart(spark):
+    assert not {*OTHERS[0], *OTHERS[1]} & {*urls.UNWANTED, *urls.WANTED}
+    rows = [(bad, f"https://www.{name}.com/page/3") for bad, names in ((1, OTHERS[0]), (0, OTHERS[1])) for name in names]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sum((r["verdict"] == "block") == bool(r["page_id"]) for r in got) >= 0.9 * len(rows)
+
+
+def test_scores_and_weights_against_plain_loops(spark):
+    labelled = [(r["url"], r["unwanted"]) for r in urls.labelled_urls(spark).collect()]
+    assert len(labelled) == 6 * (len(urls.UNWANTED) + len(urls.WANTED)) and ("https://poker-bonus.net/x", 1) not in labelled
+
+    def buckets(url):
+        out = []
+        for mark, part in zip("hp", cut(url), strict=True):
+            if part:
+                text = "^" + "".join("0" if c in "123456789" else c.lower() if "A" <= c <= "Z" else c for c in part) + "$"
+                for n in (3, 4):
+                    seed = xxhash.xxh64_intdigest(f"{mark}{n}".encode(), 42)
+                    out += [xxhash.xxh64_intdigest(text[i : i + n].encode(), seed) % 8192 for i in range(max(1, len(text) - n + 1))]
+        return out
+
+    x = np.zeros((len(labelled), 8192))
+    for i, (url, _) in enumerate(labelled):
+        for b in (bs := buckets(url)):
+            x[i, b] += 1 / np.sqrt(len(bs))
+    y, w, c = np.array([bad for _, bad in labelled], float), np.zeros(8192), 0.0
+    for _ in range(400):
+        miss = 1 / (1 + np.exp(-(x @ w + c))) - y
+        w, c = w - (x.T @ miss / len(y) * 10 + 1e-3 * w), c - miss.mean()
+    df = spark.createDataFrame(list(enumerate(u for u in URLS)), "page_id long, url string")
+    for r in urls.filter_urls(df).collect():
+        bs = buckets(URLS[r["page_id"]])
+        want = c + sum(w[b] for b in bs) / np.sqrt(len(bs)) if bs else 0.0
+        assert abs(r["log_odds"] - want) < 1e-9
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if want > 0 else "allow")
+
+
 def test_no_labels_allow_all_and_the_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "http://x.example.org/en/1")], "page_id long, url string")
     none = spark.createDataFrame([], "url string, unwanted int")
