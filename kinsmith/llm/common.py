@@ -24,31 +24,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set, as in local tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; without it, where Spark runs on one machine
+    a folder of our own, as in tests, and else the warehouse."""
     for get in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if found := get():
             return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     own = tempfile.mkdtemp(prefix="kinsmith-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
+#: Paths of the tables that materialize() has written and that are still there.
+_TABLES: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again. A lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinsmith/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _TABLES.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "stored_at", None)) in _TABLES:
+            _delete(df.sparkSession, [path])
+
+
+def tables_written() -> list[str]:
+    """Paths of all materialized tables that are still there."""
+    return list(_TABLES)
+
+
+def discard_since(before: list[str], keep: DataFrame) -> None:
+    """Delete all materialized tables but those that were there before, and `keep`, which has to be one itself."""
+    _delete(keep.sparkSession, [p for p in _TABLES if p not in before and p != keep.stored_at])
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bound what Arrow holds at once for each task: texts can be long, and a batch is held on both sides of the pipe."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    """Bound what Arrow holds at once for each task: texts can be long, and a batch is held on both sides of the pipe.
+
+    Both are settings of the session, and plans read them when they run, so they stay; smaller values are left alone.
+    """
+    conf = df.sparkSession.conf
+    for name, most, now in (("maxRecordsPerBatch", 1000, "10000"), ("maxBytesPerBatch", 4 << 20, "64MB")):
+        if not 0 < _bytes(conf.get(f"spark.sql.execution.arrow.{name}", now)) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df
 
 
+def _bytes(setting: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    number = setting.strip().lower().removesuffix("b")
+    return int(number) if number.lstrip("-").isdigit() else int(number[:-1]) * units[number[-1]]
+
+
 def require(df: DataFrame, *columns: str) -> None:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsmith.llm.common import materialize
+from kinsmith.llm.common import discard, materialize
 
 
 def _state(df: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         large = materialize(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
-        e = materialize(small, "small")
+        old, e = e, materialize(small, "small")
+        discard(old, large)
         after = _state(e)
         if after == before:
             break
@@ -40,4 +41,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out.stored_at = e.stored_at  # what the result reads, for discard()
+    return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsmith.llm.common import WordHashes, column_slices, materialize, mix, require, shingle_hashes, small_batches, words_of
+from kinsmith.llm.common import WordHashes, column_slices, discard, materialize, mix, require, shingle_hashes, small_batches, words_of
 from kinsmith.llm.graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 50, 5
@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first; buckets that still hold more than one component are compared in blocks, without limit on their size.
 
     Rows without words, or with a null text: n_shingles 0, linked with nothing. Null doc_id: component_id null and kept
-    true, linked with nothing. Rows that share a doc_id are one node. Empty tables give no rows; other columns are ignored.
+    true, linked with nothing. Rows that share a doc_id are one node. Texts of any length are taken whole. Empty tables give
+    no rows; other columns are ignored.
     """
     require(docs, "doc_id", "text")
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -176,14 +177,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     needed = members.select("rep").distinct()
     # most documents are in no bucket: a broadcast of at most HASH_BUCKETS numbers drops nearly all of them before the shuffle
     some = needed.select(_hashed("rep").alias("bucket")).distinct()
-    near = docs.where("doc_id is not null").join(F.broadcast(some), _hashed("doc_id") == F.col("bucket"), "left_semi")
+    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")  # rows that share a doc_id may have none
+    near = docs.where(F.col("doc_id").isNotNull() & has_words).join(F.broadcast(some), _hashed("doc_id") == F.col("bucket"), "left_semi")
     texts = materialize(near.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep", "text"]), "texts")
 
     stars = members.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("rep").agg(F.max(F.struct("c", (-F.col("lead")).alias("neg"))).alias("best"))
     first = materialize(stars.select(F.col("rep").alias("a"), (-F.col("best.neg")).alias("b")), "stars")
     pairs = first.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     links = materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "links")
-    found = materialize(connected_components(links), "components")
+    by_stars = connected_components(links)
+    found = materialize(by_stars, "components")
+    discard(by_stars)
 
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "lead", "rep", F.coalesce("component", "rep").alias("component"))
     placed = placed.join(texts.select("rep", F.length("text").cast("long").alias("chars")).groupBy("rep").agg(F.max("chars").alias("chars")), "rep")
@@ -196,6 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("key", "rep", "component", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
     more = blocks.join(texts, "rep").groupBy("key", "ci", "cj").applyInPandas(_block_links, "a long, b long")
     components = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    discard(members, texts, first, links, found)
     named = reps.join(components, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")

@@ -41,7 +41,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     Of records with equal payloads of at least min_bytes bytes that with the largest page_id is a response, and the others
     are revisits that name it. A null html is an empty payload; a null url has an empty target; rows that repeat a page_id
     with the same payload are all responses if that page is; a null page_id is less than any other, is written as an empty
-    number, and a group of such rows only is all responses. An empty table gives an empty archive. Other columns are ignored.
+    number, and a group of such rows only is all responses. Line ends in a url are percent-encoded, as a header can't hold
+    them. Pages of any length are taken whole. An empty table gives an empty archive. Other columns are ignored.
     """
     require(pages, "page_id", "url", "html")
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), _utf8(F.coalesce("html", F.lit(""))).alias("payload"))
@@ -58,7 +59,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), identity),
         F.lit(f"WARC-Date: {DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\r\n]", "")),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), refers_to.cast("string"), F.lit(">"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -80,10 +81,15 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     once.unionByName(shared.dropDuplicates(["key", "sha256"]).select("sha256", "payload")).write.parquet(f"{path}/payloads")
 
 
-def _field(name: str) -> Column:
-    """A header's value, or null."""
-    value = F.regexp_extract(F.decode("header", "UTF-8"), rf"(?:^|\r\n){name}: ([^\r]*)\r\n", 1)
-    return F.when(F.decode("header", "UTF-8").contains(f"\r\n{name}: "), value)
+def _field(header: Column, name: str) -> Column:
+    """The value of a header in the given text of headers, or null."""
+    return F.when(header.contains(f"\r\n{name}: "), F.regexp_extract(header, rf"(?:^|\r\n){name}: ([^\r]*)\r\n", 1))
+
+
+def _page(header: Column, name: str) -> Column:
+    """The page that an identity names, or null."""
+    number = F.regexp_extract(_field(header, name), "<urn:page:(-?[0-9]*)>", 1)
+    return F.when(number != "", number).cast("long")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -96,15 +102,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     kept = payloads.select("sha256", "payload", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
     kept = kept.withColumn("payload", F.when(F.unhex(F.sha2("payload", 256)) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("binary")))
     both = records.join(kept, "sha256", "left")
-    digest = F.when(_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1")), F.col("sha1")).otherwise(F.raise_error(F.lit("a record's payload is missing or differs from its digest")).cast("string"))
-    number = lambda name: F.regexp_extract(_field(name), "<urn:page:(-?[0-9]*)>", 1)
-    as_long = lambda c: F.when(c != "", c).cast("long")
-    block = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    header = F.decode("header", "UTF-8")
+    digest = F.when(_field(header, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1")), F.col("sha1")).otherwise(F.raise_error(F.lit("a record's payload is missing or differs from its digest")).cast("string"))
+    block = F.when(_field(header, "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return both.select(
-        as_long(number("WARC-Record-ID")).alias("page_id"),
-        _field("WARC-Target-URI").alias("url"),
-        _field("WARC-Type").alias("record_type"),
-        as_long(number("WARC-Refers-To")).alias("refers_to"),
+        _page(header, "WARC-Record-ID").alias("page_id"),
+        _field(header, "WARC-Target-URI").alias("url"),
+        _field(header, "WARC-Type").alias("record_type"),
+        _page(header, "WARC-Refers-To").alias("refers_to"),
         digest.alias("payload_digest"),
         "payload_bytes",
         "payload",
@@ -113,13 +118,28 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write pages to an archive, by default in the shared folder, read it, and return what the records say of each page."""
+    """Write pages to an archive, by default in the shared folder, read it, and return what the records' bytes say of each page.
+
+    Each rebuilt record is cut into headers and block as a reader of WARC files does; a record that isn't as long as it says
+    is an error. A revisit's payload is that of its response. A row for each page, as write_archive() defines them.
+    """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/kinsmith/warc-{uuid.uuid4().hex}"
     write_archive(pages, path)
-    whole = read_archive(spark, path)
-    digest = F.when(F.length("record") >= F.length("payload") * (F.col("record_type") == "response").cast("int"), base32_sha1(F.col("payload"))).otherwise(F.raise_error(F.lit("a record is cut off")).cast("string"))
-    return whole.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    # a character for each byte, so that places in the text are places in the record
+    end = F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n")
+    cut = read_archive(spark, path).select("record", "payload", end.alias("end"), F.decode(F.substring("record", F.lit(1), end + F.lit(1)), "UTF-8").alias("header"))
+    header, size = F.col("header"), _field(F.col("header"), "Content-Length").cast("int")
+    whole = (F.col("end") > 0) & (F.length("record") == F.col("end") + size + 7) & header.startswith("WARC/")
+    block = F.when(whole, F.substring("record", F.col("end") + 4, size)).otherwise(F.raise_error(F.lit("a record is cut off")).cast("binary"))
+    read = cut.select("header", F.when(_field(header, "WARC-Type") == "revisit", F.when(F.length(block) == 0, F.col("payload"))).otherwise(block).alias("body"))
+    return read.select(
+        _page(header, "WARC-Record-ID").alias("page_id"),
+        F.length("body").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("body")).alias("payload_digest"),
+        _field(header, "WARC-Type").alias("record_type"),
+        _page(header, "WARC-Refers-To").alias("refers_to"),
+    )
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
-from kinsmith.llm import minhash
+from kinsmith.llm import common, minhash
 from kinsmith.llm.common import WordHashes, words_of
 from kinsmith.llm.graph import connected_components
 
@@ -111,3 +111,20 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 200)] + [(5, 5), (None, 1)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 10 for i in range(10, 61)}, **{i: 100 for i in range(100, 200)}}
+
+
+def test_repeated_ids_with_and_without_text(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = text.replace("w59", "x")
+    rows = [(1, text), (1, None), (1, ""), (2, other), (3, other + " y"), (2, " "), (4, None), (4, "a b")]
+    got = [tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows) and {(d, c) for d, _, c, _ in got} >= {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted(n for d, n, _, _ in got if d == 1) == [0, 0, 56]
+
+
+def test_tables_of_intermediate_results_go(spark):
+    before = common.tables_written()
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7, i % 7 + 40))) for i in range(60)]
+    minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in common.tables_written() if p not in before]
+    assert sorted(left) == ["reps", "signatures", "small"]

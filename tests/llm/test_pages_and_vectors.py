@@ -47,6 +47,14 @@ def test_archive_stores_payloads_once_and_records_parse(spark, tmp_path):
         assert headers["warc-record-id"] == f"<urn:page:{r['page_id']}>" and headers["warc-target-uri"] == r["url"]
 
 
+def test_line_ends_in_urls_and_headers_in_bodies(spark, tmp_path):
+    rows = [(1, "http://a/\r\nWARC-Type: x", "é\r\n\r\nContent-Length: 3\r\n\r\n"), (2, "http://b/ü", "\r\n\r\n"), (3, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert rows_of(warc.archive_round_trip(df)) == sorted(((i, "response", None, len((h or "").encode()), digest(h or "")) for i, _, h in rows), key=str)
+    warc.write_archive(df, str(tmp_path / "a"))
+    assert {r["url"] for r in warc.read_archive(spark, str(tmp_path / "a")).collect()} == {"http://a/%0D%0AWARC-Type: x", "http://b/ü", ""}
+
+
 def test_a_damaged_payload_is_an_error(spark, tmp_path):
     path = str(tmp_path / "a")
     warc.write_archive(spark.createDataFrame([(1, "u", "good")], "page_id long, url string, html string"), path)
