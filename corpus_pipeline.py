@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinsmith.llm.bpe import round_trip
-from kinsmith.llm.common import materialize, table
+from kinsmith.llm.common import discard, discard_since, materialize, table, tables_written
 from kinsmith.llm.decontam import decontaminate
 from kinsmith.llm.importance import keep_good
 from kinsmith.llm.minhash import keep_one
@@ -46,5 +46,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, last = tables_written(), docs
+        docs = materialize(stage(spark, last, sf_dir), name)
+        discard_since(before, docs)  # what the stage needed on its way
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
