@@ -239,8 +239,12 @@ def format_transcripts(segments: DataFrame, hmm: Hmm) -> DataFrame:
     # as text, the ids pass through pandas unharmed beside nulls
     fields = "conv_id string, seq long, role string, n_lines long, n_turns long, rendered string"
     named = lambda df: df.withColumn("conv_id", F.col("conv_id").cast("long"))
+    long = materialize(long.select(F.col("conv_id").alias("c")), "long")  # at most one for each SEGMENTS rows
+    of_long = F.col("conv_id").eqNullSafe(F.col("c"))
+    short = _streamed(rows.join(long, of_long, "left_anti"), ["conv_id"], ["seq", "text"], decode, fields)
     if long.limit(1).count() == 0:
-        return named(_streamed(rows, ["conv_id"], ["seq", "text"], decode, fields))
+        return named(short)
+    rows = rows.join(long, of_long, "left_semi")
     # rows get their place within the transcript, so that pieces have SEGMENTS rows whatever seq says
     # equal rows differ by a number, so that any number of them spread over tasks
     placed = with_rank(rows.withColumn("tie", F.monotonically_increasing_id()), "place", ["seq", "text", "tie"], ["conv_id"]).withColumn("at", F.floor(F.col("place") / SEGMENTS).cast("long"))
@@ -251,7 +255,7 @@ def format_transcripts(segments: DataFrame, hmm: Hmm) -> DataFrame:
     parts = _streamed(placed, ["conv_id", "at"], ["place"], lambda g: [(g[0].conv_id, g[0].at, product([matrices[s] for seg in observed(g) for s, _ in seg]).ravel().tolist())], "conv_id string, at long, m array<double>")
     known = _ends(materialize(parts, "pieces")).select(F.col("conv_id").alias("c"), F.col("at").alias("a"), "enter", "leave")
     joined = placed.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("a"))).drop("c", "a")
-    return named(_streamed(joined, ["conv_id", "at"], ["place"], decode, fields))
+    return named(short.unionByName(_streamed(joined, ["conv_id", "at"], ["place"], decode, fields)))
 
 
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
