@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinsmith.operators.sampling import exact_sample, order_key
+from kinsmith.sources.tables import with_rank
+
 DIMS, GRAM = 256, 3
-#: Entities of a slice in which the next one is sought.
-SLICE = 10_000
 
 
 def with_grams(df: DataFrame, text: str, out: str = "_grams") -> DataFrame:
@@ -35,6 +39,16 @@ def weighted_embed(df: DataFrame, corpus: DataFrame, text: str, out: str = "embe
     return unit.drop("_grams", "_tf", "_w").withColumn(out, vector_to_array(out, "float32"))
 
 
+def _next_in_group(s1: DataFrame, groups: list[str], name: str, seed: int) -> DataFrame:
+    """(s1_idx, name): the next entity of the group in order of a hash, the first one for the last; groups can be of any size."""
+    ranked = with_rank(s1.select("s1_idx", *groups).withColumn("_h", order_key(["s1_idx"], seed)), "_rank", ["_h", "s1_idx"], groups)
+    same = lambda: reduce(and_, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups))
+    renamed = [F.col(g).alias(f"_{g}") for g in groups]
+    sizes = s1.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).select(*renamed, "_n")
+    wanted = ranked.join(sizes, same()).select("s1_idx", *groups, ((F.col("_rank") + 1) % F.col("_n")).alias("_wanted"))
+    return wanted.join(ranked.select(*renamed, "_rank", F.col("s1_idx").alias(name)), same() & (F.col("_wanted") == F.col("_rank"))).select("s1_idx", name)
+
+
 def triplets(truth: DataFrame, s1: DataFrame, n: int, seed: int, partition: str = "country") -> DataFrame:
     """(rec_idx, s1_idx, neg_idx, twin): linked pairs and, for each, another entity of the same partition: one of the same
     name if there is any (twin), else any other; null if there is none.
@@ -42,17 +56,8 @@ def triplets(truth: DataFrame, s1: DataFrame, n: int, seed: int, partition: str
     Groups are walked in order of a hash and never gathered: the negative is the next entity of the group, and the last
     one's is the first.
     """
-    chosen = truth.orderBy(F.xxhash64("rec_idx", "s1_idx", F.lit(seed)), "rec_idx", "s1_idx").limit(n)
-    h = F.xxhash64("s1_idx", F.lit(seed))
-    group = Window.partitionBy(partition, "name_core").orderBy(h, "s1_idx")
-    # a partition can hold most entities, so it is walked in slices of bounded size
-    slices = max(1, s1.count() // SLICE)
-    whole = Window.partitionBy(partition, F.pmod(F.xxhash64("s1_idx"), F.lit(slices))).orderBy(h, "s1_idx")
-
-    def after(w: WindowSpec) -> Column:
-        return F.coalesce(F.lead("s1_idx").over(w), F.first("s1_idx").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-
-    near = s1.select("s1_idx", partition, "name_core", after(group).alias("near"), after(whole).alias("any"))
+    chosen = exact_sample(truth.select("rec_idx", "s1_idx"), n, ["rec_idx", "s1_idx"], seed)
+    near, other = _next_in_group(s1, [partition, "name_core"], "near", seed), _next_in_group(s1, [partition], "other", seed)
     twin = F.col("near") != F.col("s1_idx")
-    neg = F.when(twin, F.col("near")).when(F.col("any") != F.col("s1_idx"), F.col("any"))
-    return chosen.select("rec_idx", "s1_idx").join(near.select("s1_idx", neg.alias("neg_idx"), twin.alias("twin")), "s1_idx").select("rec_idx", "s1_idx", "neg_idx", "twin")
+    neg = F.when(twin, F.col("near")).when(F.col("other") != F.col("s1_idx"), F.col("other"))
+    return chosen.join(near.join(other, "s1_idx"), "s1_idx").select("rec_idx", "s1_idx", neg.alias("neg_idx"), twin.alias("twin"))

@@ -13,7 +13,9 @@ MOST_MATCHES = 6
 
 
 def order_key(keys: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(*keys, F.lit(seed))
+    """60 bits of the MD5 of the keys and the seed as text, with colons between: other engines can compute it too."""
+    text = F.concat_ws(":", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def exact_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int) -> DataFrame:

@@ -232,11 +232,11 @@ def _(t):
     return blocking.add_lexical(blocking.dense_candidates(s, r, 3, 5), lex, s, r).withColumn("cos", F.round("cos", 5))
 
 
-@query("fea1_name_frequencies", """with a as (select c_custkey s1_idx, c_nationkey country, c_mktsegment name_core from customer where c_custkey % 2 = 0), b as (select c_custkey rec_idx, c_nationkey country, c_mktsegment name_core from customer where c_custkey % 2 = 1 and c_custkey % 3 > 0)
+@query("fea1_name_frequencies", """with a as (select c_custkey s1_idx, c_nationkey country, c_mktsegment name_core from customer where c_custkey % 2 = 0), b as (select c_custkey rec_idx, c_nationkey country, c_mktsegment name_core from customer where c_custkey % 2 = 1)
  select s1_idx, count(*) over (partition by country, name_core) s1_name_freq, coalesce(n, 0) n_rec_same from a left join (select country, name_core, count(*) n from b group by 1, 2) using (country, name_core)""")
 def _(t):
     side = lambda w, key: t.customer.where(w).select(F.col("c_custkey").alias(key), F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("name_core"))
-    return features.name_frequencies(side("c_custkey % 2 = 0", "s1_idx"), side("c_custkey % 2 = 1 and c_custkey % 3 > 0", "rec_idx"), "s1_idx", "s1_name_freq", "n_rec_same")
+    return features.name_frequencies(side("c_custkey % 2 = 0", "s1_idx"), side("c_custkey % 2 = 1", "rec_idx"), "s1_idx", "s1_name_freq", "n_rec_same")
 
 
 # ---- folds and samples
@@ -254,7 +254,12 @@ def _(t):
     return sampling.with_stratified_bucket(o, "bucket", "o_orderpriority", ["o_orderkey"], 4, [(F.col("o_orderkey") * 7919) % 104729]).drop("o_orderpriority")
 
 
-@query("smp1_exact_sample")
+def _key(keys: str, seed: int) -> str:
+    """The order in which samples are drawn, in SQL."""
+    return f"(('0x' || substr(md5({keys} || ':{seed}'), 1, 15))::bigint)"
+
+
+@query("smp1_exact_sample", f"{_W} select s1_idx, rec_idx from truth order by {_key('rec_idx', 42)}, rec_idx limit 200")
 def _(t):
     return sampling.exact_sample(t.truth(), 200, ["rec_idx"], 42)
 
@@ -264,18 +269,27 @@ def _(t):
     return sampling.exact_sample(t.truth(), 200, ["rec_idx"], 42).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rec_idx").alias("ids"))
 
 
-@query("smp2_key_sample")
+@query("smp2_key_sample", f"{_W} select s1_idx, rec_idx from cand where {_key('s1_idx', 42)} % 1000000 < 350000")
 def _(t):
     return sampling.key_sample(t.candidates(), 0.35, "s1_idx", 42).select("s1_idx", "rec_idx")
 
 
-@query("smp3_dev_subset")
+@query(
+    "smp3_dev_subset",
+    f"""{_W}{_STRATA}, dev as (select s1_idx from st qualify (row_number() over (partition by stratum order by {_key("s1_idx", 43)}, s1_idx) - 1) % 10 = 0),
+ free as (select o_orderkey rec_idx, row_number() over (order by {_key("o_orderkey", 44)}, o_orderkey) r, count(*) over () n from orders where o_orderkey not in (select rec_idx from truth))
+ select 's1' side, s1_idx idx from dev union all select * from (select 'rec' side, rec_idx idx from truth where s1_idx in (select s1_idx from dev) union select 'rec', rec_idx from free where r <= round_even(n * 0.1, 0))""",
+)
 def _(t):
     s, r = sampling.dev_subset(t.s1(), t.orders.select(F.col("o_orderkey").alias("rec_idx")), t.truth(), 0.1, 0.1)
     return s.select(F.lit("s1").alias("side"), F.col("s1_idx").alias("idx")).unionByName(r.select(F.lit("rec").alias("side"), F.col("rec_idx").alias("idx")))
 
 
-@query("smp4_hidden_entities")
+@query(
+    "smp4_hidden_entities",
+    f"""{_W}{_CTX.replace("from cand)", "from cand where " + _key("s1_idx", 49) + " % 1000000 >= 190000)")} select s1_idx, rec_idx, r_n, round(r_cos_max, 6) r_cos_max, r_nm_max, r_ad_max, s_n, round(s_cos_max, 6) s_cos_max,
+ r_cos_rank, s_cos_rank, round(r_cos_max - cos, 6) r_cos_gap, r_nm_max - nm_tset r_nm_gap, r_ad_max - ad_tset r_ad_gap, round(s_cos_max - cos, 6) s_cos_gap from w""",
+)
 def _(t):
     ctx = features.context_features(t.candidates().withColumnRenamed("p", "cos"))
     return sampling.hide_entities(ctx, 0.19, features.context_features, features.CONTEXT).select("s1_idx", "rec_idx", *features.CONTEXT)

@@ -288,7 +288,16 @@ def _(t):
     return normalize.texts_for_embedding(normalize.normalize(_raw_names(t), "doc_id"), "doc_id").withColumnRenamed("text", "txt")
 
 
-@query("enc2_triplets")
+_AFTER = "coalesce(lead(s1_idx) over w{0}, first_value(s1_idx) over w{0})"
+
+
+@query(
+    "enc2_triplets",
+    f"""with {ROLES}, h as (select c_custkey s1_idx, c_nationkey country, c_mktsegment name_core, (('0x' || substr(md5(c_custkey || ':42'), 1, 15))::bigint) k from customer),
+ n as (select s1_idx, {_AFTER.format(1)} near, {_AFTER.format(2)} other from h window w1 as (partition by country, name_core order by k, s1_idx), w2 as (partition by country order by k, s1_idx)),
+ chosen as (select * from truth order by (('0x' || substr(md5(rec_idx || ':' || s1_idx || ':42'), 1, 15))::bigint), rec_idx, s1_idx limit 1000)
+ select rec_idx, s1_idx, case when near <> s1_idx then near when other <> s1_idx then other end neg_idx, near <> s1_idx twin from chosen join n using (s1_idx)""",
+)
 def _(t):
     s = t.customer.select(F.col("c_custkey").alias("s1_idx"), F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("name_core"))
     return encode.triplets(t.truth(), s, 1000, 42)

@@ -29,12 +29,15 @@ def read_tsv(spark: SparkSession, path: str, columns: Sequence[str], empty_for_m
     return df.na.fill("") if empty_for_missing else df
 
 
-def write_tsv(df: DataFrame, path: str, order: str | None = None) -> None:
-    """Unquoted TSV in one file, the report format; rows in order of one column if given."""
-    one = df.repartition(1)
+def write_tsv(df: DataFrame, path: str, order: str | None = None, one_file: bool = False) -> None:
+    """Unquoted TSV, the report format, in part files; rows in order of one column if given, from file to file.
+
+    One file, which takes one task, only on request.
+    """
+    rows = df.repartition(1) if one_file else df.repartitionByRange(order) if order else df
     if order:
-        one = one.sortWithinPartitions(order)
-    one.write.mode("overwrite").option("sep", "\t").option("quote", "").option("emptyValue", "").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        rows = rows.sortWithinPartitions(order)
+    rows.write.mode("overwrite").option("sep", "\t").option("quote", "").option("emptyValue", "").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def check_entities(df: DataFrame, prefix: str, expected_rows: int | None = None) -> DataFrame:
@@ -65,10 +68,13 @@ def count_rows(spark: SparkSession, path: str) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this library that the driver and all executors share; a temporary one only where none is set."""
+    """A folder of this library that the driver and all executors share: in spark.checkpoint.dir; without it, where Spark
+    runs on one machine a temporary one, and else in the warehouse."""
     for get in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if found := get():
             return f"{found.rstrip('/')}/kinsmith"
+    if not spark.sparkContext.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kinsmith"
     own = tempfile.mkdtemp(prefix="kinsmith-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
