@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,48 +13,58 @@ from kinsmith.functions.arrays import dot, first, longest
 
 #: Rank of a candidate that a side's list doesn't have.
 NOT_RANKED = 255
-#: Rows of a block on either side; up to this many pairs of rows altogether, plain expressions compare them.
-QUERY_BLOCK, BASE_BLOCK, MOST_PLAIN = 4096, 32_768, 4_000_000
+#: Rows of a block on either side; blocks of queries that share one copy of a base block; up to this many pairs of rows
+#: altogether, plain expressions compare them.
+QUERY_BLOCK, BASE_BLOCK, COPY_BLOCKS, MOST_PLAIN = 4096, 32_768, 32, 4_000_000
 
 
-def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: str, partition: str = "country") -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: str, partition: str = "country", most_plain: int | None = None) -> DataFrame:
     """(q, b, cos, rank): the k largest inner products of each query with the base's rows of its partition.
 
     queries(q, partition, embedding), base(b, partition, embedding). Ranks count from 0, ties (to 9 places) go to the least b. A few
     million pairs are compared by expressions in a plain equal join. Beyond that both sides are cut into blocks of
-    bounded size, which meet by an equal join on partition and block; each pair of blocks is one matrix product that
-    keeps k rows a query, so memory and what is shuffled stay bounded however large a partition is.
+    bounded size. A base block goes to a task once for each COPY_BLOCKS blocks of queries, which stream past it, a matrix
+    product each that keeps k rows a query. So a task holds two blocks, and what is shuffled are the base, and the queries
+    once for each base block of their partition.
     """
+    most_plain = MOST_PLAIN if most_plain is None else most_plain
     n = queries.groupBy(partition).count().withColumnRenamed("count", "nq").join(base.groupBy(partition).count().withColumnRenamed("count", "nb"), partition)
-    sizes = n.agg(F.sum(F.col("nq") * F.col("nb")), F.max("nq"), F.max("nb")).first()
     x, y = queries.select(q, partition, F.col("embedding").alias("x")), base.select(b, partition, F.col("embedding").alias("y"))
-    if (sizes[0] or 0) <= MOST_PLAIN:
+    if (n.agg(F.sum(F.col("nq") * F.col("nb"))).first()[0] or 0) <= most_plain:
         scored = x.join(y, partition).select(q, b, dot(F.col("x"), F.col("y")).alias("cos"))
     else:
-        scored = _by_blocks(x, y, q, b, k, partition, math.ceil(sizes[1] / QUERY_BLOCK), math.ceil(sizes[2] / BASE_BLOCK))
+        scored = _by_blocks(x, y, q, b, k, partition, n)
     order = Window.partitionBy(q).orderBy(F.desc("cos"), b)
     scored = scored.withColumn("cos", F.round("cos", 9))  # so that equal vectors tie however their products were summed
     return scored.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < k)
 
 
-def _by_blocks(x: DataFrame, y: DataFrame, q: str, b: str, k: int, partition: str, nq: int, nb: int) -> DataFrame:
-    def pack(df: DataFrame, key: str, vector: str, name: str, n: int) -> DataFrame:
+def _by_blocks(x: DataFrame, y: DataFrame, q: str, b: str, k: int, partition: str, sizes: DataFrame) -> DataFrame:
+    kind = x.schema[partition].dataType.simpleString()
+    # every partition is cut by its own size
+    blocks = sizes.select(partition, F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("nq"), F.ceil(F.col("nb") / BASE_BLOCK).cast("int").alias("nb"))
+    fields = f"{partition} {kind}, block int, nq int, nb int, ids binary, m binary"
+
+    def pack(df: DataFrame, key: str, vector: str, n: str) -> DataFrame:
         def one(group: pd.DataFrame) -> pd.DataFrame:
             ids, m = group[key].to_numpy(np.int64), np.stack(group[vector].to_numpy()).astype(np.float64)
-            return pd.DataFrame({partition: [group[partition].iloc[0]], name: [int(group[name].iloc[0])], f"{name}_ids": [ids.tobytes()], f"{name}_m": [m.tobytes()]})
+            return group[[partition, "block", "nq", "nb"]].head(1).assign(ids=ids.tobytes(), m=m.tobytes())
 
-        kind = df.schema[partition].dataType.simpleString()
-        cut = df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-        return cut.groupBy(partition, name).applyInPandas(one, f"{partition} {kind}, {name} int, {name}_ids binary, {name}_m binary")
+        cut = df.join(blocks, partition).withColumn("block", F.pmod(F.xxhash64(key), F.col(n)).cast("int"))
+        return cut.groupBy(partition, "block").applyInPandas(one, fields)
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ib, base = np.empty(0, np.int64), np.empty((0, 0))
         for frame in frames:
             for r in frame.itertuples(index=False):
-                iq, ib = np.frombuffer(r.qb_ids, np.int64), np.frombuffer(r.bb_ids, np.int64)
-                s = np.frombuffer(r.qb_m).reshape(len(iq), -1) @ np.frombuffer(r.bb_m).reshape(len(ib), -1).T
-                s = np.round(s, 9)
+                ids = np.frombuffer(r.ids, np.int64)
+                m = np.frombuffer(r.m).reshape(len(ids), -1)
+                if r.is_base:
+                    ib, base = ids, m
+                    continue
+                s = np.round(m @ base.T, 9)
                 rows, cols = [], []
-                for i in range(len(iq)):
+                for i in range(len(ids)):
                     top = np.arange(len(ib))
                     if len(ib) > k:
                         top = np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k])
@@ -63,12 +72,14 @@ def _by_blocks(x: DataFrame, y: DataFrame, q: str, b: str, k: int, partition: st
                     rows.append(np.full(len(top), i))
                     cols.append(top)
                 i, j = np.concatenate(rows), np.concatenate(cols)
-                yield pd.DataFrame({q: iq[i], b: ib[j], "cos": s[i, j]})
-
-    # every block of queries goes to every block of the base, of which there are few, as these are large
-    spread = pack(x, q, "x", "qb", nq).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    pairs = spread.join(pack(y, b, "y", "bb", nb), [partition, "bb"])
-    return pairs.repartition(min(2000, max(8, nq * nb)), "qb", "bb").select("qb_ids", "qb_m", "bb_ids", "bb_m").mapInPandas(multiply, f"{q} long, {b} long, cos double")
+                yield pd.DataFrame({q: ids[i], b: ib[j], "cos": s[i, j]})
+
+    copies = F.ceil(F.col("nq") / COPY_BLOCKS).cast("int")
+    bases = pack(y, b, "y", "nb").select(partition, F.col("block").alias("at"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.lit(True).alias("is_base"), "ids", "m")
+    asked = pack(x, q, "x", "nq").select(partition, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("at"), F.pmod("block", copies).cast("int").alias("copy"), F.lit(False).alias("is_base"), "ids", "m")
+    keys = [partition, "at", "copy"]
+    met = bases.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, F.desc("is_base"))
+    return met.select("is_base", "ids", "m").mapInPandas(multiply, f"{q} long, {b} long, cos double")
 
 
 def dense_candidates(s1: DataFrame, rec: DataFrame, k_rec: int, k_s1: int, partition: str = "country") -> DataFrame:

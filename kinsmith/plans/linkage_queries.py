@@ -182,6 +182,13 @@ def _(t):
     return blocking.dense_candidates(s, r, 3, 5).withColumn("cos", F.round("cos", 5))
 
 
+@query("srt5_running_top_k", f"{_VEC} select rec_idx, s1_idx, round(cos, 5) cos, rank_r from dense where rank_r < 3")
+def _(t):
+    """By blocks, whatever the size."""
+    s, r = _sides(t)
+    return blocking.nearest(r, s, "rec_idx", "s1_idx", 3, "rank_r", most_plain=0).withColumn("cos", F.round("cos", 5))
+
+
 @query("jn7_full_outer_union", f"{_VEC} select count(*) n, sum((rank_r < 255)::int)::bigint n_r, sum((rank_s < 255)::int)::bigint n_s from dense")
 def _(t):
     s, r = _sides(t)

@@ -128,9 +128,41 @@ def _name_pairs(t: Tables) -> DataFrame:
     return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", "na", "nb")
 
 
+# Longest common subsequences of the pairs (x, y) of `todo`, a row of the table for each letter of x, and their ratio.
+_LCS = """dp as (select x, y, 0 i, list_transform(range(length(y) + 1), lambda j: 0::bigint) r from todo union all
+ select x, y, i + 1, list_reduce(list_prepend([0::bigint], list_transform(range(1, length(y) + 1), lambda j: [j])), lambda acc, e: list_append(acc, greatest(acc[len(acc)], r[e[1] + 1], r[e[1]] + (substr(x, i + 1, 1) = substr(y, e[1], 1))::bigint)))
+ from dp where i < length(x)),
+lcs as (select x, y, case when length(x) + length(y) = 0 then 100.0::double else 200.0::double * r[len(r)] / (length(x) + length(y)) end ratio from dp where i = length(x))"""
+_SORTED = "array_to_string(list_sort(list_filter(string_split({}, ' '), lambda w: w <> '')), ' ')"
+# Words that both names have, and those that only one has, each sorted; a set score compares what they make together.
+_SETS = """sets as (select distinct na, nb, list_filter(list_sort(list_distinct(string_split(na, ' '))), lambda w: w <> '') ta, list_filter(list_sort(list_distinct(string_split(nb, ' '))), lambda w: w <> '') tb from x),
+three as (select na, nb, ta, tb, array_to_string(list_filter(ta, lambda w: list_contains(tb, w)), ' ') shared, array_to_string(list_filter(ta, lambda w: not list_contains(tb, w)), ' ') oa, array_to_string(list_filter(tb, lambda w: not list_contains(ta, w)), ' ') ob from sets),
+made as (select *, trim(shared || ' ' || oa) ca, trim(shared || ' ' || ob) cb from three)"""
+# Every window of the longer text that is as long as the shorter, or cut off at an end; of equal lengths, of either.
+_PARTS = """sides as (select na, nb, u, v from (select na, nb, na u, nb v from {0} where length(na) <= length(nb) union all select na, nb, nb, na from {0} where length(nb) <= length(na)) where u <> '' and v <> ''),
+cut as (select distinct na, nb, u, substr(v, greatest(s, 0) + 1, s + length(u) - greatest(s, 0)) w from (select *, unnest(range(1 - length(u), length(v))) s from sides)),
+todo as (select distinct u x, w y from cut), """ + _LCS + """,
+best as (select na, nb, max(ratio) ratio from cut join lcs on u = lcs.x and w = lcs.y group by all)"""
+_SWAP = ", ".join(f"'{w}'" for w in sorted(sim.SWAP_STOP_WORDS))
+_SIM_SQL = {
+    "sim1_ratio": f"{_PAIRS.replace('with', 'with recursive', 1)}, todo as (select distinct na x, nb y from x), {_LCS} select a, b, round(ratio, 6) score from x join lcs on na = lcs.x and nb = lcs.y",
+    "sim2_token_set_ratio": f"""{_PAIRS.replace("with", "with recursive", 1)}, {_SETS}, todo as (select ca x, cb y from made union select shared, ca from made union select shared, cb from made), {_LCS}
+ select a, b, round(case when len(ta) = 0 or len(tb) = 0 then 0 when shared <> '' and (oa = '' or ob = '') then 100 else greatest(l1.ratio, case when shared <> '' then l2.ratio else 0 end, case when shared <> '' then l3.ratio else 0 end) end, 6) score
+ from x join made using (na, nb) join lcs l1 on l1.x = ca and l1.y = cb join lcs l2 on l2.x = shared and l2.y = ca join lcs l3 on l3.x = shared and l3.y = cb""",
+    "sim3_token_sort_ratio": f"{_PAIRS.replace('with', 'with recursive', 1)}, n as (select a, b, {_SORTED.format('na')} sa, {_SORTED.format('nb')} sb from x), todo as (select distinct sa x, sb y from n), {_LCS} select a, b, round(ratio, 6) score from n join lcs on sa = lcs.x and sb = lcs.y",
+    "sim4_partial_ratio": f"{_PAIRS.replace('with', 'with recursive', 1)}, n as (select distinct na, nb from x), {_PARTS.format('n')} select a, b, round(coalesce(ratio, 100 * (na = nb)::int), 6) score from x left join best using (na, nb)",
+    "sim5_partial_token_set_ratio": f"""{_PAIRS.replace("with", "with recursive", 1)}, {_SETS}, n as (select distinct oa na, ob nb from made where shared = '' and len(ta) > 0 and len(tb) > 0), {_PARTS.format("n")}
+ select a, b, round(case when len(ta) = 0 or len(tb) = 0 then 0 when shared <> '' then 100 else best.ratio end, 6) score from x join made using (na, nb) left join best on best.na = oa and best.nb = ob""",
+    "sim9_words_swapped": f"""{_PAIRS.replace("with", "with recursive", 1)}, t as (select a, b, list_filter(string_split(na, ' '), lambda w: w <> '' and w not in ({_SWAP})) ta, list_filter(string_split(nb, ' '), lambda w: w <> '' and w not in ({_SWAP})) tb from x),
+ names as (select distinct ta, tb from t), g as (select ta, tb, u, v from (select ta, tb, unnest(ta) u from names) join (select ta, tb, unnest(tb) v from names) using (ta, tb)), todo as (select distinct u x, v y from g), {_LCS},
+ alike as (select ta, tb, u, v, ratio >= 75 or (length(u) >= 3 and contains(v, u)) or (length(v) >= 3 and contains(u, v)) c from g join lcs on lcs.x = u and lcs.y = v),
+ l as (select ta, tb, bool_and(c) every from (select ta, tb, u, bool_or(c) c from alike group by all) group by all), r as (select ta, tb, bool_and(c) every from (select ta, tb, v, bool_or(c) c from alike group by all) group by all)
+ select a, b, coalesce(not l.every and not r.every, false) score from t left join l using (ta, tb) left join r using (ta, tb)""",
+}
+
 for _id, _f in (("sim1_ratio", sim.ratio_udf), ("sim2_token_set_ratio", sim.token_set_udf), ("sim3_token_sort_ratio", sim.token_sort_udf), ("sim4_partial_ratio", sim.partial_udf), ("sim5_partial_token_set_ratio", sim.partial_token_set_udf), ("sim9_words_swapped", sim.words_swapped_udf)):
 
-    @query(_id)
+    @query(_id, _SIM_SQL.get(_id))
     def _(t, f=_f):
         return _name_pairs(t).select("a", "b", f("na", "nb").alias("score"))
 
