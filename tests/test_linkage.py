@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinsmith.operators import blocking, encode, features, mining, models, normalize, prepare, sampling, wordfeat
-from kinsmith.plans.run import Run, Settings, linkage
+from kinsmith.plans.run import Run, Settings, export, linkage
 from kinsmith.sources import tables as src
 
 
@@ -284,3 +284,49 @@ def test_linkage_finds_links(spark, tmp_path):
     run = linkage(spark, str(tmp_path), t(s1, "s1_idx long, name string, address string, country string"), t(rec, "rec_idx long, name string, address string, country string, src int"), t(links, "s1_idx long, rec_idx long"), Settings(n_folds=3, taus=(0.5,), margins=(0.0,), misses=(0.0,)))
     found = {(x["s1_idx"], x["rec_idx"]) for x in run("links_b").collect()}
     assert len(found & set(links)) >= 0.9 * len(links) and len(found - set(links)) <= 0.1 * len(links)
+
+
+def _companies(spark, seed, first=0):
+    """Entities, records of theirs with typos, moved legal forms and cut addresses, and namesakes elsewhere."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("bcdfgmnprst") + r.choice("aeiou") for _ in range(3))
+    typo = lambda w: w[: (k := r.randrange(len(w)))] + w[k + 1 :] if len(w) > 4 and r.random() < 0.3 else w
+    s1, rec, links = [], [], []
+    for i in range(first, first + 90):
+        a, b, street, town = word(), word(), word(), word()
+        number, country = r.randrange(1, 99), "XY"[i % 2]
+        s1.append((i, f"S1-{i}", f"{a} {b} Inc", f"{number} {street} Road, {town}", country))
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            k = first + len(rec)
+            rec.append((k, f"S2-{k}", f"{typo(a)} {typo(b)}{r.choice(('', ' Incorporated', ' inc.'))}", f"{number} {typo(street)} Rd{r.choice(('', f', {town}'))}", country, 2))
+            links.append((i, k))
+        if r.random() < 0.3:
+            rec.append((first + len(rec), f"S3-{first + len(rec)}", f"{a} {word()}", f"{r.randrange(1, 99)} {word()} Street, {town}", country, 3))
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return t(s1, "s1_idx long, entity_id string, name string, address string, country string"), t(rec, "rec_idx long, entity_id string, name string, address string, country string, src int"), t(links, "s1_idx long, rec_idx long")
+
+
+def test_new_tables_are_linked_checked_and_exported(spark, tmp_path):
+    s1, rec, truth = _companies(spark, 7)
+    new_s1, new_rec, new_truth = _companies(spark, 8, first=1000)
+    run = linkage(spark, str(tmp_path / "run"), s1, rec, truth, Settings(n_folds=5, taus=(0.5,), margins=(0.0,), misses=(0.0,)), new=(new_s1, new_rec))
+    export(run, str(tmp_path / "out"))
+    assert {r["check"]: r["n"] for r in run("new_checks").collect()} == dict.fromkeys(("missing", "unknown", "repeated", "unknown_ids", "listed_twice"), 0)
+    want = {(f"S1-{a}", f"S2-{b}") for a, b in map(tuple, new_truth.collect())}
+    lists = src.read_tsv(spark, str(tmp_path / "out" / "lists"), ["source1_entity_id", "matched_entity_ids"]).collect()
+    assert len(lists) == 90
+    found = {(r[0], x) for r in lists for x in r[1].split(",") if x}
+    assert len(found & want) >= 0.85 * len(want) and len(found - want) <= 0.1 * len(want)
+    candidates = {(r[0], x) for r in src.read_tsv(spark, str(tmp_path / "out" / "candidate_lists"), ["source1_entity_id", "candidate_entity_ids"]).collect() for x in r[1].split(",") if x}
+    assert found <= candidates
+    saved = models.load_models(type(run.kept["pA"][0][0]), f"{run.folder}/models_pA", 5)
+    again = models.mean_prediction(saved, run("new_features"), run.kept["pA"][1], "pA").select("s1_idx", "rec_idx", "pA")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, run("new_pred_a").collect()))
+
+
+def test_a_run_makes_what_its_targets_need(spark, tmp_path):
+    s1, rec, truth = _companies(spark, 7)
+    order = linkage(spark, str(tmp_path), s1, rec, truth, new=(s1, rec)).order
+    assert not any(n.startswith("new_") for n in order(["report"]))
+    assert not any(n.startswith(("pred", "features", "links")) for n in order(["new_candidates"]))
+    assert {"pred_a", "new_pred_c", "links", "new_lists"} <= set(order(["new_checks"]))
