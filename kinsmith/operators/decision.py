@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -49,34 +48,57 @@ def counts_distribution(p: Sequence[float]) -> np.ndarray:
     return d
 
 
-def expected_scores(p: Sequence[float], miss: float = 0.0) -> np.ndarray:
-    """Expected F-score (beta 0.5) of taking the first k of the candidates, for k = 0..n; p in descending order."""
+def _one_more(d: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The rows' distributions of counts with one more event in each, of probability x."""
+    out = np.pad(d * (1 - x), ((0, 0), (0, 1)))
+    out[:, 1:] += d * x
+    return out
+
+
+def expected_scores(p: Sequence[float] | np.ndarray, miss: float = 0.0) -> np.ndarray:
+    """Expected F-score (beta 0.5) of taking the first k of the candidates, for k = 0..n; p in descending order.
+
+    p is one list, or a table with a list of the same length in each row; the result has rows accordingly.
+    """
     p = np.asarray(p, float)
-    n = len(p)
-    out = np.empty(n + 1)
-    out[0] = math.exp(np.log(np.maximum(1 - p, 1e-12)).sum() - miss)
-    rest = [counts_distribution([miss / MISS_TRIALS] * MISS_TRIALS)]
-    for x in p[::-1]:
-        rest.append(np.convolve(rest[-1], (1 - x, x)))
-    hit = np.ones(1)
+    if p.ndim == 1:
+        return expected_scores(p[None], miss)[0]
+    n = p.shape[1]
+    out = np.empty((len(p), n + 1))
+    out[:, 0] = np.exp(np.log(np.maximum(1 - p, 1e-12)).sum(1) - miss)
+    rest = [np.tile(counts_distribution([miss / MISS_TRIALS] * MISS_TRIALS), (len(p), 1))]
+    for i in range(n - 1, -1, -1):
+        rest.append(_one_more(rest[-1], p[:, i, None]))
+    hit = np.ones((len(p), 1))
     for k in range(1, n + 1):
-        hit = np.convolve(hit, (1 - p[k - 1], p[k - 1]))
+        hit = _one_more(hit, p[:, k - 1, None])
         other = rest[n - k]
-        a, b = np.arange(k + 1)[:, None], np.arange(len(other))[None, :]
-        out[k] = hit @ (1.25 * a / (1.25 * a + 0.25 * b + (k - a) + (a == 0))) @ other
+        a, b = np.arange(k + 1)[:, None], np.arange(other.shape[1])[None, :]
+        out[:, k] = ((hit @ (1.25 * a / (1.25 * a + 0.25 * b + (k - a) + (a == 0)))) * other).sum(1)
     return out
 
 
 def best_k(p: Sequence[float], miss: float = 0.0) -> tuple[int, float]:
     """The least k of the highest expected score, and that score."""
     e = expected_scores(p, miss)
-    k = 0
-    for i in range(1, len(e)):
-        if e[i] > e[k]:
-            k = i
+    k = int(_best(e[None])[0])
     return k, float(e[k])
 
 
+def _best(e: np.ndarray) -> np.ndarray:
+    """The first place of each row's highest score; 0 where a probability was missing."""
+    return np.where(np.isnan(e[:, 0]), 0, np.nan_to_num(e, nan=-1.0).argmax(1))
+
+
+def best_ks(lists: pd.Series, miss: float = 0.0) -> np.ndarray:
+    """best_k of every list; lists of equal length are one table, so that no step is taken list by list."""
+    out, sizes = np.zeros(len(lists), np.int32), lists.map(len).to_numpy(np.int64)
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        out[at] = _best(expected_scores(np.stack(lists.iloc[at].to_list()).astype(float), miss))
+    return out
+
+
 def expected_f05(pairs: DataFrame, p: str, miss: float = 0.0, most: int = MOST_CANDIDATES) -> DataFrame:
     """The pairs of each entity's best prefix by expected score, among its `most` best candidates. Ties: least rec_idx.
 
@@ -85,7 +107,7 @@ def expected_f05(pairs: DataFrame, p: str, miss: float = 0.0, most: int = MOST_C
 
     @pandas_udf("int")
     def choose(ps: pd.Series) -> pd.Series:
-        return ps.map(lambda x: best_k(x, miss)[0])
+        return pd.Series(best_ks(ps, miss))
 
     order = Window.partitionBy("s1_idx").orderBy(F.desc(p), "rec_idx")
     top = pairs.select("s1_idx", "rec_idx", p).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)

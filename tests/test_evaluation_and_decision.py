@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from kinsmith.operators import decision, evaluation
@@ -82,6 +83,15 @@ def test_prefix_examples():
     assert np.allclose(decision.expected_scores([0.95, 0.9, 0.2]), [0.004, 0.783976, 0.915677, 0.723033], atol=1e-6)
 
 
+@pytest.mark.parametrize("miss", [0.0, 0.3])
+def test_lists_of_all_lengths_at_once(miss):
+    r = np.random.default_rng(3)
+    lists = [np.sort(r.random(int(n)) ** 0.5)[::-1] for n in r.integers(0, 9, 60)] + [np.array([0.9, np.nan])]
+    want = [int(brute_scores(p.tolist(), miss).argmax()) for p in lists[:-1]] + [0]
+    assert decision.best_ks(pd.Series(lists), miss).tolist() == want
+    assert decision.best_ks(pd.Series([], dtype=object), miss).tolist() == []
+
+
 def test_expected_selection_of_frames(spark):
     df = spark.createDataFrame([(0, 5, 0.95), (0, 6, 0.9), (1, 7, 0.2)], "s1_idx long, rec_idx long, p double")
     assert sorted(r["rec_idx"] for r in decision.expected_f05(df, "p").collect()) == [5, 6]
