@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ NOT_RANKED = 255
 #: Rows of a block on either side; blocks of queries that share one copy of a base block; up to this many pairs of rows
 #: altogether, plain expressions compare them.
 QUERY_BLOCK, BASE_BLOCK, COPY_BLOCKS, MOST_PLAIN = 4096, 32_768, 32, 4_000_000
+#: A list of unique whole-number keys is of one range of this many, so that it has a bounded size.
+KEY_RANGE = 2**21
 
 
 def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: str, partition: str = "country", most_plain: int | None = None) -> DataFrame:
@@ -129,3 +131,26 @@ def add_lexical(dense: DataFrame, lexical: DataFrame, s1: DataFrame, rec: DataFr
     none = F.lit(NOT_RANKED).cast("smallint")
     more = scored.select("rec_idx", "s1_idx", dot(F.col("x"), F.col("y")).alias("cos"), none.alias("rank_r"), none.alias("rank_s"), F.lit(True).alias("lex"))
     return dense.withColumn("lex", F.lit(False)).unionByName(more)
+
+
+def pairs_of_kinds(df: DataFrame, key: str, within: Sequence[str], kind: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows with equal `within`, and a lesser key first, by kinds: what depends on kinds alone is computed once.
+
+    Rows of equal `within` and `kind` are of one kind; first rows also differ by `more`. A row of the result is two kinds
+    (a_<column>, b_<column>) and the keys that each has (a_keys, b_keys); spelled_out() makes pairs of keys from it. Rows of equal `within` meet in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: small lists make many pairs
+    rows = df.select(key, *within, *kind, *more).repartition(n, *within)
+
+    def side(tag: str, *by: str) -> DataFrame:
+        lists = rows.groupBy(*within, *by, F.floor(F.col(key) / KEY_RANGE).alias("range")).agg(F.collect_list(key).alias("keys"))
+        return lists.select(*within, *(F.col(c).alias(f"{tag}_{c}") for c in (*by, "range", "keys")))
+
+    met = side("a", *kind, *more).join(side("b", *kind).hint("merge"), list(within)).where("a_range <= b_range")
+    return met.drop(*within, "a_range", "b_range")
+
+
+def spelled_out(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of pairs_of_kinds() as pairs of keys, a less than b, with all other columns."""
+    each = pairs.withColumn(a, F.explode("a_keys")).drop("a_keys").withColumn(b, F.explode("b_keys")).drop("b_keys")
+    return each.where(F.col(a) < F.col(b))

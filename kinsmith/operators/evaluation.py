@@ -80,9 +80,13 @@ def candidates_per_entity(candidates: DataFrame, n_entities: int, grid: Sequence
     return candidates.agg(*((F.count_if((F.col("rank_r") < r) | (F.col("rank_s") < s)) / F.lit(float(n_entities))).alias(f"per_s1_{r}_{s}") for r, s in grid))
 
 
-def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """One row: area under the ROC curve by ranks, ties at their mean rank. Rows are aggregated by score first."""
-    g = scored.groupBy(F.col(score).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+def auc(scored: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
+    """One row: area under the ROC curve by ranks, ties at their mean rank. Rows are aggregated by score first.
+
+    A row with weight n counts as n equal ones.
+    """
+    w = F.col(weight).cast("long") if weight is not None else F.lit(1).cast("long")
+    g = scored.groupBy(F.col(score).alias("x")).agg(F.sum(w).alias("n"), F.sum(F.col(label).cast("long") * w).alias("pos"))
     # a running count over distinct scores, by ranges; stored, as a second evaluation could cut the ranges elsewhere
     run = F.sum("n").over(Window.partitionBy("p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     part = stored(g.repartitionByRange("x").withColumn("p", F.spark_partition_id()).withColumn("run", run), "scores")

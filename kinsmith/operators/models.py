@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kinsmith.operators.encode import with_grams
 from kinsmith.operators.evaluation import auc
 from kinsmith.operators.sampling import exact_sample, key_sample
+from kinsmith.sources.tables import stored
 
 KEYS = ["s1_idx", "rec_idx"]
 NOT_FEATURES = (*KEYS, "y", "fold", "pA", "pB", "pC")
@@ -125,11 +126,19 @@ class TextPairScorer:
         x = HashingTF(inputCol="_g", outputCol="_h", numFeatures=self.dims, binary=True).transform(x.withColumn("_j", both / all_))
         return VectorAssembler(inputCols=["_h", "_j"], outputCol="features").transform(x).drop("_a", "_b", "_g", "_h", "_j")
 
-    def fit(self, df: DataFrame) -> TextPairScorer:
-        """From (text_a, text_b, y). Without rows every score is 0."""
+    def fit(self, df: DataFrame, weight: str | None = None) -> TextPairScorer:
+        """From (text_a, text_b, y). Without rows every score is 0. A row with weight n stands for n equal ones."""
         if df.isEmpty():
             return self
-        self.model = LogisticRegression(labelCol="y", featuresCol="features", regParam=self.reg, maxIter=50).fit(self._vectors(df))
+        learner = LogisticRegression(labelCol="y", featuresCol="features", regParam=self.reg, maxIter=50)
+        if weight is not None:
+            w = F.col(weight).cast("double")
+            total, squares = df.agg(F.sum(w), F.sum(w * w)).first()
+            # Spark's variance of weighted rows is larger than that of repeated ones by the inverse of this, and scales the penalty
+            if total > 1:
+                learner.setRegParam(self.reg * (total - squares / total) / (total - 1))
+            learner.setWeightCol(weight)
+        self.model = learner.fit(self._vectors(df))
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
@@ -144,9 +153,9 @@ class TextPairScorer:
 HALVES = {"a": (1, 2), "b": (3, 4)}
 
 
-def cross_scorers(df: DataFrame, make: Callable[[], TextPairScorer] = TextPairScorer) -> dict[str, TextPairScorer]:
+def cross_scorers(df: DataFrame, make: Callable[[], TextPairScorer] = TextPairScorer, weight: str | None = None) -> dict[str, TextPairScorer]:
     """One scorer a half of the folds, from (text_a, text_b, y, fold)."""
-    return {h: make().fit(df.where(F.col("fold").isin(*own))) for h, own in HALVES.items()}
+    return {h: make().fit(df.where(F.col("fold").isin(*own)), weight) for h, own in HALVES.items()}
 
 
 def cross_score(df: DataFrame, scorers: dict[str, TextPairScorer], out: str = "ce") -> DataFrame:
@@ -179,22 +188,22 @@ def pseudo_labels(pairs: DataFrame, p: str, pos_p: float = 0.995, neg_p: float =
     return x.where(pos | neg).select(*KEYS, F.when(pos, 1).otherwise(0).alias("y"))
 
 
-def adapt(scorers: dict[str, TextPairScorer], pseudo: DataFrame, known: DataFrame, guard: DataFrame, n_each: int, seed: int = 42, make: Callable[[], TextPairScorer] = TextPairScorer) -> tuple[dict[str, TextPairScorer], dict[str, tuple[float, float]]]:
+def adapt(scorers: dict[str, TextPairScorer], pseudo: DataFrame, known: DataFrame, guard: DataFrame, n_each: int, seed: int = 42, make: Callable[[], TextPairScorer] = TextPairScorer, weight: str | None = None) -> tuple[dict[str, TextPairScorer], dict[str, tuple[float, float]]]:
     """Scorers fitted on equal parts of pseudo-labelled and known pairs, and their AUC on guard pairs before and after.
 
     pseudo(text_a, text_b, y), known(..., fold), guard(..., y); samples have n_each rows of a kind at most.
+    weight is a column of guard, where a row stands for several.
     """
     ids = ["s1_idx", "rec_idx"]
-    mixed = reduce(DataFrame.unionByName, [exact_sample(pseudo.where(F.col("y") == v), n_each, ids, seed) for v in (1, 0)])
+    drawn = lambda df: stored(exact_sample(df, n_each, ids, seed).select("text_a", "text_b", "y"), "sample")
+    mixed = reduce(DataFrame.unionByName, [drawn(pseudo.where(F.col("y") == v)) for v in (1, 0)])
     out, guards = {}, {}
     for h, own in HALVES.items():
-        part = exact_sample(known.where(F.col("fold").isin(*own)), n_each, ids, seed)
-        columns = ["text_a", "text_b", "y"]
-        out[h] = make().fit(mixed.select(*columns).unionByName(part.select(*columns)))
-        guards[h] = tuple(auc(s.score(guard, "_s"), "y", "_s").first()[0] for s in (scorers[h], out[h]))
+        out[h] = make().fit(mixed.unionByName(drawn(known.where(F.col("fold").isin(*own)))))
+        guards[h] = tuple(auc(s.score(guard, "_s"), "y", "_s", weight).first()[0] for s in (scorers[h], out[h]))
     return out, guards
 
 
-def updated(scores: DataFrame, new: DataFrame) -> DataFrame:
+def updated(scores: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """scores(s1_idx, rec_idx, ce) with those of new in their place."""
-    return scores.join(new.select(*KEYS, F.col("ce").alias("_new")), KEYS, "left").withColumn("ce", F.coalesce("_new", "ce")).drop("_new")
+    return scores.join(new.select(*keys, F.col("ce").alias("_new")), list(keys), "left").withColumn("ce", F.coalesce("_new", "ce")).drop("_new")

@@ -19,8 +19,8 @@ def order_key(keys: Sequence[str], seed: int) -> Column:
 
 
 def exact_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int) -> DataFrame:
-    """n rows without replacement, or all if there are fewer."""
-    return df.orderBy(order_key(keys, seed), *keys).limit(n)
+    """n rows without replacement, or all if there are fewer. The order is a column, or each comparison would hash again."""
+    return df.withColumn("_order", order_key(keys, seed)).orderBy("_order", *keys).limit(n).drop("_order")
 
 
 def key_sample(df: DataFrame, fraction: float, key: str, seed: int) -> DataFrame:

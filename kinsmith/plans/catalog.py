@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +55,11 @@ cand as (select rec_idx, s1_idx, (case when d = 0 then 500 + m // 2 else m * 7 /
 """
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    """Register f(tables). Whole numbers become long and floats double, as the SQL has them, doubles to 6 places."""
+def query(name: str, sql: str | None = None, rounded: Collection[str] = ()) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Register f(tables). Whole numbers become long and floats double, as the SQL has them, doubles to 6 places.
+
+    The columns `rounded` are doubles that f has rounded before it repeats them.
+    """
 
     def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +69,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
                 c = F.col(f"`{field.name}`")
                 if isinstance(field.dataType, _WHOLE):
                     c = c.cast("long")
-                elif isinstance(field.dataType, T.FloatType | T.DoubleType):
+                elif isinstance(field.dataType, T.FloatType | T.DoubleType) and field.name not in rounded:
                     c = F.round(c.cast("double"), 6)
                 cols.append(c.alias(field.name))
             return df.select(*cols)

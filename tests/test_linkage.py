@@ -72,6 +72,16 @@ def test_lexical_blocks_and_their_limit(spark):
     assert pairs(4) == {(2, 3), (3, 4)}
 
 
+@pytest.mark.parametrize("size", [3, 2**21])
+def test_pairs_of_kinds_are_all_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(blocking, "KEY_RANGE", size)
+    rows = [(i, i % 2, "xyz"[i % 3 % (1 + i % 4)]) for i in range(30)] + [(40, None, "x"), (41, 5, None), (42, 5, "x")]
+    df = spark.createDataFrame(rows, "k long, g int, name string").withColumn("fold", F.col("k") % 5)
+    pairs = blocking.spelled_out(blocking.pairs_of_kinds(df, "k", ["g"], ["name"], ["fold"]), "a", "b")
+    want = [(a, b, x, y, a % 5) for a, g, x in rows for b, h, y in rows if g is not None and g == h and a < b]
+    assert sorted(map(str, map(tuple, pairs.select("a", "b", "a_name", "b_name", "a_fold").collect()))) == sorted(map(str, want))
+
+
 # ---- features
 def test_context_and_consensus_features(spark):
     r = random.Random(4)
@@ -170,6 +180,19 @@ def test_cross_scores_use_the_other_half(spark):
         assert abs(r["ce"] - want) < 1e-9
 
 
+def test_weights_stand_for_repeated_rows(spark):
+    rows = [(f"{'abc'[i % 3]}lpha {i % 5}", f"{'abd'[i % 4 % 3]}lpha {i % 2}", int(i % 7 < 3), 1 + i * i % 6) for i in range(40)]
+    df = spark.createDataFrame(rows, "text_a string, text_b string, y int, n long")
+    each = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    got, want = (sorted(r["s"] for r in x.score(df, "s").collect()) for x in (models.TextPairScorer(64).fit(df, "n"), models.TextPairScorer(64).fit(each)))
+    assert np.allclose(got, want, atol=1e-4)
+    from kinsmith.operators.evaluation import auc
+
+    scored = df.withColumn("s", F.length("text_a") * 1.0 + F.col("n") % 3)
+    repeated = scored.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    assert abs(auc(scored, "y", "s", "n").first()[0] - auc(repeated, "y", "s").first()[0]) < 1e-12
+
+
 def test_pseudo_labels_and_updates(spark):
     rows = [(1, 1, 0.999, 0.0), (2, 1, 0.01, 0.9), (3, 2, 0.999, 0.0), (4, 2, 0.2, 0.0), (5, 3, 0.996, 0.1)]
     df = spark.createDataFrame(rows, "s1_idx long, rec_idx long, p double, cos double")

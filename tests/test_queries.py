@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from kinsmith.operators import models
 from kinsmith.plans.queries import QUERIES, SQL
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -39,6 +40,24 @@ def test_query_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
 
 
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """80 parts of one brand and size with four names."""
+    folder = str(tmp_path_factory.mktemp("copies"))
+    rows = [(i, ("red nut", "red bolt", "blue nut", "blue bolt")[i * i % 7 % 4], "b", 1) for i in range(80)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["adp1_self_training"])
+def test_scorers_read_each_pair_of_texts_once_a_fold(spark, copies, monkeypatch, name):
+    read, fit = [], models.TextPairScorer.fit
+    monkeypatch.setattr(models.TextPairScorer, "fit", lambda self, df, *more: (read.append(df.count()), fit(self, df, *more))[1])
+    got = {(r["s1_idx"], r["rec_idx"]): r["ce"] for r in QUERIES[name](spark, copies).collect()}
+    assert set(got) == {(a, b) for a in range(80) for b in range(a + 1, 80)}
+    assert read[0] <= 4 * 4 * 5
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
