@@ -49,7 +49,7 @@ def copies(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["adp1_self_training", "crs3_text_pair_scorer"])
+@pytest.mark.parametrize("name", ["adp1_self_training", "crs3_text_pair_scorer", "crs4_cross_scores"])
 def test_scorers_read_each_pair_of_texts_once_a_fold(spark, copies, monkeypatch, name):
     read, fit = [], models.TextPairScorer.fit
     monkeypatch.setattr(models.TextPairScorer, "fit", lambda self, df, *more: (read.append(df.count()), fit(self, df, *more))[1])
