@@ -58,7 +58,7 @@ def test_scorers_read_each_pair_of_texts_once_a_fold(spark, copies, monkeypatch,
     assert read[0] <= 4 * 4 * 5
 
 
-@pytest.mark.parametrize("name", ["sim1_ratio", "sim2_token_set_ratio", "sim3_token_sort_ratio", "sim4_partial_ratio"])
+@pytest.mark.parametrize("name", ["sim1_ratio", "sim2_token_set_ratio", "sim3_token_sort_ratio", "sim4_partial_ratio", "sim5_partial_token_set_ratio"])
 def test_names_are_compared_before_pairs_are_spelled_out(spark, copies, name):
     got = QUERIES[name](spark, copies)
     assert got.count() == 80 * 79 // 2
