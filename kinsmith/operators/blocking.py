@@ -6,8 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 
 from kinsmith.functions.arrays import dot, first, longest
 
@@ -154,3 +157,21 @@ def spelled_out(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of pairs_of_kinds() as pairs of keys, a less than b, with all other columns."""
     each = pairs.withColumn(a, F.explode("a_keys")).drop("a_keys").withColumn(b, F.explode("b_keys")).drop("b_keys")
     return each.where(F.col(a) < F.col(b))
+
+
+@arrow_udf(LongType())
+def _pairs_in_order(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many pairs of a key of a and a larger one of b each row has; b's keys are of the range of a's or a later one."""
+    row_a, row_b = (np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())) for x in (a, b))
+    x, y = a.flatten().to_numpy(), b.flatten().to_numpy()
+    low = np.zeros(len(a), np.int64)
+    low[row_a] = x // KEY_RANGE * KEY_RANGE
+    step = KEY_RANGE + 1  # a later range's keys are all alike: larger than those of a
+    y = np.sort(row_b * step + np.minimum(y - low[row_b], KEY_RANGE))
+    more = np.searchsorted(y, (row_a + 1) * step) - np.searchsorted(y, row_a * step + x - low[row_a], "right")
+    return pa.array(np.bincount(row_a, more, len(a)).astype(np.int64))
+
+
+def counted(pairs: DataFrame, n: str) -> DataFrame:
+    """Rows of pairs_of_kinds() with how many pairs of keys each has, instead of the keys; rows without any are left out."""
+    return pairs.withColumn(n, _pairs_in_order("a_keys", "b_keys")).drop("a_keys", "b_keys").where(F.col(n) > 0)

@@ -22,6 +22,8 @@ NOT_FEATURES = (*KEYS, "y", "fold", "pA", "pB", "pC")
 #: Stands for a missing feature, beside a column that says so.
 MISSING = -1.0
 MOST_LOGIT = 50.0
+#: Rows that a task of a text pair scorer's fit should have.
+FIT_ROWS = 50_000
 
 Learner = Callable[[DataFrame], Model]
 
@@ -128,17 +130,18 @@ class TextPairScorer:
 
     def fit(self, df: DataFrame, weight: str | None = None) -> TextPairScorer:
         """From (text_a, text_b, y). Without rows every score is 0. A row with weight n stands for n equal ones."""
-        if df.isEmpty():
+        w = F.col(weight).cast("double") if weight is not None else F.lit(1.0)
+        rows, total, squares = df.agg(F.count(F.lit(1)), F.sum(w), F.sum(w * w)).first()
+        if not rows:
             return self
         learner = LogisticRegression(labelCol="y", featuresCol="features", regParam=self.reg, maxIter=50)
         if weight is not None:
-            w = F.col(weight).cast("double")
-            total, squares = df.agg(F.sum(w), F.sum(w * w)).first()
             # Spark's variance of weighted rows is larger than that of repeated ones by the inverse of this, and scales the penalty
             if total > 1:
                 learner.setRegParam(self.reg * (total - squares / total) / (total - 1))
             learner.setWeightCol(weight)
-        self.model = learner.fit(self._vectors(df))
+        # each of up to 50 steps is a job, so few rows are not spread over many tasks
+        self.model = learner.fit(self._vectors(df.coalesce(-(-rows // FIT_ROWS))))
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:

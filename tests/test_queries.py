@@ -1,11 +1,13 @@
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
-from kinsmith.operators import models
+from kinsmith.operators import blocking, models
 from kinsmith.plans.queries import QUERIES, SQL
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -58,6 +60,32 @@ def test_scorers_read_each_pair_of_texts_once_a_fold(spark, copies, monkeypatch,
     assert read[0] <= 4 * 4 * 5
 
 
+@pytest.mark.parametrize("name", ["crs3_text_pair_scorer"])
+def test_pairs_of_texts_are_spelled_out_once_and_few_are_fitted_in_one_task(spark, copies, monkeypatch, name):
+    """For the result alone: the pairs that a kind stands for are counted without them."""
+    spelled, tasks, out, fit = [], [], blocking.spelled_out, models.LogisticRegression.fit
+    monkeypatch.setattr(blocking, "spelled_out", lambda *a: (spelled.append(1), out(*a))[1])
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, df: (tasks.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    assert QUERIES[name](spark, copies).count() == 80 * 79 // 2
+    assert len(spelled) == 1 and set(tasks) == {1}
+
+
+def test_counted_pairs_equal_those_spelled_out(spark, monkeypatch):
+    """Also of keys below 0, in several ranges, and of kinds without a pair."""
+    monkeypatch.setattr(blocking, "KEY_RANGE", 8)
+    rows = [(k * k * 5 % 97 - 40 + 8 * (k % 7), "xy"[k % 2], "abc"[k % 3], k % 5) for k in range(60)]
+    df = spark.createDataFrame(sorted({r[0]: r for r in rows}.values()), "key long, grp string, name string, fold int")
+    pairs = blocking.pairs_of_kinds(df, "key", ["grp"], ["name"], ["fold"])
+    kind = ["a_name", "a_fold", "b_name"]
+    # the function on whole lists runs in this process, where the small range holds
+    met = [(tuple(r[c] for c in kind), r["a_keys"], r["b_keys"]) for r in pairs.collect()]
+    got = Counter()
+    for (key, *_), n in zip(met, blocking._pairs_in_order.func(*(pa.array([m[i] for m in met], pa.list_(pa.int64())) for i in (1, 2))).to_pylist(), strict=True):
+        got[key] += n
+    data = [(r["key"], r["grp"], r["name"], r["fold"]) for r in df.collect()]
+    assert +got == Counter((x[2], x[3], y[2]) for x in data for y in data if x[0] < y[0] and x[1] == y[1])
+
+
 @pytest.mark.parametrize("name", ["sim1_ratio", "sim2_token_set_ratio", "sim3_token_sort_ratio", "sim4_partial_ratio", "sim5_partial_token_set_ratio"])
 def test_names_are_compared_before_pairs_are_spelled_out(spark, copies, name):
     got = QUERIES[name](spark, copies)
