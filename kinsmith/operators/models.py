@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Model
@@ -11,6 +12,7 @@ from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from kinsmith.operators.encode import with_grams
 from kinsmith.operators.evaluation import auc
@@ -157,8 +159,10 @@ HALVES = {"a": (1, 2), "b": (3, 4)}
 
 
 def cross_scorers(df: DataFrame, make: Callable[[], TextPairScorer] = TextPairScorer, weight: str | None = None) -> dict[str, TextPairScorer]:
-    """One scorer a half of the folds, from (text_a, text_b, y, fold)."""
-    return {h: make().fit(df.where(F.col("fold").isin(*own)), weight) for h, own in HALVES.items()}
+    """One scorer a half of the folds, from (text_a, text_b, y, fold). Both are fitted at once."""
+    fit = inheritable_thread_target(df.sparkSession)(lambda own: make().fit(df.where(F.col("fold").isin(*own)), weight))
+    with ThreadPoolExecutor(len(HALVES)) as pool:
+        return dict(zip(HALVES, pool.map(fit, HALVES.values()), strict=True))
 
 
 def cross_score(df: DataFrame, scorers: dict[str, TextPairScorer], out: str = "ce") -> DataFrame:

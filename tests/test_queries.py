@@ -60,7 +60,7 @@ def test_scorers_read_each_pair_of_texts_once_a_fold(spark, copies, monkeypatch,
     assert read[0] <= 4 * 4 * 5
 
 
-@pytest.mark.parametrize("name", ["crs3_text_pair_scorer"])
+@pytest.mark.parametrize("name", ["crs3_text_pair_scorer", "crs4_cross_scores"])
 def test_pairs_of_texts_are_spelled_out_once_and_few_are_fitted_in_one_task(spark, copies, monkeypatch, name):
     """For the result alone: the pairs that a kind stands for are counted without them."""
     spelled, tasks, out, fit = [], [], blocking.spelled_out, models.LogisticRegression.fit
