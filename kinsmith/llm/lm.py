@@ -35,6 +35,8 @@ HIDDEN, EMBEDDED, CLASSES, WINDOW, TRAIN_LANES, EPOCHS, LEAST_STEPS, RATE = 32,
 #: Training on all documents: lanes, steps between dealings, rate, tokens a task should have, and pieces that weights travel in.
 STREAM_LANES, STREAM_BLOCK, STREAM_RATE, STREAM_TOKENS, PIECES = 256, 160, 2e-3, 2_000_000, 64
 SCORE_LANES, SCORE_WINDOW, CHUNK_TOKENS = 512, 32, 800_000
+#: Positions whose output is computed at a time.
+OUTPUT_BLOCK = 512
 ALPHA = 0.1
 
 
@@ -85,7 +87,7 @@ class Gru:
         m, rng = len(log_mass), np.random.default_rng(seed)
         self.m, self.classes = m, min(CLASSES, m)
         self.first = np.linspace(0, m, self.classes + 1).astype(np.int64)
-        self.cls = np.append(np.repeat(np.arange(self.classes), np.diff(self.first)), self.classes)
+        self.cls = np.append(np.repeat(np.arange(self.classes), np.diff(self.first)), self.classes).astype(np.int16)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         of_class = [np.logaddexp.reduce(log_mass[a:b]) for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
         self.p = {
@@ -98,37 +100,46 @@ class Gru:
         p, c = self.p, self.cls[target]
         order = np.argsort(c, kind="stable")  # by class, so that each class is a slice
         h, goal, c = h[order], target[order], c[order]
-        x = p["wc"].T @ h.T
-        x += p["bc"][:, None]
-        lp, soft = _softmax_loss(x, c)
-        n, dh = len(h), None
-        if grad is not None:
-            soft[c, np.arange(n)] -= 1
-            soft /= n
-            grad["wc"] += h.T @ soft.T
-            grad["bc"] += soft.sum(1)
-            dh = soft.T @ p["wc"].T
+        n, lp, dh = len(h), np.empty(len(h)), None if grad is None else np.empty_like(h)
+        for at in range(0, n, OUTPUT_BLOCK):  # pieces that stay in a core's cache
+            rows = slice(at, min(at + OUTPUT_BLOCK, n))
+            hk, ck = h[rows], c[rows]
+            x = p["wc"].T @ hk.T
+            x += p["bc"][:, None]
+            lp[rows], soft = _softmax_loss(x, ck)
+            if grad is not None:
+                soft[ck, np.arange(len(ck))] -= 1
+                soft /= n
+                grad["wc"] += hk.T @ soft.T
+                grad["bc"] += soft.sum(1)
+                dh[rows] = soft.T @ p["wc"].T
         ends = np.searchsorted(c, np.arange(self.classes + 1))
         for k in range(self.classes):
-            rows = slice(ends[k], ends[k + 1])
-            if ends[k] == ends[k + 1]:
-                continue
             a, b = self.first[k], self.first[k + 1]
-            hk, wk, at = h[rows], p["ww"][:, a:b], goal[rows] - a
-            x = wk.T @ hk.T
-            x += p["bw"][a:b, None]
-            lk, sk = _softmax_loss(x, at)
-            lp[rows] += lk
-            if grad is not None:
-                sk[at, np.arange(len(at))] -= 1
-                sk /= n
-                grad["ww"][:, a:b] += hk.T @ sk.T
-                grad["bw"][a:b] += sk.sum(1)
-                dh[rows] += sk.T @ wk.T
+            for at in range(ends[k], ends[k + 1], OUTPUT_BLOCK):
+                rows = slice(at, min(at + OUTPUT_BLOCK, ends[k + 1]))
+                hk, wk, own = h[rows], p["ww"][:, a:b], goal[rows] - a
+                x = wk.T @ hk.T
+                x += p["bw"][a:b, None]
+                lk, sk = _softmax_loss(x, own)
+                lp[rows] += lk
+                if grad is not None:
+                    sk[own, np.arange(len(own))] -= 1
+                    sk /= n
+                    grad["ww"][:, a:b] += hk.T @ sk.T
+                    grad["bw"][a:b] += sk.sum(1)
+                    dh[rows] += sk.T @ wk.T
         back = np.empty_like(order)
         back[order] = np.arange(n)
         return lp[back], dh if dh is None else dh[back]
 
+    def _halved(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each id's inputs, and the recurrent weights with a row for each gate. Sigmoids are made of tanh, so their weights are halved."""
+        p, half = self.p, np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])
+        inputs = p["e"] @ (p["wx"] * half)
+        inputs += p["b"] * half
+        return inputs, (p["wh"] * half).T
+
     def train(self, docs: list[np.ndarray]) -> None:
         """Several epochs over a sample; states are carried from window to window and cut at documents' starts."""
         if not docs:
@@ -147,82 +158,89 @@ class Gru:
     def learn(self, steps: list[tuple[np.ndarray, np.ndarray]], h: np.ndarray, adam: Adam, rate: float) -> np.ndarray:
         """A gradient step on one window of (previous, target) ids, of lanes that end the last ones first; the state after it.
 
-        A document starts where the previous id is 0, since 0 ends each document and is nowhere else.
+        A document starts where the previous id is 0, since 0 ends each document and is nowhere else. Inside, lanes are
+        columns, so that a gate is one block of memory, and products are of one step, so that they stay in a core's cache.
         """
         p, n = self.p, HIDDEN
-        half = np.repeat(np.array([0.5, 1], np.float32), [2 * n, n])  # sigmoids are made of tanh, so their weights are halved
-        inputs, wh = (p["e"] @ p["wx"] + p["b"]) * half, p["wh"] * half
-        saved, outs = [], []
+        inputs, wh = self._halved()
+        saved, outs, h = [], [], h.T
         for prev, _ in steps:
-            h = h[: len(prev)] * (prev > 0)[:, None]
-            x, hw = inputs.take(prev, 0), h @ wh
-            zr = x[:, : 2 * n]
-            zr += hw[:, : 2 * n]
+            h = h[:, : len(prev)] * (prev > 0)
+            x, hw = np.ascontiguousarray(inputs.take(prev, 0).T), wh @ h
+            zr, g, hn = x[: 2 * n], x[2 * n :], hw[2 * n :]
+            zr += hw[: 2 * n]
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            g = zr[:, n:] * hw[:, 2 * n :]
-            g += x[:, 2 * n :]
+            g += zr[n:] * hn
             np.tanh(g, out=g)
-            saved.append((h, zr, g, hw[:, 2 * n :]))
-            h = g + zr[:, :n] * (h - g)
-            outs.append(h)
+            saved.append((h, zr, g, hn))
+            h = h - g
+            h *= zr[:n]
+            h += g
+            outs.append(h.T)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         _, dall = self.output(np.concatenate(outs), np.concatenate([goal for _, goal in steps]), grad)
         ends = np.cumsum([0, *(len(prev) for prev, _ in steps)])
-        da, dw = np.empty((len(dall), 3 * n), np.float32), np.empty((len(dall), 3 * n), np.float32)
-        dnext, back = np.zeros((0, n), np.float32), p["wh"].T.copy()
+        dnext, of_input = np.zeros((n, 0), np.float32), np.empty((ends[-1], EMBEDDED), np.float32)
+        # what the candidate gets from the state comes first here, and then the three gates in their order
+        back, dwh = np.concatenate([p["wh"][:, 2 * n :], p["wh"][:, : 2 * n]], 1), np.zeros((n, 3 * n), np.float32)
         for i in range(len(steps) - 1, -1, -1):
-            (h0, zr, g, hn), own = saved[i], slice(ends[i], ends[i + 1])
-            z, r, d, a, w = zr[:, :n], zr[:, n:], dall[own], da[own], dw[own]
-            d[: len(dnext)] += dnext
-            keep = d * z
-            dg = (d - keep) * (1 - g * g)
-            a[:, :n] = (h0 - g) * keep * (1 - z)
-            w[:, 2 * n :] = dg * r
-            a[:, n : 2 * n] = w[:, 2 * n :] * hn * (1 - r)
-            a[:, 2 * n :] = dg
-            w[:, : 2 * n] = a[:, : 2 * n]
-            dnext = (keep + w @ back) * (steps[i][0] > 0)[:, None]
-        grad["wh"] += np.concatenate([s[0] for s in saved]).T @ dw
-        prev = np.concatenate([prev for prev, _ in steps])
+            (h0, zr, g, hn), prev, own = saved[i], steps[i][0], slice(ends[i], ends[i + 1])
+            z, r, d, c = zr[:n], zr[n:], dall[own].T.astype(np.float32, order="C"), np.empty((4 * n, len(prev)), np.float32)
+            d[:, : dnext.shape[1]] += dnext
+            keep, dg = d * z, c[3 * n :]
+            np.multiply(g, g, out=dg)
+            np.subtract(1, dg, out=dg)
+            d -= keep
+            dg *= d
+            np.multiply(dg, r, out=c[:n])
+            np.subtract(h0, g, out=c[n : 2 * n])
+            c[n : 2 * n] *= keep
+            np.multiply(c[:n], hn, out=c[2 * n : 3 * n])
+            c[n : 3 * n] *= 1 - zr
+            dnext = back @ c[: 3 * n]
+            dnext += keep
+            dnext *= prev > 0
+            dwh += h0 @ c[: 3 * n].T
+            of_input[own] = c[n:].T @ p["wx"].T
+            grad["wx"] += p["e"].take(prev, 0).T @ c[n:].T
+            grad["b"] += c[n:].sum(1)
+        grad["wh"] += np.concatenate([dwh[:, n:], dwh[:, :n]], 1)
+        prev = np.concatenate([prev for prev, _ in steps]).astype(np.int16)  # short numbers are sorted by digits
         order = np.argsort(prev, kind="stable")
         ids, first = np.unique(prev[order], return_index=True)
-        of_input = np.add.reduceat(da[order], first)
-        grad["e"][ids] = of_input @ p["wx"].T
-        grad["wx"] += p["e"][ids].T @ of_input
-        grad["b"] += of_input.sum(0)
+        grad["e"][ids] = np.add.reduceat(of_input[order], first)
         adam.apply(grad, rate)
-        return h
+        return h.T
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Sum of natural log probabilities of each document's ids, each of which ends with 0."""
         total = np.zeros(len(docs))
         if not docs:
             return total
-        p, lanes = self.p, Lanes(docs, SCORE_LANES)
-        half = np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])
-        inputs, wh = (p["e"] @ p["wx"] + p["b"]) * half, p["wh"] * half
-        h, width = np.zeros((len(lanes.length), HIDDEN), np.float32), int(lanes.length.max())
+        n, lanes = HIDDEN, Lanes(docs, SCORE_LANES)
+        inputs, wh = self._halved()
+        h, width = np.zeros((n, len(lanes.length)), np.float32), int(lanes.length.max())
         for t0 in range(0, width, SCORE_WINDOW):
             outs, targets, owners = [], [], []
             for t in range(t0, min(t0 + SCORE_WINDOW, width)):
                 live = int(np.searchsorted(-lanes.length, -t, "left"))
                 prev, goal, start = lanes.at(t, live)
-                h = h[:live]
-                h[start] = 0
-                x, hw = inputs.take(prev, 0), h @ wh
-                zr = x[:, : 2 * HIDDEN]
-                zr += hw[:, : 2 * HIDDEN]
+                h = h[:, :live] * ~start
+                x, hw = np.ascontiguousarray(inputs.take(prev, 0).T), wh @ h
+                zr, g, hn = x[: 2 * n], x[2 * n :], hw[2 * n :]
+                zr += hw[: 2 * n]
                 np.tanh(zr, out=zr)
                 zr *= 0.5
                 zr += 0.5
-                g = hw[:, 2 * HIDDEN :]
-                g *= zr[:, HIDDEN:]
-                g += x[:, 2 * HIDDEN :]
+                hn *= zr[n:]
+                g += hn
                 np.tanh(g, out=g)
-                h = g + zr[:, :HIDDEN] * (h - g)
-                outs.append(h.copy())
+                h -= g
+                h *= zr[:n]
+                h += g
+                outs.append(h.T)
                 targets.append(goal)
                 owners.append(lanes.owner(t, live))
             lp, _ = self.output(np.concatenate(outs), np.concatenate(targets))

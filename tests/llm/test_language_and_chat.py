@@ -176,6 +176,22 @@ def test_model_learns_when_all_documents_are_long(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.05 * sum(r["n_tokens"] for r in held)
 
 
+def test_output_is_computed_in_pieces(monkeypatch):
+    """None is larger than a block, and all together give what one piece gives, gradients included."""
+    g, r, sizes, loss = small_model(), np.random.default_rng(8), [], lm._softmax_loss
+    h, target = r.normal(size=(200, lm.HIDDEN)).astype(np.float32), r.integers(0, 12, size=200)
+    monkeypatch.setattr(lm, "_softmax_loss", lambda x, at: (sizes.append(x.shape[1]), loss(x, at))[1])
+    results = []
+    for block in (200, 16):
+        monkeypatch.setattr(lm, "OUTPUT_BLOCK", block)
+        sizes.clear()
+        grad = {k: np.zeros_like(v) for k, v in g.p.items()}
+        results.append((*g.output(h, target, grad), *(grad[k] for k in sorted(grad))))
+        assert max(sizes) <= block
+    for one, many in zip(*results, strict=True):
+        assert np.allclose(one, many, atol=1e-5)
+
+
 def test_model_is_a_distribution():
     g = small_model()
     h = np.random.default_rng(1).normal(size=(1, lm.HIDDEN)).astype(np.float32)
