@@ -19,8 +19,8 @@ NOT_RANKED = 255
 #: Rows of a block on either side; blocks of queries that share one copy of a base block; up to this many pairs of rows
 #: altogether, plain expressions compare them.
 QUERY_BLOCK, BASE_BLOCK, COPY_BLOCKS, MOST_PLAIN = 4096, 32_768, 32, 4_000_000
-#: A list of unique whole-number keys is of one range of this many, so that it has a bounded size.
-KEY_RANGE = 2**21
+#: A list holds at most this many of a kind's keys, next to each other, however far apart their numbers are.
+KEY_RANGE = 2**16
 
 
 def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: str, partition: str = "country", most_plain: int | None = None) -> DataFrame:
@@ -146,11 +146,12 @@ def pairs_of_kinds(df: DataFrame, key: str, within: Sequence[str], kind: Sequenc
     rows = df.select(key, *within, *kind, *more).repartition(n, *within)
 
     def side(tag: str, *by: str) -> DataFrame:
-        lists = rows.groupBy(*within, *by, F.floor(F.col(key) / KEY_RANGE).alias("range")).agg(F.collect_list(key).alias("keys"))
-        return lists.select(*within, *(F.col(c).alias(f"{tag}_{c}") for c in (*by, "range", "keys")))
+        place = F.row_number().over(Window.partitionBy(*within, *by).orderBy(key)) - 1
+        lists = rows.withColumn("range", F.floor(place / KEY_RANGE)).groupBy(*within, *by, "range").agg(F.collect_list(key).alias("keys"), F.min(key).alias("least"), F.max(key).alias("most"))
+        return lists.select(*within, *(F.col(c).alias(f"{tag}_{c}") for c in (*by, "keys", "least", "most")))
 
-    met = side("a", *kind, *more).join(side("b", *kind).hint("merge"), list(within)).where("a_range <= b_range")
-    return met.drop(*within, "a_range", "b_range")
+    met = side("a", *kind, *more).join(side("b", *kind).hint("merge"), list(within)).where("a_least < b_most")
+    return met.drop(*within, "a_least", "a_most", "b_least", "b_most")
 
 
 def spelled_out(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -161,14 +162,13 @@ def spelled_out(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 @arrow_udf(LongType())
 def _pairs_in_order(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many pairs of a key of a and a larger one of b each row has; b's keys are of the range of a's or a later one."""
+    """How many pairs of a key of a and a larger one of b each row has; keys count by their places among the batch's."""
     row_a, row_b = (np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())) for x in (a, b))
     x, y = a.flatten().to_numpy(), b.flatten().to_numpy()
-    low = np.zeros(len(a), np.int64)
-    low[row_a] = x // KEY_RANGE * KEY_RANGE
-    step = KEY_RANGE + 1  # a later range's keys are all alike: larger than those of a
-    y = np.sort(row_b * step + np.minimum(y - low[row_b], KEY_RANGE))
-    more = np.searchsorted(y, (row_a + 1) * step) - np.searchsorted(y, row_a * step + x - low[row_a], "right")
+    keys = np.unique(np.concatenate([x, y]))
+    step = len(keys)
+    y = np.sort(row_b * step + np.searchsorted(keys, y))
+    more = np.searchsorted(y, (row_a + 1) * step) - np.searchsorted(y, row_a * step + np.searchsorted(keys, x), "right")
     return pa.array(np.bincount(row_a, more, len(a)).astype(np.int64))
 
 

@@ -94,6 +94,16 @@ def test_names_are_compared_before_pairs_are_spelled_out(spark, copies, name):
     assert plan.count("Generate") == 2 and plan.rindex("Generate") < plan.index("ArrowEvalPython")
 
 
+@pytest.mark.parametrize("name", ["sim2_token_set_ratio"])
+def test_keys_far_apart_are_compared_no_more_often(spark, tmp_path, monkeypatch, name):
+    """Keys a billion apart are of the same few kinds: lists are cut by their length, not by the keys' numbers."""
+    rows, read, out = [(k * 10**9, ("red nut", "red bolt", "blue nut")[k % 3], "b", 1) for k in range(-20, 20)], [], blocking.spelled_out
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(blocking, "spelled_out", lambda pairs, *more: (read.append(pairs.count()), out(pairs, *more))[1])
+    got = {(r["a"], r["b"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0]} and read == [9]
+
+
 def test_component_map_of_twins_in_several_languages(spark, con, tmp_path):
     """Copies of one text, of any language and source, also without one."""
     rows = [(i, "same", ("en", "fr", None)[i % 3], ("src1", "news", None)[i % 4 % 3]) for i in range(60)]
