@@ -94,7 +94,7 @@ def test_names_are_compared_before_pairs_are_spelled_out(spark, copies, name):
     assert plan.count("Generate") == 2 and plan.rindex("Generate") < plan.index("ArrowEvalPython")
 
 
-@pytest.mark.parametrize("name", ["sim2_token_set_ratio", "sim3_token_sort_ratio", "sim4_partial_ratio"])
+@pytest.mark.parametrize("name", ["sim2_token_set_ratio", "sim3_token_sort_ratio", "sim4_partial_ratio", "sim5_partial_token_set_ratio"])
 def test_keys_far_apart_are_compared_no_more_often(spark, tmp_path, monkeypatch, name):
     """Keys a billion apart are of the same few kinds: lists are cut by their length, not by the keys' numbers."""
     rows, read, out = [(k * 10**9, ("red nut", "red bolt", "blue nut")[k % 3], "b", 1) for k in range(-20, 20)], [], blocking.spelled_out
