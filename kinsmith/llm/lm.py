@@ -34,6 +34,8 @@ MOST_SHIPPED, MOST_BYTES, VOCABULARY, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOKENS =
 HIDDEN, EMBEDDED, CLASSES, WINDOW, TRAIN_LANES, EPOCHS, LEAST_STEPS, RATE = 32, 16, 45, 20, 64, 2, 400, 4e-3
 #: Training on all documents: lanes, steps between dealings, rate, tokens a task should have, and pieces that weights travel in.
 STREAM_LANES, STREAM_BLOCK, STREAM_RATE, STREAM_TOKENS, PIECES = 256, 160, 2e-3, 2_000_000, 64
+#: First steps of a task, which are of one window each, however few lanes there are.
+ALONE = 50
 SCORE_LANES, SCORE_WINDOW, CHUNK_TOKENS = 512, 32, 800_000
 #: Positions whose output is computed at a time.
 OUTPUT_BLOCK = 512
@@ -41,14 +43,21 @@ ALPHA = 0.1
 
 
 def _softmax_loss(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of the columns' entries `at`, and the softmax of each column, in place of x.
+    """Log probability of the columns' entries `at`, and the sums of the columns' exponentials, which take the place of x.
 
     Columns are positions of the text, since sums over the first axis are several times faster than over a short last one.
     """
     x -= x.max(0)
+    own = x[at, np.arange(len(at))]
     np.exp(x, out=x)
-    x /= x.sum(0)
-    return np.log(np.maximum(x[at, np.arange(len(at))], 1e-30)), x
+    total = x.sum(0)
+    return own - np.log(total), total
+
+
+def _to_gradient(x: np.ndarray, at: np.ndarray, total: np.ndarray, n: int) -> None:
+    """Exponentials and their sums become the gradient of the loss's mean over n positions, in place of x."""
+    x *= 1 / (total * np.float32(n))
+    x[at, np.arange(len(at))] -= np.float32(1 / n)
 
 
 class Adam:
@@ -99,20 +108,19 @@ class Gru:
         """Log probability of each target; with grad, also adds the gradients of the mean loss and returns that of h."""
         p, c = self.p, self.cls[target]
         order = np.argsort(c, kind="stable")  # by class, so that each class is a slice
-        h, goal, c = h[order], target[order], c[order]
+        h, goal, c = h.take(order, 0), target[order], c[order]
         n, lp, dh = len(h), np.empty(len(h)), None if grad is None else np.empty_like(h)
         for at in range(0, n, OUTPUT_BLOCK):  # pieces that stay in a core's cache
             rows = slice(at, min(at + OUTPUT_BLOCK, n))
             hk, ck = h[rows], c[rows]
             x = p["wc"].T @ hk.T
             x += p["bc"][:, None]
-            lp[rows], soft = _softmax_loss(x, ck)
+            lp[rows], total = _softmax_loss(x, ck)
             if grad is not None:
-                soft[ck, np.arange(len(ck))] -= 1
-                soft /= n
-                grad["wc"] += hk.T @ soft.T
-                grad["bc"] += soft.sum(1)
-                dh[rows] = soft.T @ p["wc"].T
+                _to_gradient(x, ck, total, n)
+                grad["wc"] += hk.T @ x.T
+                grad["bc"] += x.sum(1)
+                dh[rows] = x.T @ p["wc"].T
         ends = np.searchsorted(c, np.arange(self.classes + 1))
         for k in range(self.classes):
             a, b = self.first[k], self.first[k + 1]
@@ -121,17 +129,16 @@ class Gru:
                 hk, wk, own = h[rows], p["ww"][:, a:b], goal[rows] - a
                 x = wk.T @ hk.T
                 x += p["bw"][a:b, None]
-                lk, sk = _softmax_loss(x, own)
+                lk, total = _softmax_loss(x, own)
                 lp[rows] += lk
                 if grad is not None:
-                    sk[own, np.arange(len(own))] -= 1
-                    sk /= n
-                    grad["ww"][:, a:b] += hk.T @ sk.T
-                    grad["bw"][a:b] += sk.sum(1)
-                    dh[rows] += sk.T @ wk.T
+                    _to_gradient(x, own, total, n)
+                    grad["ww"][:, a:b] += hk.T @ x.T
+                    grad["bw"][a:b] += x.sum(1)
+                    dh[rows] += x.T @ wk.T
         back = np.empty_like(order)
         back[order] = np.arange(n)
-        return lp[back], dh if dh is None else dh[back]
+        return lp[back], dh if dh is None else dh.take(back, 0)
 
     def _halved(self) -> tuple[np.ndarray, np.ndarray]:
         """Each id's inputs, and the recurrent weights with a row for each gate. Sigmoids are made of tanh, so their weights are halved."""
@@ -160,12 +167,15 @@ class Gru:
 
         A document starts where the previous id is 0, since 0 ends each document and is nowhere else. Inside, lanes are
         columns, so that a gate is one block of memory, and products are of one step, so that they stay in a core's cache.
+        More steps than a window's are several whole windows of the same lanes, and one gradient step: states are carried
+        through all of them, and then, as gradients end with a window, windows lie side by side as if they were lanes.
         """
         p, n = self.p, HIDDEN
         inputs, wh = self._halved()
         saved, outs, h = [], [], h.T
         for prev, _ in steps:
-            h = h[:, : len(prev)] * (prev > 0)
+            inside = (prev > 0).astype(np.float32)  # mixed types are multiplied more slowly
+            h = h[:, : len(prev)] * inside
             x, hw = np.ascontiguousarray(inputs.take(prev, 0).T), wh @ h
             zr, g, hn = x[: 2 * n], x[2 * n :], hw[2 * n :]
             zr += hw[: 2 * n]
@@ -174,11 +184,14 @@ class Gru:
             zr += 0.5
             g += zr[n:] * hn
             np.tanh(g, out=g)
-            saved.append((h, zr, g, hn))
+            saved.append((h, zr, g, hn, inside[None]))
             h = h - g
             h *= zr[:n]
             h += g
             outs.append(h.T)
+        if len(steps) > WINDOW:
+            saved, outs = [[np.concatenate(x, 1) for x in zip(*saved[i::WINDOW], strict=True)] for i in range(WINDOW)], [np.concatenate(outs[i::WINDOW]) for i in range(WINDOW)]
+            steps = [tuple(np.concatenate(x) for x in zip(*steps[i::WINDOW], strict=True)) for i in range(WINDOW)]
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         _, dall = self.output(np.concatenate(outs), np.concatenate([goal for _, goal in steps]), grad)
         ends = np.cumsum([0, *(len(prev) for prev, _ in steps)])
@@ -186,7 +199,7 @@ class Gru:
         # what the candidate gets from the state comes first here, and then the three gates in their order
         back, dwh = np.concatenate([p["wh"][:, 2 * n :], p["wh"][:, : 2 * n]], 1), np.zeros((n, 3 * n), np.float32)
         for i in range(len(steps) - 1, -1, -1):
-            (h0, zr, g, hn), prev, own = saved[i], steps[i][0], slice(ends[i], ends[i + 1])
+            (h0, zr, g, hn, inside), prev, own = saved[i], steps[i][0], slice(ends[i], ends[i + 1])
             z, r, d, c = zr[:n], zr[n:], dall[own].T.astype(np.float32, order="C"), np.empty((4 * n, len(prev)), np.float32)
             d[:, : dnext.shape[1]] += dnext
             keep, dg = d * z, c[3 * n :]
@@ -201,7 +214,7 @@ class Gru:
             c[n : 3 * n] *= 1 - zr
             dnext = back @ c[: 3 * n]
             dnext += keep
-            dnext *= prev > 0
+            dnext *= inside
             dwh += h0 @ c[: 3 * n].T
             of_input[own] = c[n:].T @ p["wx"].T
             grad["wx"] += p["e"].take(prev, 0).T @ c[n:].T
@@ -222,13 +235,16 @@ class Gru:
         n, lanes = HIDDEN, Lanes(docs, SCORE_LANES)
         inputs, wh = self._halved()
         h, width = np.zeros((n, len(lanes.length)), np.float32), int(lanes.length.max())
-        for t0 in range(0, width, SCORE_WINDOW):
-            outs, targets, owners = [], [], []
-            for t in range(t0, min(t0 + SCORE_WINDOW, width)):
-                live = int(np.searchsorted(-lanes.length, -t, "left"))
-                prev, goal, start = lanes.at(t, live)
-                h = h[:, :live] * ~start
-                x, hw = np.ascontiguousarray(inputs.take(prev, 0).T), wh @ h
+        t1 = 0
+        while t1 < width:
+            t0, outs = t1, []
+            # fewer lanes make longer windows, of as many positions
+            t1 = min(t0 + SCORE_WINDOW * SCORE_LANES // int(np.searchsorted(-lanes.length, -t0, "left")), width)
+            live, at = lanes.window(t0, t1)
+            prev, inside, ends = lanes.prev[at], (~lanes.starts[at]).astype(np.float32), np.cumsum([0, *live]).tolist()
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                h = h[:, : b - a] * inside[a:b]
+                x, hw = np.ascontiguousarray(inputs.take(prev[a:b], 0).T), wh @ h
                 zr, g, hn = x[: 2 * n], x[2 * n :], hw[2 * n :]
                 zr += hw[: 2 * n]
                 np.tanh(zr, out=zr)
@@ -241,10 +257,8 @@ class Gru:
                 h *= zr[:n]
                 h += g
                 outs.append(h.T)
-                targets.append(goal)
-                owners.append(lanes.owner(t, live))
-            lp, _ = self.output(np.concatenate(outs), np.concatenate(targets))
-            total += np.bincount(np.concatenate(owners), lp, len(docs))
+            lp, _ = self.output(np.concatenate(outs), lanes.target[at])
+            total += np.bincount(lanes.doc[at], lp, len(docs))
         return total
 
 
@@ -270,12 +284,12 @@ class Stream:
 
     def finish(self) -> None:
         while (most := max(self.left)[0]) > 0:
-            self._learn(min(most, STREAM_BLOCK))
+            self._learn(min(most, STREAM_BLOCK * (STREAM_LANES // sum(size > 0 for size, _ in self.left))))
 
     def _learn(self, width: int) -> None:
         """The next `width` ids of each lane, or all that it has."""
-        lanes = [i for _, i in sorted(self.left, reverse=True)]
-        sizes, target = np.array([min(size, width) for size, _ in sorted(self.left, reverse=True)]), np.zeros((width, len(lanes)), np.int64)
+        lanes = [i for size, i in sorted(self.left, reverse=True) if size]
+        sizes, target = np.array([min(size, width) for size, _ in sorted(self.left, reverse=True) if size]), np.zeros((width, len(lanes)), np.int64)
         for at, (lane, size) in enumerate(zip(lanes, sizes.tolist(), strict=True)):
             queue, done = self.queue[lane], 0
             while done < size:
@@ -289,9 +303,14 @@ class Stream:
         prev = np.concatenate([self.last[lanes][None], target[:-1]])
         live = np.searchsorted(-sizes, -np.arange(width), "left")
         h = self.h[lanes]
-        for t0 in range(0, width, WINDOW):
-            steps = [(prev[t, : live[t]], target[t, : live[t]]) for t in range(t0, min(t0 + WINDOW, width))]
-            share = sum(len(p) for p, _ in steps) / (WINDOW * STREAM_LANES)  # a window of few lanes weighs less
+        t1 = 0
+        while t1 < width:
+            t0, same = t1, int(np.searchsorted(-live, -live[t1], "right"))
+            # few lanes make a step of several windows, of no more ids than all lanes have in one
+            windows = max(1, min((same - t0) // WINDOW, STREAM_LANES // int(live[t0]))) if self.adam.step >= ALONE else 1
+            t1 = min(t0 + windows * WINDOW, width)
+            steps = [(prev[t, : live[t]], target[t, : live[t]]) for t in range(t0, t1)]
+            share = sum(len(p) for p, _ in steps) / (WINDOW * STREAM_LANES)  # a step of few ids weighs less
             h = self.gru.learn(steps, h, self.adam, STREAM_RATE * share * min(1, self.adam.step / 20 + 0.05) / np.sqrt(1 + self.adam.step / 50))
         # a lane that has ended has an empty queue; it starts anew, as its last id was 0
         full = [lane for lane, size in zip(lanes, sizes.tolist(), strict=True) if size == width]
@@ -329,8 +348,12 @@ class Lanes:
         i = self.begin[:live] + t
         return self.prev[i], self.target[i], self.starts[i]
 
-    def owner(self, t: int, live: int) -> np.ndarray:
-        return self.doc[self.begin[:live] + t]
+    def window(self, t0: int, t1: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many lanes live at each step, and the places of all their ids, step by step."""
+        t = np.arange(t0, t1)
+        live = np.searchsorted(-self.length, -t, "left")
+        places = self.begin[: live[0]] + t[:, None]
+        return live, places[t[:, None] < self.length[: live[0]]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,6 +132,32 @@ def test_stream_learns_each_token_once_in_order(monkeypatch):
     assert stream.tokens == sum(map(len, docs)) and all(np.isfinite(v).all() for v in g.p.values())
 
 
+def test_few_lanes_learn_several_windows_in_a_step(monkeypatch):
+    """A document that is left alone takes a step for as many ids as all lanes have, and each window's gradient is its own."""
+    g, r, sizes = small_model(), np.random.default_rng(7), []
+    learn = lm.Gru.learn
+    monkeypatch.setattr(lm.Gru, "learn", lambda self, steps, *more: (sizes.append(sum(len(p) for p, _ in steps)), learn(self, steps, *more))[1])
+    stream = lm.Stream(g)
+    stream.add(np.append(r.integers(1, 12, size=40_000), 0))
+    stream.finish()
+    assert sum(sizes) == 40_001 and len(sizes) < 100 and max(sizes) <= lm.WINDOW * lm.STREAM_LANES
+
+    kept = []
+
+    class Keep:
+        def apply(self, grad, rate):
+            kept.append({k: v.copy() for k, v in grad.items()})
+
+    ids = r.integers(0, 12, size=(3 * lm.WINDOW + 1, 2))
+    steps, h0 = list(zip(ids[:-1], ids[1:], strict=True)), r.normal(size=(2, lm.HIDDEN)).astype(np.float32)
+    end, h = learn(g, steps, h0, Keep(), 1.0), h0
+    for at in range(0, len(steps), lm.WINDOW):
+        h = learn(g, steps[at : at + lm.WINDOW], h, Keep(), 1.0)
+    assert np.allclose(end, h, atol=1e-5)
+    for k, v in kept[0].items():
+        assert np.allclose(v, sum(one[k] for one in kept[1:]) / 3, atol=1e-5)
+
+
 def test_gradients_through_a_window():
     g, r = small_model(), np.random.default_rng(6)
     prev, goal = r.integers(0, 12, size=(5, 3)), r.integers(0, 12, size=(5, 3))
