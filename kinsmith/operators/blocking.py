@@ -19,8 +19,9 @@ NOT_RANKED = 255
 #: Rows of a block on either side; blocks of queries that share one copy of a base block; up to this many pairs of rows
 #: altogether, plain expressions compare them.
 QUERY_BLOCK, BASE_BLOCK, COPY_BLOCKS, MOST_PLAIN = 4096, 32_768, 32, 4_000_000
-#: A list holds at most this many of a kind's keys, next to each other, however far apart their numbers are.
-KEY_RANGE = 2**16
+#: A list holds at most this many of a kind's keys, next to each other, however far apart their numbers are. Spark keeps all
+#: pairs of two lists in memory before it hands on the first one.
+KEY_RANGE = 512
 
 
 def nearest(queries: DataFrame, base: DataFrame, q: str, b: str, k: int, rank: str, partition: str = "country", most_plain: int | None = None) -> DataFrame:

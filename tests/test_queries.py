@@ -104,6 +104,17 @@ def test_keys_far_apart_are_compared_no_more_often(spark, tmp_path, monkeypatch,
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0]} and read == [9]
 
 
+@pytest.mark.parametrize("name", ["sim3_token_sort_ratio"])
+def test_a_frequent_name_is_spelled_out_in_pieces(spark, tmp_path, monkeypatch, name):
+    """All pairs of two lists are in memory at once, so lists are short however many parts have a name."""
+    most, out = [], blocking.spelled_out
+    spark.range(1100).selectExpr("id p_partkey", "'red nut' p_name", "'b' p_brand", "1 p_size").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(blocking, "spelled_out", lambda pairs, *more: (most.append(pairs.selectExpr("max(size(a_keys) * size(b_keys))").first()[0]), out(pairs, *more))[1])
+    got = QUERIES[name](spark, str(tmp_path))
+    assert got.selectExpr("count(*)", "count(distinct a, b)", "sum(int(a < b))", "min(score)").first() == (*[1100 * 1099 // 2] * 3, 100.0)
+    assert most[0] <= 2**18
+
+
 def test_component_map_of_twins_in_several_languages(spark, con, tmp_path):
     """Copies of one text, of any language and source, also without one."""
     rows = [(i, "same", ("en", "fr", None)[i % 3], ("src1", "news", None)[i % 4 % 3]) for i in range(60)]
