@@ -104,7 +104,7 @@ def test_keys_far_apart_are_compared_no_more_often(spark, tmp_path, monkeypatch,
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0]} and read == [9]
 
 
-@pytest.mark.parametrize("name", ["sim3_token_sort_ratio", "sim4_partial_ratio"])
+@pytest.mark.parametrize("name", ["sim3_token_sort_ratio", "sim4_partial_ratio", "sim5_partial_token_set_ratio"])
 def test_a_frequent_name_is_spelled_out_in_pieces(spark, tmp_path, monkeypatch, name):
     """All pairs of two lists are in memory at once, so lists are short however many parts have a name."""
     most, out = [], blocking.spelled_out
