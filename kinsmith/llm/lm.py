@@ -37,8 +37,8 @@ STREAM_LANES, STREAM_BLOCK, STREAM_RATE, STREAM_TOKENS, PIECES = 256, 160, 2e-3,
 #: First steps of a task, which are of one window each, however few lanes there are.
 ALONE = 50
 SCORE_LANES, SCORE_WINDOW, CHUNK_TOKENS = 512, 32, 800_000
-#: Positions whose output is computed at a time.
-OUTPUT_BLOCK = 512
+#: Positions whose output is computed at a time, and logits of which the exponentials are safe as they are.
+OUTPUT_BLOCK, SAFE = 512, 60
 ALPHA = 0.1
 
 
@@ -46,8 +46,8 @@ def _softmax_loss(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Log probability of the columns' entries `at`, and the sums of the columns' exponentials, which take the place of x.
 
     Columns are positions of the text, since sums over the first axis are several times faster than over a short last one.
+    Entries are small enough for their exponentials: output() lowers those that may not be.
     """
-    x -= x.max(0)
     own = x[at, np.arange(len(at))]
     np.exp(x, out=x)
     total = x.sum(0)
@@ -108,18 +108,23 @@ class Gru:
         """Log probability of each target; with grad, also adds the gradients of the mean loss and returns that of h."""
         p, c = self.p, self.cls[target]
         order = np.argsort(c, kind="stable")  # by class, so that each class is a slice
-        h, goal, c = h.take(order, 0), target[order], c[order]
         n, lp, dh = len(h), np.empty(len(h)), None if grad is None else np.empty_like(h)
+        # a bias is the weight of one more input, which is 1
+        wide, wc, ww = np.ones((n, HIDDEN + 1), h.dtype), np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["ww"], p["bw"][None]])
+        most = max(float(np.abs(w).sum(0).max()) for w in (wc, ww)) * max(float(h.max(initial=1)), -float(h.min(initial=-1)))
+        wide[:, :HIDDEN] = h.take(order, 0)
+        h, goal, c, ones = wide[:, :HIDDEN], target[order], c[order], np.ones(OUTPUT_BLOCK, h.dtype)
         for at in range(0, n, OUTPUT_BLOCK):  # pieces that stay in a core's cache
             rows = slice(at, min(at + OUTPUT_BLOCK, n))
             hk, ck = h[rows], c[rows]
-            x = p["wc"].T @ hk.T
-            x += p["bc"][:, None]
+            x = wc.T @ wide[rows].T
+            if most > SAFE:
+                x -= x.max(0)
             lp[rows], total = _softmax_loss(x, ck)
             if grad is not None:
                 _to_gradient(x, ck, total, n)
                 grad["wc"] += hk.T @ x.T
-                grad["bc"] += x.sum(1)
+                grad["bc"] += x @ ones[: len(ck)]
                 dh[rows] = x.T @ p["wc"].T
         ends = np.searchsorted(c, np.arange(self.classes + 1))
         for k in range(self.classes):
@@ -127,14 +132,15 @@ class Gru:
             for at in range(ends[k], ends[k + 1], OUTPUT_BLOCK):
                 rows = slice(at, min(at + OUTPUT_BLOCK, ends[k + 1]))
                 hk, wk, own = h[rows], p["ww"][:, a:b], goal[rows] - a
-                x = wk.T @ hk.T
-                x += p["bw"][a:b, None]
+                x = ww[:, a:b].T @ wide[rows].T
+                if most > SAFE:
+                    x -= x.max(0)
                 lk, total = _softmax_loss(x, own)
                 lp[rows] += lk
                 if grad is not None:
                     _to_gradient(x, own, total, n)
                     grad["ww"][:, a:b] += hk.T @ x.T
-                    grad["bw"][a:b] += x.sum(1)
+                    grad["bw"][a:b] += x @ ones[: len(own)]
                     dh[rows] += x.T @ wk.T
         back = np.empty_like(order)
         back[order] = np.arange(n)
@@ -215,10 +221,10 @@ class Gru:
             dnext = back @ c[: 3 * n]
             dnext += keep
             dnext *= inside
-            dwh += h0 @ c[: 3 * n].T
+            dwh += np.ascontiguousarray(h0.T).T @ c[: 3 * n].T  # a copy, as this product is twice as fast with it
             of_input[own] = c[n:].T @ p["wx"].T
             grad["wx"] += p["e"].take(prev, 0).T @ c[n:].T
-            grad["b"] += c[n:].sum(1)
+            grad["b"] += c[n:] @ np.ones(len(prev), np.float32)
         grad["wh"] += np.concatenate([dwh[:, n:], dwh[:, :n]], 1)
         prev = np.concatenate([prev for prev, _ in steps]).astype(np.int16)  # short numbers are sorted by digits
         order = np.argsort(prev, kind="stable")

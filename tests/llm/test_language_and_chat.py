@@ -225,6 +225,19 @@ def test_model_is_a_distribution():
     assert abs(total - 1) < 1e-5
 
 
+def test_logits_are_lowered_only_where_exponentials_are_not_safe():
+    """Small ones are taken as they are; those far beyond what exponentials hold give the same distribution."""
+    x = np.array([[1.0, -2.0], [3.0, 0.5]], np.float32)
+    given = x.copy()
+    lm._softmax_loss(x, np.array([0, 1]))
+    assert np.allclose(x, np.exp(given))
+    g, h = small_model(), np.random.default_rng(1).normal(size=(12, lm.HIDDEN)).astype(np.float32)
+    small = g.output(h, np.arange(12))[0]
+    for k in ("bc", "bw"):
+        g.p[k] += 500
+    assert np.allclose(g.output(h, np.arange(12))[0], small, atol=1e-3)
+
+
 def test_gradients_of_the_output_layer():
     g, r = small_model(), np.random.default_rng(3)
     for k in g.p:
